@@ -1,0 +1,32 @@
+"""Incremental builds: only work that the result store does not hold yet."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+
+from panelwright.operators.median import same_keys
+
+
+def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not yet in the result table (anti-join)."""
+    if done is None:
+        return df
+    seen = done.select(*keys).distinct()
+    return df.join(seen, same_keys(df, seen, keys), "left_anti")
+
+
+def append_pending(df: DataFrame, path: str, keys: Sequence[str], build) -> DataFrame:
+    """Run ``build`` on the entities missing from the table at ``path``; append its result.
+
+    Returns the whole stored table. Running it again adds nothing.
+    """
+    spark = df.sparkSession
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException:
+        done = None
+    build(pending(df, done, keys)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

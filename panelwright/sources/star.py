@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.operators.median import exact_median
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -52,9 +54,5 @@ def statements(spark: SparkSession, folder: str, entity: str = "segment") -> Dat
 
 def event_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Events by type and day: median value and number of events."""
-    return (
-        table(spark, folder, "events")
-        .withColumn("day", F.to_date("ts"))
-        .groupBy("event_type", "day")
-        .agg(F.median("value").alias("value"), F.count(F.lit(1)).alias("n_events"))
-    )
+    rows = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    return exact_median(rows, ["event_type", "day"], ["value"], count_as="n_events")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import month_panel, rounded
 from catalog.derive import LAG_PANEL
-from catalog.registry import query, with_ctes
+from catalog.registry import erfc_sql, query, with_ctes
 from panelwright.operators import metrics as m
 from panelwright.operators import reshape as r
 from panelwright.operators.window import add_lags, time_split
@@ -107,7 +107,14 @@ def d8(spark, sf):
     return rounded(naive_dm(spark, sf).drop("p_value"))
 
 
-@query("d8_diebold_mariano_p")
+@query(
+    "d8_diebold_mariano_p",
+    with_ctes(
+        DM,
+        body=f"""SELECT industry, comparison, n_obs, round(DM_stat, 6) AS DM_stat,
+        round({erfc_sql('(abs(DM_stat) / sqrt(2))')}, 6) AS p_value FROM dm""",
+    ),
+)
 def d8_p(spark, sf):
     return rounded(naive_dm(spark, sf))
 

@@ -76,3 +76,23 @@ EVENT_PANEL = """
 evp AS (
   SELECT event_type, CAST(ts AS DATE) AS day, median(value) AS value, count(*) AS n_events
   FROM events GROUP BY ALL)"""
+
+
+def erfc_sql(x):
+    """erfc for 0 <= x < 6 by the series of erf with positive terms."""
+    terms = (
+        f"exp(2 * i * ln(2) + (2 * i + 1) * ln({x}) - lgamma(2 * i + 2) + lgamma(i + 1) - ({x}) * ({x}))"
+    )
+    return f"(CASE WHEN {x} <= 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda i: {terms})) END)"
+
+
+def chi2_sf_sql(x, df):
+    """Chi-square tail by the series of the lower incomplete gamma function."""
+    z, a = f"(({x}) / 2)", f"(({df}) / 2.0)"
+    terms = f"exp(({a} + i) * ln({z}) - {z} - lgamma({a} + i + 1))"
+    return f"(CASE WHEN {z} <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 300), lambda i: {terms})) END)"
+
+
+def normal_cdf_sql(x):
+    half = erfc_sql(f"(abs({x}) / sqrt(2))")
+    return f"(CASE WHEN {x} < 0 THEN {half} / 2 ELSE 1 - {half} / 2 END)"

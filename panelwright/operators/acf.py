@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.special import chi2_sf, normal_ppf
 from panelwright.operators.impute import attach
@@ -101,7 +102,7 @@ def pacf(
 ) -> DataFrame:
     """Partial autocorrelations (Yule-Walker) with their 95% band."""
     one = lag_sums(df, col, nlags, by, order, layout)
-    schema = one.schema.add("pacf", "array<double>")
+    schema = T.StructType([*one.schema.fields, T.StructField("pacf", T.ArrayType(T.DoubleType()))])
     out = one.mapInPandas(_partial_batches, schema).select(*by, "n_obs", F.posexplode("pacf").alias("lag", "pacf"))
     width = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(Z95 / F.sqrt("n_obs"))
     return out.select(

@@ -79,3 +79,76 @@ def map_rows(df: DataFrame, fn: Callable[[pd.Series], dict], schema: T.StructTyp
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), new], axis=1)
 
     return df.mapInPandas(run, full)
+
+
+def least_squares_batch(
+    xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray | float = 0.0, tol: float = 1e-11
+) -> np.ndarray:
+    """Coefficients of many systems at once: (m, k, k) and (m, k) to (m, k)."""
+    scale = np.sqrt(np.clip(np.diagonal(xtx, axis1=1, axis2=2), 0, None))
+    scale = np.where(scale == 0, 1.0, scale)
+    a = xtx / (scale[:, :, None] * scale[:, None, :])
+    a = a + np.asarray(ridge, float).reshape(-1, 1, 1) * np.eye(a.shape[1])
+    w, v = np.linalg.eigh(a)
+    good = w > tol * np.maximum(w[:, -1:], 1e-300)
+    inv = np.where(good, 1 / np.where(good, w, 1.0), 0.0)
+    coef = np.einsum("mij,mj,mkj,mk->mi", v, inv, v, xty / scale, optimize=True)
+    return coef / scale
+
+
+def unpack_batch(values: Sequence[Sequence[float]], k: int) -> np.ndarray:
+    """Symmetric matrices (m, k, k) from upper triangles."""
+    flat = np.vstack([np.asarray(v, float) for v in values]) if len(values) else np.zeros((0, k * (k + 1) // 2))
+    out = np.zeros((len(flat), k, k))
+    i, j = np.triu_indices(k)
+    out[:, i, j] = flat
+    out[:, j, i] = flat
+    return out
+
+
+def gram_wide(df: DataFrame, by: Sequence[str], col: str, size: int) -> DataFrame:
+    """Like ``gram`` for an array column too long for one sum expression per product.
+
+    Each Arrow batch is reduced to one triangle per group it holds; the triangles
+    are then added up element by element, again combined before the shuffle.
+    """
+    by = list(by)
+    upper = np.triu_indices(size)
+    schema = T.StructType([*[df.schema[k] for k in by], T.StructField("_p", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.vstack(pdf[col].to_numpy()).astype(float)
+            codes, first = _codes(pdf, by)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            parts = [(x[i].T @ x[i])[upper] for i in np.split(order, cuts)]
+            out = pdf.iloc[first][by].reset_index(drop=True)
+            out["_p"] = [p.tolist() for p in parts]
+            yield out
+
+    def _codes(pdf: pd.DataFrame, keys: list[str]):
+        if not keys:
+            return np.zeros(len(pdf), int), np.array([0])
+        codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        _, first = np.unique(codes, return_index=True)
+        return codes, first
+
+    cells = df.select(*by, col).mapInPandas(partial, schema).select(*by, F.posexplode("_p").alias("_i", "_v"))
+    sums = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+    # At most size * (size + 1) / 2 cells per group.
+    packed = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_c"))
+    return packed.select(*by, F.col("_c._v").alias("g"))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """Apply a vectorised function to each batch of a one-row-per-group table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield fn(pdf.reset_index(drop=True))
+
+    return df.mapInPandas(run, schema)

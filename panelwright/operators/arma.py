@@ -88,7 +88,7 @@ def arma_rows(
     target: str,
     by: Sequence[str],
     order: str,
-    train: Column,
+    train: Column | str,
     d: DataFrame | int | None = None,
     models: Mapping[str, Arma] | None = None,
     season: int = 1,
@@ -105,7 +105,7 @@ def arma_rows(
     spec = ArmaRows(df, tuple(by), order, models, season, 0, df)
     long_ar = (LONG_AR if spec.max_q else 0) if long_ar is None else long_ar
     rows = df.select(
-        *dict.fromkeys([*by, order]), F.col(target).cast("double").alias("y"), train.alias("is_train"),
+        *dict.fromkeys([*by, order]), F.col(target).cast("double").alias("y"), (F.expr(train) if isinstance(train, str) else train).alias("is_train"),
         *[F.col(c).cast("double").alias(f"x0_{c}") for c in spec.exog],
     ).filter(F.col("y").isNotNull())
     tr = F.when(F.col("is_train"), F.col("y"))
@@ -297,7 +297,7 @@ def fit_arma(rows: ArmaRows) -> DataFrame:
 
     fits = map_batches(parts, solve, schema)
     rss = F.col("rss") * F.col("_scale") * F.col("_scale")
-    llf = gaussian_llf(rss, F.col("n_obs"))
+    llf = gaussian_llf(F.col("rss"), F.col("n_obs"))
     ic = information_criteria(llf, F.col("n_params"), F.col("n_obs"))
     usable = F.col("fit_status") != "too few observations"
     m = F.when(F.col("sp") + F.col("sq") > 0, F.lit(season)).otherwise(0)
@@ -426,6 +426,7 @@ def cross_validate(
     season: int = 1,
     n_splits: int = 3,
     criterion: str = "AIC",
+    d: int | None = None,
 ) -> DataFrame:
     """Rolling-origin metrics per (entity, model, fold); all folds in one run.
 
@@ -437,7 +438,7 @@ def cross_validate(
     models = dict(models or default_models())
     folds = settle(rolling_folds(df, by, order, n_splits), "folds")
     keys = [*by, "fold"]
-    rows = arma_rows(folds, target, keys, order, F.col("role") == "train", None, models, season)
+    rows = arma_rows(folds, target, keys, order, F.col("role") == "train", d, models, season)
     best = settle(select_order(fit_arma(rows), keys, criterion), "cv-best")
     scores = forecast_metrics(forecast(rows, best), [*keys, "model"])
     scores = attach(scores, best, [*keys, "model"], ["order", "seasonal_order"])

@@ -27,7 +27,7 @@ def trend_regression(
     regressors: Sequence[str] = (),
     by: Sequence[str] = ("industry",),
     order: str = "year",
-    train: Column | None = None,
+    train: Column | str | None = None,
     changepoints: int = 3,
     level: float = 0.8,
     ridge: float = 1e-3,
@@ -40,7 +40,7 @@ def trend_regression(
     meant (see ``priority_features``); they are standardised on the training rows.
     """
     by = list(by)
-    is_train = F.lit(True) if train is None else train
+    is_train = F.expr(train) if isinstance(train, str) else F.lit(True) if train is None else train
     regs = list(regressors)
     rows = df.select(
         *dict.fromkeys([*by, order]), F.col(target).cast("double").alias("actual"),

@@ -21,11 +21,11 @@ _ppf = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 
 
 def normal_cdf_np(x) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def normal_ppf_np(p) -> np.ndarray:
-    return _ppf(np.asarray(p, float)).astype(float)
+    return np.asarray(_ppf(np.asarray(p, float)), float)
 
 
 def chi2_sf_np(x, df) -> np.ndarray:

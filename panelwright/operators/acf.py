@@ -39,10 +39,10 @@ def lag_sums(
     sums = lagged.groupBy(*by).agg(
         F.max("n_obs").alias("n_obs"),
         F.sum(F.col("_x") * F.col("_x")).alias("_c0"),
-        *[F.coalesce(F.sum(F.col("_x") * F.col(f"_x{k}")), F.lit(0.0)).alias(f"_c{k}") for k in range(1, nlags + 1)],
+        *[F.expr(f"coalesce(sum(_x * _x{k}), 0D)").alias(f"_c{k}") for k in range(1, nlags + 1)],
     )
     lags = F.least(F.lit(nlags).cast("long"), F.floor(F.col("n_obs") / 2) - 1).cast("int")
-    r = F.array(*[F.try_divide(F.col(f"_c{k}"), F.col("_c0")) for k in range(nlags + 1)])
+    r = F.expr(f"array({', '.join(f'try_divide(_c{k}, _c0)' for k in range(nlags + 1))})")
     return (
         sums.withColumn("lags", lags)
         .filter(F.col("lags") >= min_lags)
@@ -59,18 +59,18 @@ def acf(
     layout: str = "panel",
 ) -> DataFrame:
     """Autocorrelations with their 95% band (Bartlett), one row per lag."""
-    out = lag_sums(df, col, nlags, by, order, layout).select(*by, "n_obs", F.posexplode("r").alias("lag", "acf"))
+    sums = lag_sums(df, col, nlags, by, order, layout)
+    return _acf_band(sums.select(*by, "n_obs", F.posexplode("r").alias("lag", "acf")), by)
+
+
+def _acf_band(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    # A series has at most nlags + 1 rows here.
     earlier = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
-    squares = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf")).otherwise(0.0)).over(earlier)
+    squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(earlier), F.lit(0.0))
     var = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise((1 + 2 * squares) / F.col("n_obs"))
-    out = out.withColumn("_w", Z95 * F.sqrt(var))
-    return out.select(
-        *by,
-        "lag",
-        "acf",
-        (F.col("acf") - F.col("_w")).alias("acf_ci_low"),
-        (F.col("acf") + F.col("_w")).alias("acf_ci_hi"),
-    )
+    width = Z95 * F.sqrt(var)
+    out = rows.withColumns({"acf_ci_low": F.col("acf") - width, "acf_ci_hi": F.col("acf") + width})
+    return out.drop("n_obs")
 
 
 def partial_from_acf(r: np.ndarray) -> np.ndarray:
@@ -101,19 +101,36 @@ def pacf(
     layout: str = "panel",
 ) -> DataFrame:
     """Partial autocorrelations (Yule-Walker) with their 95% band."""
-    one = lag_sums(df, col, nlags, by, order, layout)
+    one = _with_partials(lag_sums(df, col, nlags, by, order, layout))
+    return _pacf_band(one.select(*by, "n_obs", F.posexplode("pacf").alias("lag", "pacf"))).drop("n_obs")
+
+
+def _with_partials(one: DataFrame) -> DataFrame:
     schema = T.StructType([*one.schema.fields, T.StructField("pacf", T.ArrayType(T.DoubleType()))])
-    out = one.mapInPandas(_partial_batches, schema).select(*by, "n_obs", F.posexplode("pacf").alias("lag", "pacf"))
+    return one.mapInPandas(_partial_batches, schema)
+
+
+def _pacf_band(rows: DataFrame) -> DataFrame:
     width = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(Z95 / F.sqrt("n_obs"))
-    return out.select(
-        *by, "lag", "pacf", (F.col("pacf") - width).alias("pacf_ci_low"), (F.col("pacf") + width).alias("pacf_ci_hi")
-    )
+    return rows.withColumns({"pacf_ci_low": F.col("pacf") - width, "pacf_ci_hi": F.col("pacf") + width})
 
 
-def acf_pacf(df: DataFrame, col: str, nlags: int = 20, by: Sequence[str] = ("industry",), order="year", layout="panel"):
-    """Both tables side by side, one row per lag."""
-    left = acf(df, col, nlags, by, order, layout)
-    return attach(left, pacf(df, col, nlags, by, order, layout), [*by, "lag"], ["pacf", "pacf_ci_low", "pacf_ci_hi"])
+def acf_pacf(
+    df: DataFrame,
+    col: str,
+    nlags: int = 20,
+    by: Sequence[str] = ("industry",),
+    order: Sequence[str] | str = "year",
+    layout: str = "panel",
+) -> DataFrame:
+    """Both tables side by side, one row per lag, from one pass over the rows."""
+    one = _with_partials(lag_sums(df, col, nlags, by, order, layout))
+    pairs = F.arrays_zip(F.col("r").alias("acf"), F.col("pacf"))
+    rows = one.select(*by, "n_obs", F.posexplode(pairs).alias("lag", "_p"))
+    rows = rows.select(*by, "n_obs", "lag", F.col("_p.acf").alias("acf"), F.col("_p.pacf").alias("pacf"))
+    return _acf_band(_pacf_band(rows), by).select(
+        *by, "lag", "acf", "acf_ci_low", "acf_ci_hi", "pacf", "pacf_ci_low", "pacf_ci_hi"
+    )
 
 
 def ljung_box(

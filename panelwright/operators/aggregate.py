@@ -20,6 +20,7 @@ def aggregate_panel(
     count_as: str = "n_firms",
     accuracy: int | None = None,
     max_group: int = 1_000_000,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Median of each measure and number of records per key.
 
@@ -27,7 +28,7 @@ def aggregate_panel(
     sketches of bounded size, in a single pass.
     """
     if accuracy is None:
-        return exact_median(df, keys, measures, count_as=count_as, max_group=max_group)
+        return exact_median(df, keys, measures, count_as=count_as, max_group=max_group, sized_by=sized_by)
     return df.groupBy(*keys).agg(
         *[F.percentile_approx(m, 0.5, accuracy).alias(m) for m in measures],
         F.count(F.lit(1)).alias(count_as),

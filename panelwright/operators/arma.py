@@ -138,8 +138,8 @@ def arma_rows(
     rows = ser.df.withColumns({f"_y{i}": ser.shift("y", i) for i in range(reach + 1)})
 
     def w(i: int, c: str = "_y") -> Column:
-        a, b, e = F.col(f"{c}{i}"), F.col(f"{c}{i + 1}"), F.col(f"{c}{i + 2}")
-        return F.when(F.col("d") == 0, a).when(F.col("d") == 1, a - b).otherwise(a - 2 * b + e)
+        a, b, e = (f"`{c}{j}`" for j in (i, i + 1, i + 2))
+        return F.expr(f"CASE d WHEN 0 THEN {a} WHEN 1 THEN {a} - {b} ELSE {a} - 2 * {b} + {e} END")
 
     made = {f"w{i}": w(i) for i in range(max(spec.max_p, long_ar) + 1)}
     if seasonal:
@@ -329,11 +329,9 @@ def _per_model(rows: ArmaRows, best: DataFrame) -> tuple[DataFrame, Column]:
     models = F.array(*[F.lit(m) for m in rows.models])
     out = rows.df.withColumn("model", F.explode(models))
     out = attach_inner(out, best, [*by, "model"], ["coefs", "order", "seasonal_order"])
-    fitted = F.lit(0.0)
-    for i, n in enumerate(names):
-        b = F.col("coefs")[i]
-        fitted = fitted + F.when(b == 0, F.lit(0.0)).otherwise(b * F.col(n))
-    return out, fitted
+    # An unused regressor may be null in early rows; it must not hide the others.
+    terms = [f"if(coefs[{i}] = 0, 0D, coefs[{i}] * `{n}`)" for i, n in enumerate(names)]
+    return out, F.expr(" + ".join(terms))
 
 
 def fitted_values(rows: ArmaRows, best: DataFrame) -> DataFrame:

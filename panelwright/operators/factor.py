@@ -244,5 +244,6 @@ def liquidity_factors(
 ) -> DataFrame:
     """Principal factor over the whole panel, dynamic factor and shock per series."""
     cols = [c for c in cols if c in df.columns]
-    out = dynamic_factor(pca_factor(df, cols), cols, by, order, layout=layout).drop("factor_innovation")
+    pooled = settle(pca_factor(df, cols), "factor-pca")
+    out = dynamic_factor(pooled, cols, by, order, layout=layout).drop("factor_innovation")
     return fallback_factor(out, by, order, layout=layout)

@@ -27,12 +27,14 @@ def gram(
     ok = F.lit(True) if where is None else where
     for c in columns:
         ok = ok & c.isNotNull()
-    k = len(columns)
-    cells = [F.sum(F.when(ok, columns[i] * columns[j])) for i in range(k) for j in range(i, k)]
-    return df.groupBy(*by).agg(
-        F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias("n"),
-        F.array(*[F.coalesce(c, F.lit(0.0)) for c in cells]).alias("g"),
-        *extra,
+    names = [f"_q{i}" for i in range(len(columns))]
+    rows = df.withColumn("_use", ok).select(
+        "*", *[F.when(F.col("_use"), c).alias(n) for c, n in zip(columns, names, strict=True)]
+    )
+    cells = [f"coalesce(sum({a} * {b}), 0D)" for i, a in enumerate(names) for b in names[i:]]
+    # As text: hundreds of sums are one call to the JVM.
+    return rows.groupBy(*by).agg(
+        F.expr("count_if(_use)").alias("n"), F.expr(f"array({', '.join(cells)})").alias("g"), *extra
     )
 
 

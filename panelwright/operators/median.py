@@ -35,9 +35,14 @@ def exact_median(
     bounded: bool = False,
     buckets: int = 4096,
     count_as: str | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Median of each column per group, nulls ignored.
 
+    The sizes of the groups are counted first. ``sized_by`` may name a cheaper
+    table with the same keys and at least as many rows per group (the rows before
+    a filter, say), so that the count reads little more than the keys.
+
     ``bounded=True`` states that the caller knows every group is small (for
     instance one entity of a panel, which has one row per period); it saves
     the size check.
@@ -50,7 +55,7 @@ def exact_median(
 
     if bounded:
         return small(df)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (df if sized_by is None else sized_by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     n_hot = sizes.filter(F.col("_n") > max_group).count()
     if n_hot == 0:
         return small(df)

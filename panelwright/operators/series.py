@@ -56,9 +56,12 @@ class Series:
     by: tuple[str, ...]
     blocked: bool
     window: WindowSpec
+    over: str
 
     def shift(self, c: Column | str, k: int) -> Column:
         """Value ``k`` rows earlier in the same series (later if negative)."""
+        if isinstance(c, str) and k and not self.blocked:
+            return F.expr(f"lag(`{c}`, {k}) OVER ({self.over})")
         col = F.col(c) if isinstance(c, str) else c
         if k == 0:
             return col
@@ -86,7 +89,8 @@ def series(
     by = tuple(by)
     order = [order] if isinstance(order, str) else list(order)
     if layout == "panel" and by:
-        return Series(df, by, False, Window.partitionBy(*by).orderBy(*order))
+        over = f"PARTITION BY {_names(by)} ORDER BY {_names(order)}"
+        return Series(df, by, False, Window.partitionBy(*by).orderBy(*order), over)
     block_rows = max(block_rows, back, ahead)
     pos = positioned(df, by, order)
     block = F.floor(F.col("_pos") / block_rows)
@@ -100,7 +104,12 @@ def series(
     )
     rows = pos.withColumn("_own", block).withColumn("_block", F.explode(targets))
     rows = rows.withColumn("_core", F.col("_block") == F.col("_own")).drop("_own")
-    return Series(rows, by, True, Window.partitionBy("_block").orderBy("_pos"))
+    over = "PARTITION BY _block ORDER BY _pos"
+    return Series(rows, by, True, Window.partitionBy("_block").orderBy("_pos"), over)
+
+
+def _names(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
 
 
 def numbered(

@@ -132,25 +132,24 @@ def adf(
     past = {f"_l{k}": ser.shift("_z", k) for k in range(1, width + 2)}
     rows = ser.finish(ser.df.withColumns(past)).withColumnRenamed("_z", "_l0")
     t = F.col("_t")
-    used = t >= F.col("_m") + 2
+    # Rows before the common sample add nothing; as text, many sums are one call.
+    steps = [f"_l{j} - _l{j + 1}" for j in range(width + 1)]
+    rows = rows.selectExpr("*", "_t >= _m + 2 AS _use", *[f"{e} AS _d{j}" for j, e in enumerate(steps)])
 
-    def d(j):
-        return F.col(f"_l{j}") - F.col(f"_l{j + 1}")
+    def sums(value: str):
+        cells = [f"coalesce(sum({value.format(j)}) FILTER (WHERE _use), 0D)" for j in range(width + 1)]
+        return F.expr(f"array({', '.join(cells)})")
 
-    def sums(value):
-        return F.array(*[F.coalesce(F.sum(F.when(used, value(j))), F.lit(0.0)) for j in range(width + 1)])
-
-    level = F.col("_l1")
     point = F.struct(t.alias("t"), F.col("_l0").alias("z"))
     moments = rows.groupBy(*by).agg(
         F.max("_n").alias("_n"),
         F.max("_m").alias("_m"),
         F.max("_sd").alias("_sd"),
-        F.sum(F.when(used, level)).alias("_z1"),
-        F.sum(F.when(used, level * level)).alias("_z11"),
-        sums(d).alias("_s"),
-        sums(lambda j: level * d(j)).alias("_g"),
-        sums(lambda j: d(0) * d(j)).alias("_r"),
+        F.expr("sum(_l1) FILTER (WHERE _use)").alias("_z1"),
+        F.expr("sum(_l1 * _l1) FILTER (WHERE _use)").alias("_z11"),
+        sums("_d{}").alias("_s"),
+        sums("_l1 * _d{}").alias("_g"),
+        sums("_d0 * _d{}").alias("_r"),
         F.collect_list(F.when(t <= width + 2, point)).alias("_head"),
         F.collect_list(F.when(t >= F.col("_n") - width - 2, point)).alias("_tail"),
     ).withColumn("_fixed", F.lit(-1 if lag is None else lag))

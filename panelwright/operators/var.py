@@ -140,26 +140,23 @@ def fit_var(
     ser = series(rows, by, order_cols, back=maxlags, layout=layout)
     lags = {f"_v{i}_{j}": ser.shift(f"_v{i}", j) for j in range(1, maxlags + 1) for i in range(k)}
     rows = ser.finish(ser.df.withColumns(lags))
-    now = [F.col(f"_v{i}") for i in range(k)]
-
-    def at(j):
-        return now if j == 0 else [F.col(f"_v{i}_{j}") for i in range(k)]
-
-    used = F.col("_t") > F.col("_m")
+    now = [f"_v{i}" for i in range(k)]
+    # As text: many sums are one call.
     cells = [
-        F.coalesce(F.sum(F.when(used, now[a] * at(j)[b])), F.lit(0.0))
+        f"coalesce(sum({a} * {b}{f'_{j}' if j else ''}) FILTER (WHERE _t > _m), 0D)"
         for j in range(maxlags + 1)
-        for a in range(k)
-        for b in range(k)
+        for a in now
+        for b in now
     ]
+    totals = [f"coalesce(sum({a}) FILTER (WHERE _t > _m), 0D)" for a in now]
     point = F.struct(F.col("_t").alias("t"), F.array(*now).alias("z"))
     moments = rows.groupBy(*by).agg(
         F.max("_n").alias("_n"),
         F.max("_m").alias("_m"),
         F.any_value("_mean").alias("_mean"),
         F.any_value("_sd").alias("_sd"),
-        F.array(*cells).alias("_c"),
-        F.array(*[F.coalesce(F.sum(F.when(used, z)), F.lit(0.0)) for z in now]).alias("_s"),
+        F.expr(f"array({', '.join(cells)})").alias("_c"),
+        F.expr(f"array({', '.join(totals)})").alias("_s"),
         F.collect_list(F.when(F.col("_t") <= maxlags + 1, point)).alias("_head"),
         F.collect_list(F.when(F.col("_t") >= F.col("_n") - maxlags, point)).alias("_tail"),
     )

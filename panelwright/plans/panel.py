@@ -29,7 +29,8 @@ def clean_statements(
 
 def build_panel(df: DataFrame, unit: str = "year", lo: int | None = None, hi: int | None = None, **options) -> DataFrame:
     """Statements to panel: medians and record counts per (period, entity)."""
-    return aggregate_panel(clean_statements(df, lo, hi, unit), ["year", "industry"], **options)
+    keyed = d.with_entity(d.with_period(df, unit=unit)).select("year", "industry")
+    return aggregate_panel(clean_statements(df, lo, hi, unit), ["year", "industry"], sized_by=keyed, **options)
 
 
 def lagged_panel(panel: DataFrame, n_lags: int = 2, cols: Sequence[str] = tuple(LAGGED)) -> DataFrame:

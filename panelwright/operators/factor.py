@@ -21,11 +21,13 @@ from panelwright.session import settle
 MIN_OBS = 20
 
 
-def _prepared(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _prepared(
+    df: DataFrame, cols: Sequence[str], by: Sequence[str], bounded: bool = False
+) -> tuple[DataFrame, list[str]]:
     """Add the cleaned, imputed and standardised columns as ``_z0, _z1, ...``."""
     names = [f"_z{i}" for i in range(len(cols))]
     rows = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, cols, strict=True)})
-    return standardize(impute_median(clean_numeric(rows, names), names, by), names, by), names
+    return standardize(impute_median(clean_numeric(rows, names), names, by, bounded=bounded), names, by), names
 
 
 def _loadings(k: int, min_obs: int):
@@ -83,23 +85,40 @@ def pca_factor(
 def _gains(phi: float, q: float, info: float, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Predicted and filtered state variance for places start+1..start+n.
 
-    The recursion does not depend on the data and settles quickly, so a block in
-    the middle of a series only replays it until it stands still.
+    The recursion does not depend on the data and settles quickly: a block in the
+    middle of a series replays it only until it stands still.
     """
-    pred = q / (1 - phi * phi)
-    step = lambda p: phi * phi * p / (1 + info * p) + q
-    for _ in range(start):
-        after = step(pred)
-        if after == pred:
-            break
-        pred = after
+    pred, settled = q / (1 - phi * phi), False
     preds = np.empty(n)
-    for i in range(n):
-        preds[i] = pred
-        pred = step(pred)
+    for i in range(start + n):
+        if i >= start:
+            preds[i - start] = pred
+        after = phi * phi * pred / (1 + info * pred) + q
+        settled = abs(after - pred) <= 1e-15 * pred
+        pred = after
+        if settled:
+            preds[max(i + 1 - start, 0) :] = pred
+            break
     return preds, preds / (1 + info * preds)
 
 
+def linear_scan(keep: np.ndarray, drive: np.ndarray, start: float) -> np.ndarray:
+    """All states of s(t) = keep(t) s(t-1) + drive(t), by repeated doubling.
+
+    Neighbouring steps are merged into steps of twice the length until the oldest
+    state no longer matters, so the work is vectorised.
+    """
+    a, s = keep.copy(), drive.copy()
+    s[0] += a[0] * start
+    a[0] = 0.0
+    shift = 1
+    while shift < len(s) and np.abs(a[shift:]).max() > 1e-20:
+        s[shift:] = s[shift:] + a[shift:] * s[:-shift]
+        a[shift:] = a[shift:] * a[:-shift]
+        shift *= 2
+    return s
+
+
 def _filter_block(pdf: pd.DataFrame, k: int, summary: bool) -> dict | pd.DataFrame:
     pdf = pdf.sort_values("_t")
     head = pdf.iloc[0]
@@ -115,15 +134,11 @@ def _filter_block(pdf: pd.DataFrame, k: int, summary: bool) -> dict | pd.DataFra
     preds, filt = _gains(phi, q, info, int(head["_t"]) - 1, n)
     drive = filt * (x @ (load / noise))
     keep = phi * (1 - filt * info)
-    state = 0.0 if summary else float(head["_carry"])
-    out, prior, gain = np.empty(n), np.empty(n), 1.0
-    for i in range(n):
-        prior[i] = state
-        state = keep[i] * state + drive[i]
-        out[i] = state
-        gain *= keep[i]
+    start = 0.0 if summary else float(head["_carry"])
+    out = linear_scan(keep, drive, start)
     if summary:
-        return {"_a": gain, "_b": state}
+        return {"_a": float(np.prod(keep)), "_b": float(out[-1])}
+    prior = np.r_[start, out[:-1]]
     error = (x[:, 0] - load[0] * phi * prior) / np.sqrt(load[0] ** 2 * preds + noise[0])
     return pdf.assign(_factor=out, _shock=error, _innovation=out - phi * prior)
 
@@ -153,11 +168,12 @@ def dynamic_factor(
     order_cols = [order] if isinstance(order, str) else list(order)
     blocked = layout != "panel" or not by
     k = len(cols)
-    rows, names = _prepared(df, cols, by)
+    rows, names = _prepared(df, cols, by, bounded=not blocked)
+    rows = settle(rows, "factor-columns")
     loads = map_rows(gram(rows, by, [F.col(c) for c in names]), _loadings(k, min_obs), _LOADINGS, [*by, "n"])
     rows = attach(rows, loads, by, ["loadings", "noise"])
     score = dot([F.col("loadings")[i] for i in range(k)], [F.col(c) for c in names])
-    rows = numbered(rows.withColumn("_score", score), by, order_cols, layout, "_t", "_n")
+    rows = numbered(rows.withColumn("_score", score), by, order_cols, layout, "_t", "_n", keep_pos=True)
     ser = series(rows, by, order_cols, back=1, layout=layout)
     rows = settle(ser.finish(ser.df.withColumn("_before", ser.shift("_score", 1))), "factor-scores")
 

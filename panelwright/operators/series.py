@@ -83,16 +83,19 @@ def series(
     back: int = 0,
     ahead: int = 0,
     layout: str = "panel",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> Series:
-    """Prepare ``df`` for shifts of up to ``back`` rows back and ``ahead`` rows ahead."""
+    """Prepare ``df`` for shifts of up to ``back`` rows back and ``ahead`` rows ahead.
+
+    A table that still has its ``_pos`` (see ``numbered``) is not sorted again.
+    """
     by = tuple(by)
     order = [order] if isinstance(order, str) else list(order)
     if layout == "panel" and by:
         over = f"PARTITION BY {_names(by)} ORDER BY {_names(order)}"
         return Series(df, by, False, Window.partitionBy(*by).orderBy(*order), over)
-    block_rows = max(block_rows, back, ahead)
-    pos = positioned(df, by, order)
+    block_rows = max(block_rows or BLOCK_ROWS, back, ahead)
+    pos = df if "_pos" in df.columns else positioned(df, by, order)
     block = F.floor(F.col("_pos") / block_rows)
     inside = F.col("_pos") % block_rows
     targets = F.array_compact(
@@ -113,9 +116,13 @@ def _names(cols: Sequence[str]) -> str:
 
 
 def numbered(
-    df: DataFrame, by: Sequence[str], order: Sequence[str] | str, layout: str = "panel", t: str = "t", n: str = "n"
+    df: DataFrame, by: Sequence[str], order: Sequence[str] | str, layout: str = "panel", t: str = "t", n: str = "n",
+    keep_pos: bool = False,
 ) -> DataFrame:
-    """Add the 1-based place of each row in its series and the series length."""
+    """Add the 1-based place of each row in its series and the series length.
+
+    ``keep_pos`` leaves the table-wide place of the block layout in ``_pos``.
+    """
     order = [order] if isinstance(order, str) else list(order)
     if layout == "panel" and by:
         w = Window.partitionBy(*by)
@@ -124,4 +131,5 @@ def numbered(
         )
     pos = positioned(df, by, order)
     spans = pos.groupBy(*by).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias(n))
-    return attach(pos, spans, by, ["_first", n]).withColumn(t, F.col("_pos") - F.col("_first") + 1).drop("_first", "_pos")
+    out = attach(pos, spans, by, ["_first", n]).withColumn(t, F.col("_pos") - F.col("_first") + 1).drop("_first")
+    return out if keep_pos else out.drop("_pos")

@@ -6,8 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.special import adf_critical, adf_p_value
 from panelwright.operators.gram import map_rows
@@ -92,6 +94,91 @@ def _rss(x: np.ndarray, y: np.ndarray, yy: float) -> float:
         return math.inf
 
 
+# More lags than this are multiplied in numpy, block by block.
+WIDE = 40
+
+
+def _edges(width: int) -> list[Column]:
+    """Per series: its size and its first and last few values."""
+    point = F.struct(F.col("_t").alias("t"), F.col("_z").alias("z"))
+    return [
+        F.max("_n").alias("_n"),
+        F.max("_m").alias("_m"),
+        F.max("_sd").alias("_sd"),
+        F.collect_list(F.when(F.col("_t") <= width + 2, point)).alias("_head"),
+        F.collect_list(F.when(F.col("_t") >= F.col("_n") - width - 2, point)).alias("_tail"),
+    ]
+
+
+def _moments(rows: DataFrame, by: list[str], order: list[str], width: int, layout: str) -> DataFrame:
+    """Sums of products of the newest difference and the level with every lag."""
+    ser = series(rows, by, order, back=width + 1, layout=layout)
+    past = {f"_l{k}": ser.shift("_z", k) for k in range(1, width + 2)}
+    rows = ser.finish(ser.df.withColumns(past))
+    # As text, many sums are one call. Rows before the common sample add nothing.
+    steps = [f"{'_z' if j == 0 else f'_l{j}'} - _l{j + 1} AS _d{j}" for j in range(width + 1)]
+    rows = rows.selectExpr("*", "_t >= _m + 2 AS _use", *steps)
+
+    def sums(value: str) -> Column:
+        cells = [f"coalesce(sum({value.format(j)}) FILTER (WHERE _use), 0D)" for j in range(width + 1)]
+        return F.expr(f"array({', '.join(cells)})")
+
+    return rows.groupBy(*by).agg(
+        *_edges(width),
+        F.expr("sum(_l1) FILTER (WHERE _use)").alias("_z1"),
+        F.expr("sum(_l1 * _l1) FILTER (WHERE _use)").alias("_z11"),
+        sums("_d{}").alias("_s"),
+        sums("_l1 * _d{}").alias("_g"),
+        sums("_d0 * _d{}").alias("_r"),
+    )
+
+
+def _block_moments(rows: DataFrame, by: list[str], order: list[str], width: int, layout: str) -> DataFrame:
+    """The same sums for long series with many lags.
+
+    Each block of rows (with the rows its lags reach) is reduced to one array of
+    sums per series in it; the arrays are added up element by element.
+    """
+    ser = series(rows, by, order, back=width + 1, layout="blocks")
+    rows = rows.drop("_pos")
+    blocks = ser.df.select(*by, "_block", "_pos", "_core", "_t", "_m", "_z")
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("_p", T.ArrayType(T.DoubleType()))])
+
+    def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos").reset_index(drop=True)
+        z, t, m = (pdf[c].to_numpy() for c in ("_z", "_t", "_m"))
+        at = np.flatnonzero(pdf["_core"].to_numpy() & (t >= m + 2))
+        if not len(at):
+            return pdf[by].iloc[:0].assign(_p=pd.Series([], dtype=object))
+        starts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(t == 1)[at])) + 1]
+        d = np.r_[0.0, np.diff(z)]
+        level, newest, limit = z[at - 1], d[at], m[at]
+        parts = [np.add.reduceat(level, starts), np.add.reduceat(level * level, starts)]
+        lagged = [np.where(limit >= j, d[np.maximum(at - j, 0)], 0.0) for j in range(width + 1)]
+        for factor in (1.0, level, newest):
+            parts += [np.add.reduceat(factor * v, starts) for v in lagged]
+        out = pdf[by].iloc[at[starts]].reset_index(drop=True)
+        out["_p"] = list(np.array(parts).T.tolist())
+        return out
+
+    cells = blocks.groupBy("_block").applyInPandas(reduce_block, schema)
+    cells = cells.select(*by, F.posexplode("_p").alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_c"))
+    values, k = F.col("_c._v"), width + 1
+    packed = packed.select(
+        *by,
+        values[0].alias("_z1"),
+        values[1].alias("_z11"),
+        *[F.slice(values, 3 + i * k, k).alias(name) for i, name in enumerate(("_s", "_g", "_r"))],
+    )
+    edges = rows.groupBy(*by).agg(*_edges(width))
+    sums = ["_z1", "_z11", "_s", "_g", "_r"]
+    out = attach(edges, packed, by, sums)
+    # Series without a single usable row have no sums; their status says so.
+    nothing = F.array_repeat(F.lit(0.0), k)
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0) if c in ("_z1", "_z11") else nothing) for c in sums})
+
+
 def adf(
     df: DataFrame,
     col: str,
@@ -127,32 +214,9 @@ def adf(
         m = F.lit(lag)
     z = F.when(F.col("_sd") > 0, (F.col("_y") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
     rows = attach(rows, stats, by, ["_n", "_mean", "_sd"]).withColumn("_z", z).withColumn("_m", m.cast("int"))
-    rows = numbered(rows, by, order_cols, layout, "_t", "_len").drop("_len")
-    ser = series(rows, by, order_cols, back=width + 1, layout=layout)
-    past = {f"_l{k}": ser.shift("_z", k) for k in range(1, width + 2)}
-    rows = ser.finish(ser.df.withColumns(past)).withColumnRenamed("_z", "_l0")
-    t = F.col("_t")
-    # Rows before the common sample add nothing; as text, many sums are one call.
-    steps = [f"_l{j} - _l{j + 1}" for j in range(width + 1)]
-    rows = rows.selectExpr("*", "_t >= _m + 2 AS _use", *[f"{e} AS _d{j}" for j, e in enumerate(steps)])
-
-    def sums(value: str):
-        cells = [f"coalesce(sum({value.format(j)}) FILTER (WHERE _use), 0D)" for j in range(width + 1)]
-        return F.expr(f"array({', '.join(cells)})")
-
-    point = F.struct(t.alias("t"), F.col("_l0").alias("z"))
-    moments = rows.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        F.max("_m").alias("_m"),
-        F.max("_sd").alias("_sd"),
-        F.expr("sum(_l1) FILTER (WHERE _use)").alias("_z1"),
-        F.expr("sum(_l1 * _l1) FILTER (WHERE _use)").alias("_z11"),
-        sums("_d{}").alias("_s"),
-        sums("_l1 * _d{}").alias("_g"),
-        sums("_d0 * _d{}").alias("_r"),
-        F.collect_list(F.when(t <= width + 2, point)).alias("_head"),
-        F.collect_list(F.when(t >= F.col("_n") - width - 2, point)).alias("_tail"),
-    ).withColumn("_fixed", F.lit(-1 if lag is None else lag))
+    rows = numbered(rows, by, order_cols, layout, "_t", "_len", keep_pos=True).drop("_len")
+    moments = (_moments if width <= WIDE else _block_moments)(rows, by, order_cols, width, layout)
+    moments = moments.withColumn("_fixed", F.lit(-1 if lag is None else lag))
     out = map_rows(moments, _fit, _OUT, [*by, "_n"])
     p = adf_p_value(F.col("statistic"))
     crit = adf_critical(F.col("nobs").cast("double"))

@@ -136,7 +136,7 @@ def fit_var(
         for i, c in enumerate(cols)
     ]
     rows = rows.withColumns({f"_v{i}": z for i, z in enumerate(scaled)}).withColumn("_m", limit)
-    rows = numbered(rows, by, order_cols, layout, "_t", "_len")
+    rows = numbered(rows, by, order_cols, layout, "_t", "_len", keep_pos=True)
     ser = series(rows, by, order_cols, back=maxlags, layout=layout)
     lags = {f"_v{i}_{j}": ser.shift(f"_v{i}", j) for j in range(1, maxlags + 1) for i in range(k)}
     rows = ser.finish(ser.df.withColumns(lags))

@@ -155,7 +155,9 @@ def decompose(
     """
     p = max(period, 2)
     half = p // 2
-    rows = numbered(df.filter(F.col(col).isNotNull()), by, order, layout, "_t", "_n").filter(F.col("_n") >= 2 * p)
+    rows = numbered(df.filter(F.col(col).isNotNull()), by, order, layout, "_t", "_n", keep_pos=True).filter(
+        F.col("_n") >= 2 * p
+    )
     s = series(rows, by, order, back=half, ahead=half, layout=layout)
     weights = {k: 1.0 / p for k in range(-half, half + 1)}
     if p % 2 == 0:

@@ -170,3 +170,17 @@ def test_best_model_ties_and_nulls(spark):
     df = spark.createDataFrame([("e", "b", 1.0), ("e", "a", 1.0), ("e", "c", None), ("z", "c", None)], "entity string, model string, R2 double")
     got = {r["entity"]: r["best_model"] for r in m.best_model(df, "R2").collect()}
     assert got == {"e": "a", "z": None}
+
+
+def test_many_lags_block_by_block(panel, panel_pdf, monkeypatch):
+    from panelwright.operators import series as se
+    from panelwright.operators import unitroot as ur
+
+    plain = adf(panel, "y").toPandas().set_index("industry").sort_index()
+    pooled = adf(panel, "y", [], ["industry", "year"]).toPandas()
+    monkeypatch.setattr(ur, "WIDE", 3)
+    monkeypatch.setattr(se, "BLOCK_ROWS", 17)
+    wide = adf(panel, "y").toPandas().set_index("industry").sort_index()
+    again = adf(panel, "y", [], ["industry", "year"]).toPandas()
+    for a, b in ((plain, wide), (pooled, again)):
+        assert np.allclose(a.test_statistic, b.test_statistic, atol=1e-9) and list(a.n_lags_used) == list(b.n_lags_used)

@@ -377,6 +377,27 @@ def i17(spark, sf):
     return rounded(fc.drop("model"))
 
 
+@query(
+    "i16_recursive_one_lag",
+    with_ctes(
+        AR1_SQL,
+        """te AS (SELECT industry, year, cash_ratio AS actual, row_number() OVER (PARTITION BY industry ORDER BY year) AS h
+          FROM split WHERE split = 'test'),
+        la AS (SELECT industry, arg_max(y, year) AS yt FROM lv GROUP BY 1)""",
+        body="""SELECT industry, year, 'test' AS split, round(actual, 6) AS actual,
+        round(c / (1 - phi) + phi ** h * (yt - c / (1 - phi)), 6) AS forecast
+        FROM te JOIN ar USING (industry) JOIN la USING (industry)
+        UNION ALL SELECT industry, year, 'train', round(y, 6), round(c + phi * p, 6)
+        FROM lv JOIN ar USING (industry) WHERE p IS NOT NULL""",
+    ),
+)
+def i16_one(spark, sf):
+    """Own predictions fed back: with one lag, the path of the simple regression."""
+    rows = split_panel(spark, sf, "nation", "cash_ratio")
+    fc, _ = sq.sequence_forecast(rows, "cash_ratio", n_steps=1, epochs=3000, patience=3000)
+    return rounded(fc.drop("model"))
+
+
 @query("i18_run_models")
 def i18(spark, sf):
     features = feature_panel(month_panel(spark, sf))

@@ -126,16 +126,45 @@ def h5(spark, sf):
     return rounded(rt.white_test(settle(demeaned(spark, sf)), ["industry"], "year").drop("f_p_value", "df"))
 
 
-@query("h4_breusch_pagan_exog")
+def _exog_sql(exprs, df):
+    """Squared deviations of the cash flow on given regressors, made orthogonal in turn."""
+    cols = ", ".join(f"{e} AS x{i}" for i, e in enumerate(exprs, 1))
+    g = "OVER (PARTITION BY industry)"
+    out = f""", o0 AS (SELECT industry, (flow / 1e5) ** 2 AS y, {cols} FROM (
+      SELECT *, free_cash_flow - avg(free_cash_flow) {g} AS flow, (current_ratio - avg(current_ratio) {g}) / stddev_pop(current_ratio) {g} AS a,
+        (cash_ratio - avg(cash_ratio) {g}) / stddev_pop(cash_ratio) {g} AS b FROM panel))"""
+    for p in range(1, len(exprs) + 1):
+        fits = "".join(f" - q{j} * sum(x{p} * q{j}) {g} / sum(q{j} * q{j}) {g}" for j in range(1, p))
+        out += f", o{p} AS (SELECT *, x{p} - avg(x{p}) {g}{fits} AS q{p} FROM o{p - 1})"
+    r2 = " + ".join(f"corr(y, q{j}) ** 2" for j in range(1, len(exprs) + 1))
+    out += f", lm AS (SELECT industry, count(*) AS n_obs, {r2} AS r2 FROM o{len(exprs)} GROUP BY 1)"
+    return with_ctes(
+        panel("nation") + out,
+        body=f"""SELECT industry, n_obs, round(n_obs * r2, 6) AS lm_stat, {df} AS df,
+        round({chi2_sf_sql('n_obs * r2', df)}, 6) AS p_value,
+        round((r2 / {df}) / ((1 - r2) / (n_obs - {df + 1})), 6) AS f_stat,
+        {chi2_sf_sql('n_obs * r2', df)} < 0.05 AS heteroskedastic FROM lm""",
+    )
+
+
+def _flow_residuals(spark, sf):
+    from panelwright.operators.impute import attach
+
+    rows = settle(month_panel(spark, sf, "nation"))
+    mean = rows.groupBy("industry").agg(F.avg("free_cash_flow").alias("m"))
+    return attach(rows, mean, ["industry"], ["m"]).withColumn("residual", F.col("free_cash_flow") - F.col("m"))
+
+
+@query("h4_breusch_pagan_exog", _exog_sql(["a", "b"], 2))
 def h4_exog(spark, sf):
-    rows = month_panel(spark, sf, "nation").withColumn("residual", F.col("cash_ratio") - F.col("quick_ratio"))
-    return rounded(rt.breusch_pagan(rows, ["industry"], "year", exog=["current_ratio", "cash_ratio"]))
+    rows = _flow_residuals(spark, sf)
+    return rounded(rt.breusch_pagan(rows, ["industry"], "year", exog=["current_ratio", "cash_ratio"]).drop("f_p_value"))
 
 
-@query("h5_white_exog")
+@query("h5_white_exog", _exog_sql(["a", "b", "a * a", "a * b", "b * b"], 5))
 def h5_exog(spark, sf):
-    rows = month_panel(spark, sf, "nation").withColumn("residual", F.col("cash_ratio") - F.col("quick_ratio"))
-    return rounded(rt.white_test(rows, ["industry"], "year", exog=["current_ratio", "cash_ratio"]))
+    rows = _flow_residuals(spark, sf)
+    return rounded(rt.white_test(rows, ["industry"], "year", exog=["current_ratio", "cash_ratio"]).drop("f_p_value"))
 
 
 JB_SQL = """SELECT {key}, n_obs, round(n_obs / 6.0 * (skew ** 2 + kurt ** 2 / 4), {d}) AS statistic,
@@ -188,8 +217,15 @@ def h7(spark, sf):
     )
 
 
-@query("h7_residual_report_full")
-def h7_full(spark, sf):
+@query(
+    "h7_residual_report_white",
+    with_ctes(
+        panel("nation") + DEMEANED + _trend_sql(4),
+        body=f"""SELECT industry, n_obs, round(n_obs * r2, 6) AS lm_stat,
+        {chi2_sf_sql('n_obs * r2', 4)} < 0.05 AS heteroskedastic FROM lm""",
+    ),
+)
+def h7_white(spark, sf):
     out = rt.residual_report(demeaned(spark, sf), ["industry"], "year")
     return out.select("industry", "n_obs", "white.*").withColumn("lm_stat", F.round("lm_stat", 6)).select(
         "industry", "n_obs", "lm_stat", "heteroskedastic"

@@ -46,7 +46,7 @@ def unpack(values: Sequence[float], k: int) -> np.ndarray:
 
 
 def least_squares(
-    xtx: np.ndarray, xty: np.ndarray, ridge: float = 0.0, tol: float = 1e-11
+    xtx: np.ndarray, xty: np.ndarray, ridge: float = 0.0, tol: float = 1e-13
 ) -> tuple[np.ndarray, int, np.ndarray]:
     """Coefficients, rank and inverse from moments; minimum norm if deficient.
 

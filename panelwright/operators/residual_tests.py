@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import dw_band
+from panelwright.functions.scalar import dot, dw_band
 from panelwright.functions.special import chi2_sf_np, f_sf_np
 from panelwright.operators.acf import ljung_box
 from panelwright.operators.gram import gram, least_squares, map_rows, unpack
@@ -49,13 +49,34 @@ def _regressors(res, by, order, col, exog, layout):
     """Rows with the auxiliary regressors: a centred time trend and its square, or exog."""
     rows = res.filter(F.col(col).isNotNull() & ~F.isnan(col))
     if exog:
-        rows = standardize(rows, exog, by, suffix="_std")
-        return rows, [F.col(f"{c}_std") for c in exog]
+        return _whitened(rows, by, exog)
     rows = numbered(rows, by, order, layout, "_t", "_n")
     rows = rows.withColumn("_s", (2 * F.col("_t") - F.col("_n") - 1) / F.col("_n"))
     return rows, [F.col("_s"), F.col("_s") * F.col("_s")]
 
 
+def _whitened(rows, by, exog):
+    """Regressors turned into uncorrelated ones, per group.
+
+    The tests only depend on the space the regressors (and their products) span.
+    Uncorrelated columns span the same space, and their moments are well
+    conditioned even if the given columns nearly coincide.
+    """
+    k = len(exog)
+    rows = standardize(rows, exog, by, suffix="_std")
+    std = [F.col(f"{c}_std") for c in exog]
+
+    def turn(row: dict) -> dict:
+        w, v = np.linalg.eigh(unpack(row["g"], k) / max(int(row["n"]), 1))
+        size = np.where(w > 1e-13 * max(w[-1], 1e-300), 1 / np.sqrt(np.where(w > 0, w, 1.0)), 0.0)
+        return {"_turn": (v * size).T.ravel().tolist()}
+
+    turned = map_rows(gram(rows, by, std), turn, "_turn array<double>", by)
+    rows = attach(rows, turned, by, ["_turn"])
+    mixed = {f"_e{i}": dot([F.col("_turn")[i * k + j] for j in range(k)], std) for i in range(k)}
+    return rows.withColumns(mixed), [F.col(c) for c in mixed]
+
+
 def _run(rows, by, xs, col):
     # In units of the mean squared residual the statistics are the same and well scaled.
     mean = rows.groupBy(*by).agg(F.avg(F.col(col) * F.col(col)).alias("_ms"))

@@ -72,7 +72,7 @@ def _gapped(spark, sf):
 )
 def c2(spark, sf):
     rows = time_split(_gapped(spark, sf))
-    out = i.impute_median(rows, ["cash_ratio", "quick_ratio"], ["industry", "split"])
+    out = i.impute_median(rows, ["cash_ratio", "quick_ratio"], ["industry", "split"], bounded=True)
     return rounded(out.select("industry", "year", "split", "cash_ratio", "quick_ratio"))
 
 
@@ -88,7 +88,7 @@ def c2(spark, sf):
     ),
 )
 def c3(spark, sf):
-    out = i.impute_median(_gapped(spark, sf), ["cash_ratio", "quick_ratio"], ["industry"], zero=["free_cash_flow"])
+    out = i.impute_median(_gapped(spark, sf), ["cash_ratio", "quick_ratio"], ["industry"], zero=["free_cash_flow"], bounded=True)
     return rounded(out.select("industry", "year", "cash_ratio", "quick_ratio", "free_cash_flow"))
 
 

@@ -37,6 +37,30 @@ PANEL_MEASURES = [
     "total_assets", "total_liabilities", "revenue", "net_income",
 ]
 
+# Names of the activity sections.
+SECTION_LABELS = {
+    "A": "Agriculture & Forestry",
+    "B": "Mining & Quarrying",
+    "C": "Manufacturing",
+    "D": "Electricity & Gas Supply",
+    "E": "Water Supply & Waste",
+    "F": "Construction",
+    "G": "Wholesale & Retail Trade",
+    "H": "Transportation & Storage",
+    "I": "Accommodation & Food",
+    "J": "Information & Communications",
+    "K": "Financial & Insurance",
+    "L": "Real Estate",
+    "M": "Professional & Scientific",
+    "N": "Administrative Services",
+    "O": "Public Administration",
+    "P": "Education",
+    "Q": "Healthcare & Social",
+    "R": "Arts & Entertainment",
+    "S": "Other Services",
+    "T": "Household Employers",
+}
+
 _PERIOD_PARTS = {"year": (1, 4), "month": (1, 7), "day": (1, 10)}
 
 

@@ -25,15 +25,14 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], names: Sequence[s
 
 
 def impute_median(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: Sequence[str] = (), bounded: bool | None = None
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
     """Fill nulls by the group median, then by zero; ``zero`` columns by zero only.
 
-    ``bounded`` (see ``exact_median``) is assumed when grouping by a key of a
-    panel, and never for whole-table medians.
+    ``bounded`` (see ``exact_median``) saves the size check where every group is
+    known to be short, as an entity of a panel is.
     """
     cols, by = list(cols), list(by)
-    bounded = bool(by) if bounded is None else bounded
     medians = exact_median(df, by, cols, bounded=bounded)
     names = {c: f"_median_{c}" for c in cols}
     medians = medians.select(*by, *[F.col(c).cast("double").alias(n) for c, n in names.items()])

@@ -69,7 +69,7 @@ def run_models(
     rows = time_split(rows, by, period)
     exog = feature_columns(rows, None, None, containing=("lag",))
     models = dict(models or ar.default_models(exog))
-    rows = impute_median(rows, exog, [entity, "split"]) if exog else rows
+    rows = impute_median(rows, exog, [entity, "split"], bounded=True) if exog else rows
     train_size = F.count(F.when(F.col("split") == "train", 1))
     small = rows.groupBy(entity).agg(train_size.alias("n_train"))
     rows = settle(attach(rows, small, by, ["n_train"]), "split-panel")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.derive import feature_columns, for_entities, priority_features, with_label
+from panelwright.operators.derive import SECTION_LABELS, feature_columns, for_entities, priority_features, with_label
 from panelwright.operators.impute import impute_median
 from panelwright.operators.metrics import forecast_metrics
 from panelwright.operators.sequence import sequence_forecast
@@ -41,7 +41,7 @@ def run_sequence_models(
     by = [entity]
     rows = features if entities is None else for_entities(features, entities, entity)
     feats = feature_columns(rows, target, period)
-    rows = time_split(impute_median(rows, feats, by, zero=[target]), by, period)
+    rows = time_split(impute_median(rows, feats, by, zero=[target], bounded=True), by, period)
     rows = settle(rows, "sequence-panel")
     n_train = F.count(F.when(F.col("split") == "train", 1))
     enough = rows.groupBy(entity).agg(n_train.alias("_n")).filter(F.col("_n") >= min_train)
@@ -81,7 +81,7 @@ def run_sequence_models(
     stack = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
     out["forecasts"] = settle(stack(forecasts), "sequence-forecasts")
     scores = forecast_metrics(out["forecasts"], [entity, "model", "split"], r2_const="null", msre=False)
-    out["metrics"] = with_label(scores, labels or {}, entity, f"{entity}_name")
+    out["metrics"] = with_label(scores, SECTION_LABELS if labels is None else labels, entity, f"{entity}_name")
     if losses:
         out["losses"] = stack(losses)
     spark = features.sparkSession

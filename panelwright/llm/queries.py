@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, mixing, secret_scan, sharding, url_trust
+from panelwright.llm import decontamination, mixing, secret_scan, sharding, substring, url_trust
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -39,3 +40,9 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_url_trust(spark: SparkSession, sf: str) -> DataFrame:
     return url_trust.judge(table(spark, sf, "pages"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, mixing, secret_scan, sharding, substring, url_trust
+from panelwright.llm import decontamination, jaccard, mixing, secret_scan, sharding, substring, url_trust
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -46,3 +46,8 @@ def op10_url_trust(spark: SparkSession, sf: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents")).drop("rid")

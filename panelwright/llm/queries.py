@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, jaccard, mixing, secret_scan, sharding, substring, url_trust
+from panelwright.llm import decontamination, jaccard, mixing, secret_scan, sharding, substring, toxicity, url_trust
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -51,3 +51,8 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents")).drop("rid")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, jaccard, mixing, secret_scan, sharding, substring, toxicity, url_trust
+from panelwright.llm import decontamination, jaccard, kneser_ney, mixing, secret_scan, sharding, substring, topk, toxicity, url_trust
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -56,3 +56,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_kneser_ney_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))

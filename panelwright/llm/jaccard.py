@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import keep, with_rid
+from panelwright.llm.common import keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
 LAST = 2**63 - 1
@@ -310,16 +310,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The documents' own columns; of every component the row with the smallest doc_id stays."""
-    rows = near_duplicates(docs, k, percent)
-    # A component's rows are compared by a partial aggregation, never gathered.
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "rid")).alias("m")
-    lead = jaccard_leads(rows, least)
+    rows, _, _ = jaccard_join(docs, k, percent)
+    # A component's rows meet in a partial aggregation, they are never gathered.
+    stays = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "rid")).alias("stays")
+    best = rows.groupBy("comp").agg(stays, F.count(F.lit(1)).alias("c")).filter("c > 1").select("comp", F.col("stays.rid").alias("stays"))
+    going = keep(rows.join(best, "comp").filter("rid <> stays").select("rid"), "going")
     base = with_rid(docs.select(F.struct("*").alias("row")))
-    return base.join(lead, "rid", "left_anti").select("row.*")
-
-
-def jaccard_leads(rows: DataFrame, least) -> DataFrame:
-    """Keys of the rows that go."""
-    rows = keep(rows, "near")
-    best = rows.groupBy("component_id").agg(least, F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return keep(rows.join(best, "component_id").filter(F.col("rid") != F.col("m.rid")).select("rid"), "going")
+    return base.join(sized(going), "rid", "left_anti").select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelwright.llm import decontamination, jaccard, kneser_ney, mixing, secret_scan, sharding, substring, topk, toxicity, url_trust
 from panelwright.llm.common import table
 
@@ -66,3 +67,8 @@ def op4_kneser_ney_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

@@ -17,8 +17,10 @@ from panelwright.operators.impute import attach, impute_median, standardize
 from panelwright.operators.series import numbered, series
 from panelwright.session import settle
 
-# Fixed value: fewest rows from which a factor is extracted.
+# Fixed value: fewest rows, of all groups together, from which a factor is extracted.
 MIN_OBS = 20
+#: Fewest rows of one group that give it loadings of its own.
+GROUP_OBS = 3
 
 
 def _prepared(
@@ -170,7 +172,9 @@ def dynamic_factor(
     k = len(cols)
     rows, names = _prepared(df, cols, by, bounded=not blocked)
     rows = settle(rows, "factor-columns")
-    loads = map_rows(gram(rows, by, [F.col(c) for c in names]), _loadings(k, min_obs), _LOADINGS, [*by, "n"])
+    # The panel as a whole has to be large enough; a yearly group never is by itself.
+    least = GROUP_OBS if by and rows.count() >= min_obs else min_obs
+    loads = map_rows(gram(rows, by, [F.col(c) for c in names]), _loadings(k, least), _LOADINGS, [*by, "n"])
     rows = attach(rows, loads, by, ["loadings", "noise"])
     score = dot([F.col("loadings")[i] for i in range(k)], [F.col(c) for c in names])
     rows = numbered(rows.withColumn("_score", score), by, order_cols, layout, "_t", "_n", keep_pos=True)

@@ -4,8 +4,11 @@ Spark's ``median`` keeps every distinct value of a group in one task. That is
 the fastest way while groups are small, so it is used for all groups up to
 ``max_group`` rows. Larger groups are narrowed down by histograms instead: each
 pass counts values per bucket with map-side combine, keeps the bucket holding
-the middle rank, and splits it again until the middle value stands alone. Only
-bucket counts are shuffled, never the values.
+the middle rank, and splits it again until the middle value stands alone. The
+first pass splits by sign and exponent, later ones split one binade evenly, so
+six passes are enough for any doubles. Infinities and NaN (which sorts last) are
+counted apart, with the result of Spark's ``median``. Only bucket counts are
+shuffled, never the values.
 """
 
 from __future__ import annotations
@@ -78,17 +81,34 @@ def _select_medians(
     values = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_m", "_v")).filter(
         F.col("_v").isNotNull()
     )
+    v, infinite = F.col("_v"), F.lit(float("inf"))
+    finite = ~F.isnan(v) & (F.abs(v) < infinite)
+    counts = values.groupBy(*keys).agg(
+        F.count("_v").alias("_n"),
+        F.count(F.when(v == -infinite, 1)).alias("_neg"),
+        F.count(F.when(finite, 1)).alias("_fin"),
+        F.count(F.when(v == infinite, 1)).alias("_pos"),
+        F.min(F.when(finite, v)).alias("_lo"),
+        F.max(F.when(finite, v)).alias("_hi"),
+    )
+    counts = counts.withColumn("_r0", F.expr("(_n - 1) div 2")).withColumn("_r1", F.expr("_n div 2"))
+
+    def apart(rank: str) -> Column:
+        """The value at a rank if it is not finite; else 0."""
+        r = F.col(rank)
+        below = F.when(r < F.col("_neg"), -infinite).when(r < F.col("_neg") + F.col("_fin"), 0.0)
+        return below.when(r < F.col("_neg") + F.col("_fin") + F.col("_pos"), infinite).otherwise(float("nan"))
+
+    odd = apart("_r0") + apart("_r1")
     state = settle(
-        values.groupBy(*keys)
-        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(
+        counts.select(
             *keys,
-            F.expr("(_n - 1) div 2").alias("_k0"),
-            F.expr("_n div 2").alias("_k1"),
+            (F.col("_r0") - F.col("_neg")).alias("_k0"),
+            (F.col("_r1") - F.col("_neg")).alias("_k1"),
             "_lo",
             "_hi",
             F.lit(0).cast("long").alias("_below"),
-            F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_median"),
+            F.when(odd != 0, odd).when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_median"),
         ),
         "median-state",
     )
@@ -109,14 +129,20 @@ def _select_medians(
     return joined.select(*[base[k] for k in by], *[wide[c] for c in cols], *counts)
 
 
+def _binade(v: Column) -> Column:
+    """A whole number that grows with ``v``: its exponent, shifted to one side of 0 by the sign."""
+    return F.when(v == 0, 0).otherwise((F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1080)).cast("int"))
+
+
 def _narrow(values: DataFrame, todo: DataFrame, keys: list[str], buckets: int, n_states: int) -> DataFrame:
     """One pass: replace each interval by the bucket that holds the middle rank."""
     st = todo.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_k0", "_k1", "_lo", "_hi", "_below")
     side = F.broadcast(st) if n_states <= BROADCAST_GROUPS else st
     on = reduce(lambda a, b: a & b, [values[k].eqNullSafe(side[f"_s{k}"]) for k in keys])
-    # Halves first, so that the width of the widest interval stays finite.
-    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+    # Values of one sign and exponent are split evenly, others by sign and exponent.
+    lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
+    even = F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+    bucket = F.when(_binade(lo) == _binade(hi), even).otherwise(_binade(v))
     hist = (
         values.join(side, on & F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .groupBy(*keys, "_k0", "_k1", "_below", bucket.alias("_b"))

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 _FORMATS = ("parquet", "csv", "json")
 
 
+def absent(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there; other failures must not pass for that."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """Record-level statement table; columns are pruned by what is used later."""
     return spark.read.parquet(path)
@@ -20,8 +25,8 @@ def read_panel(spark: SparkSession, path: str, fallback: str | None = None) -> D
     """Panel table, or the fallback source where the panel does not exist yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as error:
+        if fallback is None or not absent(error):
             raise
         return spark.read.parquet(fallback)
 
@@ -52,24 +57,10 @@ def read_table(
     """Read a tidy table by its schema; an absent optional table is empty."""
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     try:
         return reader.load(path)
-    except AnalysisException:
-        if not optional:
+    except AnalysisException as error:
+        if not optional or not absent(error):
             raise
         return spark.createDataFrame([], schema)
-
-
-# Schemas of the tidy result tables.
-FORECASTS = (
-    "entity string, model string, split string, period int, actual double, forecast double, shock double, status string"
-)
-METRICS_TABLE = (
-    "entity string, model string, split string, n_obs long, MSE double, RMSE double, MAE double, MAPE double, "
-    "SMAPE double, MSRE double, R2 double"
-)
-INFO_CRITERIA = (
-    "entity string, model string, order string, seasonal_order string, AIC double, BIC double, AICc double, "
-    "HQIC double, LLF double"
-)

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from panelwright.operators.median import same_keys
+from panelwright.sources.tables import absent
 
 
 def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -26,7 +27,9 @@ def append_pending(df: DataFrame, path: str, keys: Sequence[str], build) -> Data
     spark = df.sparkSession
     try:
         done = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         done = None
     build(pending(df, done, keys)).write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -86,3 +86,23 @@ def test_histogram_matches_numpy(spark, panel, panel_pdf):
     assert np.allclose(got.density, want) and np.allclose(got.left_edge, edges[:-1])
     flat = spark.createDataFrame([("c", 2.0)] * 3, "industry string, y double")
     assert residual_histogram(flat, ["industry"], "y").agg(F.sum("n_in_bin")).first()[0] == 3
+
+
+def test_large_groups_with_infinities_and_nan_end_as_small_ones_do(spark):
+    rng = np.random.default_rng(5)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "inf": [*rng.normal(size=300).tolist(), inf, -inf, inf],
+        "nan": [*map(float, range(301)), nan],
+        "mostly inf": [inf] * 200 + [1.0] * 100,
+        "half": [1.0, 2.0, inf, inf] * 50,
+        "both": [-inf, inf] * 60,
+        "wide": [10.0 ** (i % 600 - 300) * (-1) ** i for i in range(1201)],
+        "tiny": [5e-324 * i for i in range(200)] + [0.0] * 7,
+        "huge": [1.7e308, -1.7e308] * 100 + [1.6e308],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    small = {r.g: r.v for r in exact_median(df, ["g"], ["v"]).collect()}
+    large = {r.g: r.v for r in exact_median(df, ["g"], ["v"], max_group=10, buckets=64).collect()}
+    for g in groups:
+        assert large[g] == pytest.approx(small[g], rel=1e-15, nan_ok=True), g

@@ -64,12 +64,21 @@ def test_dynamic_factor_equals_full_filter(panel, panel_pdf, layout, block):
         assert np.allclose(mine.liquidity_factor_dfm, factor) and np.allclose(mine.liquidity_shock_dfm, shock)
 
 
-def test_short_series_fall_back_to_the_principal_factor(panel):
-    some = panel.filter("industry = 'A' OR year < 20")
+def test_short_panels_fall_back_to_the_principal_factor(panel):
+    some = panel.filter("year < 6")
+    assert 0 < some.count() < fa.MIN_OBS
     out = fa.liquidity_factors(some, ["y", "x", "z", "absent"]).toPandas().sort_values(["industry", "year"])
     short = out[out.industry == "B"]
-    assert np.allclose(short.liquidity_factor_dfm, short.liquidity_factor_pca)
+    assert np.allclose(short.liquidity_factor_dfm.fillna(0), short.liquidity_factor_pca.fillna(0))
     assert np.allclose(short.liquidity_shock_dfm, short.liquidity_factor_pca.diff().fillna(0))
+
+
+def test_short_series_of_a_larger_panel_have_their_own_factor(panel):
+    some = panel.filter("industry = 'A' OR year < 14")
+    out = fa.dynamic_factor(some, ["y", "x", "z"]).toPandas().sort_values(["industry", "year"])
+    short = out[out.industry == "B"]
+    _, factor, _ = kalman(short[["y", "x", "z"]].to_numpy())
+    assert 2 < len(short) < fa.MIN_OBS and np.allclose(short.liquidity_factor_dfm, factor)
     assert out.liquidity_factor_dfm.notna().all()
 
 

@@ -14,8 +14,11 @@ Links are found in two rounds. First every set is tried against one centre of
 each equal-fragment group, the member with most fragments in common with others
 (of a text and its edited copies, the text); members joined by those links are
 one component. Then the groups that still hold several components try their
-members across components. A group of n near copies so costs about n trials, not
-n squared, and no link between components is missed.
+members across components, but for the pairs that their common centre rules out:
+with a and b as n-grams shared with the centre, two members share min(a, b) of
+the centre's at most; where that is too little they have to share an n-gram
+that the centre lacks, and are found by joining on those. So edited copies of
+one text cost about one trial each, and no link between components is missed.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a
 text of fewer words is one n-gram; repeated rows are rows with equal sets; a
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import keep, sized, with_rid
@@ -197,8 +200,8 @@ def shared_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), part.column("n_a"), part.column("n_b"), pa.array(n, pa.int64())], ["x", "y", "n_a", "n_b", "shared"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose sets are similar enough, counted fragment by fragment."""
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, n_a, n_b, shared) of ``pairs`` (x, y), counted fragment by fragment."""
     whole = sets.filter("cuts = 1")
     few = pairs.join(whole.select(F.col("rid").alias("x"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), "x")
     few = few.join(whole.select(F.col("rid").alias("y"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b")), "y")
@@ -214,9 +217,53 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     large = a.drop("cut").join(b, ["x", "y", "at"])
     cols = ["x", "y", "n_a", "n_b", "grams_a", "grams_b"]
     kinds = "x long, y long, n_a long, n_b long, shared long"
-    counted = few.select(*cols).unionByName(large.select(*cols)).mapInArrow(shared_rows, kinds)
-    sums = counted.groupBy("x", "y").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
-    return sums.filter(F.col("shared") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("x", "y", "shared", "n_a", "n_b")
+    parts = few.select(*cols).unionByName(large.select(*cols)).mapInArrow(shared_rows, kinds)
+    return parts.groupBy("x", "y").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
+
+
+def enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return shared * 100 >= percent * (n_a + n_b - shared)
+
+
+def similar(sums: DataFrame, percent: int) -> DataFrame:
+    return sums.filter(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("x", "y", "shared", "n_a", "n_b")
+
+
+def lacking_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, rid): n-grams of a set that its centre lacks."""
+    for part in parts:
+        out, who = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for rid, x, y in zip(part.column("rid").to_numpy(), part.column("grams"), part.column("centre_grams")):
+            out.append(np.setdiff1d(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), assume_unique=True))
+            who.append(np.full(len(out[-1]), rid))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], ["gram", "rid"])
+
+
+def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of members of different components that may be similar.
+
+    ``info`` has rid, n, comp and, where it was tried, the centre c and the
+    n-grams o shared with it.
+    """
+    a = info.select([F.col(v).alias(f"{v}_x") for v in ("rid", "n", "comp", "c", "o")])
+    b = info.select([F.col(v).alias(f"{v}_y") for v in ("rid", "n", "comp", "c", "o")])
+    n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
+    fit = (F.col("rid_x") < F.col("rid_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
+    apart = F.coalesce((F.col("c_x") == F.col("c_y")) & ~enough(low, n_x, n_y, percent), F.lit(False))
+    left = held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x")
+    right = held.select(F.col("sig").alias("sig_y"), F.col("rid").alias("rid_y")).join(b, "rid_y")
+    same = left.join(right, (F.col("sig") == F.col("sig_y")) & fit & ~apart)
+
+    whole = sets.filter("cuts = 1").select("rid", "grams")
+    own = info.filter("c IS NOT NULL").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "c")
+    own = own.join(whole, "rid").join(whole.select(F.col("rid").alias("c"), F.col("grams").alias("centre_grams")), "c")
+    lack = keep(own.select("rid", "grams", "centre_grams").mapInArrow(lacking_rows, "gram long, rid long"), "lacking")
+    most = low + F.least(n_x - F.col("o_x"), n_y - F.col("o_y"))
+    left = lack.select("gram", F.col("rid").alias("rid_x")).join(a, "rid_x")
+    right = lack.select(F.col("gram").alias("gram_y"), F.col("rid").alias("rid_y")).join(b, "rid_y")
+    other = left.join(right, (F.col("gram") == F.col("gram_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(most, n_x, n_y, percent))
+    pick = [F.col("rid_x").alias("x"), F.col("rid_y").alias("y")]
+    return same.select(*pick).unionByName(other.select(*pick)).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,47 +307,38 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     taking = keep(groups.select("rid").distinct(), "taking")
     sets = keep(base.select("rid", "text").join(taking, "rid").select("rid", "text").mapInArrow(set_rows(k), "rid long, n long, cuts int, piece int, grams binary"), "sets")
     label = keep(taking.withColumn("comp", F.col("rid")), "labels")
-    tried, links = None, None
-    while True:
-        held = groups.join(label, "rid")
-        span = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-        held = held.join(span, "sig")
-        if tried is None:
-            # Each set against the centre of its group.
-            sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-            weight = keep(held.join(sizes, "sig").groupBy("rid").agg(F.sum("size").alias("weight")), "weights")
-            centre = held.join(weight, "rid").groupBy("sig").agg(F.max(F.struct("weight", "rid")).alias("c"))
-            pairs = held.join(centre.select("sig", F.col("c.rid").alias("c")), "sig").filter("c <> rid")
-            pairs = pairs.select(F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")).distinct()
-        else:
-            left = held.select("sig", F.col("rid").alias("x"), F.col("comp").alias("p"))
-            right = held.select("sig", F.col("rid").alias("y"), F.col("comp").alias("q"))
-            pairs = left.join(right, "sig").filter("p <> q AND x < y").select("x", "y").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = within_size(pairs, label, rows, percent)
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = keep(linked(pairs, sets, percent), "links")
-        done, tried = tried is not None, pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = components(label, found)
-        if done:
-            break
-    links = docs.sparkSession.createDataFrame([], "x long, y long, shared long, n_a long, n_b long") if links is None else links
+    n = keep(rows.join(taking, "rid", "left_semi").select("rid", "n"), "sizes")
+
+    # Each set against the centre of each of its groups.
+    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    weight = keep(groups.join(sizes, "sig").groupBy("rid").agg(F.sum("size").alias("weight")), "weights")
+    centre = groups.join(weight, "rid").groupBy("sig").agg(F.max(F.struct("weight", "rid")).alias("c"))
+    stars = groups.join(centre.select("sig", F.col("c.rid").alias("c")), "sig").filter("c <> rid").select("c", "rid").distinct()
+    stars = stars.join(n, "rid").join(n.select(F.col("rid").alias("c"), F.col("n").alias("n_c")), "c")
+    stars = keep(stars.filter(F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent).select("c", "rid", "n"), "stars")
+    tried = stars.select(F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")).distinct()
+    sums = keep(counted(tried, sets), "sums")
+    links = keep(similar(sums, percent), "links")
+    label = components(label, links)
+
+    held = groups.join(label, "rid")
+    span = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+    held = keep(held.join(span, "sig").select("sig", "rid"), "held")
+    if not held.isEmpty():
+        long = sets.filter("cuts > 1").select("rid").distinct()
+        best = stars.withColumn("x", F.least("c", "rid")).withColumn("y", F.greatest("c", "rid")).join(sums.select("x", "y", "shared"), ["x", "y"])
+        best = best.join(long, "rid", "left_anti").join(long.select(F.col("rid").alias("c")), "c", "left_anti")
+        best = best.groupBy("rid").agg(F.max(F.struct(F.col("shared").alias("o"), "c")).alias("m"))
+        info = label.join(n, "rid").join(best, "rid", "left").select("rid", "n", "comp", F.col("m.c").alias("c"), F.col("m.o").alias("o"))
+        pairs = keep(across(held, keep(info, "info"), sets, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
+        more = keep(similar(counted(pairs, sets), percent), "links")
+        links = links.unionByName(more)
+        label = components(label, more)
     comp = label.unionByName(copies.join(label, copies.rep == label.rid, "left").select(copies.rid, F.coalesce("comp", "rep").alias("comp")))
     out = rows.select("rid", "doc_id", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     return keep(out, "classes"), links, copies
 
 
-def within_size(pairs: DataFrame, label: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    n = keep(rows.join(label.select("rid"), "rid").select("rid", "n"), "sizes")
-    out = pairs.join(n.select(F.col("rid").alias("x"), F.col("n").alias("n_x")), "x").join(n.select(F.col("rid").alias("y"), F.col("n").alias("n_y")), "y")
-    return out.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent).select("x", "y")
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), rid."""
     rows, _, _ = jaccard_join(docs, k, percent)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelwright.llm import decontamination, jaccard, kneser_ney, mixing, secret_scan, sharding, substring, topk, toxicity, url_trust
+from panelwright.llm import decontamination, jaccard, kneser_ney, mixing, oracles, secret_scan, sharding, substring, topk, toxicity, url_trust
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -72,3 +72,11 @@ def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+SQL |= {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op6_ngram_jaccard_join": oracles.JACCARD_JOIN,
+    "op7_exact_top_k": oracles.TOP_K,
+}

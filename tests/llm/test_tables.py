@@ -121,7 +121,7 @@ def test_toxicity_learns_words_beginnings_and_disguises(spark, nothing):
         words = list(rng.choice(plain, 30 + i % 50))
         bad = i % 4 == 0
         if bad:
-            words.insert(5, ["vilewort", "grobnak" + "abcdefgh"[i % 8]][i // 4 % 2])
+            words.insert(5, ["vilewort", "grobnak" + "abcdefgh"[i // 8 % 8]][i // 4 % 2])
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -39,7 +39,7 @@ from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
 LAST = 2**63 - 1
 #: Growth of the size classes.
-STEP = 1.5
+STEP = 1.25
 #: Hashes in one fragment of a set as it is counted.
 PIECE = 4096
 LEVELS = 8
@@ -52,7 +52,8 @@ def size_classes(percent: int, top: int) -> tuple[np.ndarray, np.ndarray, np.nda
         ends.append(max(ends[-1] + 1, int(ends[-1] * STEP)))
     ends = np.array(ends, np.int64)
     most = 2 * ends * (100 - percent) // (100 + percent)
-    spare = np.where(most > 0, 1 + most // 32, 0)
+    # About a thirteenth of the fragments may be empty in the smallest sets of a class.
+    spare = np.where(most > 0, 1 + most // 12, 0)
     return ends, most + 1 + spare, spare
 
 

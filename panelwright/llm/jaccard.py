@@ -14,11 +14,13 @@ Links are found in two rounds. First every set is tried against one centre of
 each equal-fragment group, the member with most fragments in common with others
 (of a text and its edited copies, the text); members joined by those links are
 one component. Then the groups that still hold several components try their
-members across components, but for the pairs that their common centre rules out:
-with a and b as n-grams shared with the centre, two members share min(a, b) of
-the centre's at most; where that is too little they have to share an n-gram
-that the centre lacks, and are found by joining on those. So edited copies of
-one text cost about one trial each, and no link between components is missed.
+members across components, but for the pairs that their common hub rules out. A set's
+hub is found by going from centre to centre while half of the n-grams are
+shared, so that a text and its edited copies have one hub however many groups
+they fall into. With a and b as n-grams shared with the hub, two members share
+min(a, b) of the hub's at most; where that is too little they have to share an
+n-gram that the hub lacks, and are found by joining on those. So edited copies
+of one text cost about two trials each, and no link between components is missed.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a
 text of fewer words is one n-gram; repeated rows are rows with equal sets; a
@@ -243,17 +245,24 @@ def lacking_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of members of different components that may be similar.
 
-    ``info`` has rid, n, comp and, where it was tried, the centre c and the
-    n-grams o shared with it.
+    ``info`` has rid, n, comp and, where there is one, the hub c and the n-grams
+    o shared with it. Members of a group meet by families, those of one hub: the
+    families of a group in pairs, and within one only the members near its hub.
     """
-    a = info.select([F.col(v).alias(f"{v}_x") for v in ("rid", "n", "comp", "c", "o")])
-    b = info.select([F.col(v).alias(f"{v}_y") for v in ("rid", "n", "comp", "c", "o")])
+    info = info.withColumn("fam", F.coalesce("c", -1 - F.col("rid")))
+    a = info.select([F.col(v).alias(f"{v}_x") for v in info.columns])
+    b = info.select([F.col(v).alias(f"{v}_y") for v in info.columns])
     n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
-    fit = (F.col("rid_x") < F.col("rid_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
-    apart = F.coalesce((F.col("c_x") == F.col("c_y")) & ~enough(low, n_x, n_y, percent), F.lit(False))
-    left = held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x")
-    right = held.select(F.col("sig").alias("sig_y"), F.col("rid").alias("rid_y")).join(b, "rid_y")
-    same = left.join(right, (F.col("sig") == F.col("sig_y")) & fit & ~apart)
+    like = (F.col("comp_x") != F.col("comp_y")) & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
+    fit = like & (F.col("rid_x") < F.col("rid_y"))
+    left = keep(held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x"), "members")
+    right = left.select("sig", *[F.col(f"{v}_x").alias(f"{v}_y") for v in info.columns])
+    family = left.select("sig", "fam_x").distinct()
+    couples = family.join(family.withColumnRenamed("fam_x", "fam_y"), "sig").filter("fam_x < fam_y")
+    apart = couples.join(left, ["sig", "fam_x"]).join(right, ["sig", "fam_y"]).filter(like)
+    # Sharing less than the threshold with the hub, a member can't be similar to another by the hub's n-grams.
+    near = [side.filter(F.col(f"o_{v}") * 100 >= F.col(f"n_{v}") * percent) for side, v in ((left, "x"), (right, "y"))]
+    inner = near[0].join(near[1].withColumnRenamed("sig", "sig_y"), (F.col("sig") == F.col("sig_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(low, n_x, n_y, percent))
 
     whole = sets.filter("cuts = 1").select("rid", "grams")
     own = info.filter("c IS NOT NULL").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "c")
@@ -263,8 +272,18 @@ def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     left = lack.select("gram", F.col("rid").alias("rid_x")).join(a, "rid_x")
     right = lack.select(F.col("gram").alias("gram_y"), F.col("rid").alias("rid_y")).join(b, "rid_y")
     other = left.join(right, (F.col("gram") == F.col("gram_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(most, n_x, n_y, percent))
-    pick = [F.col("rid_x").alias("x"), F.col("rid_y").alias("y")]
-    return same.select(*pick).unionByName(other.select(*pick)).distinct()
+    pick = [F.least("rid_x", "rid_y").alias("x"), F.greatest("rid_x", "rid_y").alias("y")]
+    return apart.select(*pick).unionByName(inner.select(*pick)).unionByName(other.select(*pick)).distinct()
+
+
+def followed(low: DataFrame) -> DataFrame:
+    """(comp, low) with every ``low`` followed to the end of its chain."""
+    while True:
+        up = low.select(F.col("comp").alias("low"), F.col("low").alias("lower"))
+        step = keep(low.join(up, "low", "left").select("comp", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "hooks")
+        low = step.select("comp", "low")
+        if step.filter("moved").isEmpty():
+            return low
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -283,13 +302,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
         if low.isEmpty():
             return label
-        while True:
-            up = low.select(F.col("comp").alias("low"), F.col("low").alias("lower"))
-            step = keep(low.join(up, "low", "left").select("comp", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "hooks")
-            low = step.select("comp", "low")
-            if step.filter("moved").isEmpty():
-                break
-        label = keep(label.join(low, "comp", "left").select("rid", F.coalesce("low", "comp").alias("comp")), "labels")
+        label = keep(label.join(followed(low), "comp", "left").select("rid", F.coalesce("low", "comp").alias("comp")), "labels")
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -317,8 +330,17 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     stars = groups.join(centre.select("sig", F.col("c.rid").alias("c")), "sig").filter("c <> rid").select("c", "rid").distinct()
     stars = stars.join(n, "rid").join(n.select(F.col("rid").alias("c"), F.col("n").alias("n_c")), "c")
     stars = keep(stars.filter(F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent).select("c", "rid", "n"), "stars")
-    tried = stars.select(F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")).distinct()
+    pair = [F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")]
+    tried = stars.select(*pair).distinct()
     sums = keep(counted(tried, sets), "sums")
+    # A centre weighs more than its members, so the way from centre to centre ends: at the hub.
+    shared = stars.select("*", *pair).join(sums.select("x", "y", "n_a", "n_b", "shared"), ["x", "y"]).filter("shared * 2 >= greatest(n_a, n_b)")
+    shared = shared.join(weight.select(F.col("rid").alias("c"), "weight"), "c")
+    hub = followed(keep(shared.groupBy(F.col("rid").alias("comp")).agg(F.max(F.struct("weight", "c")).alias("m")).select("comp", F.col("m.c").alias("low")), "hooks"))
+    hub = hub.select(F.col("comp").alias("rid"), F.col("low").alias("c"))
+    far = hub.select(*pair).join(tried, ["x", "y"], "left_anti")
+    sums = keep(sums.unionByName(counted(far, sets)), "sums")
+    tried = sums.select("x", "y")
     links = keep(similar(sums, percent), "links")
     label = components(label, links)
 
@@ -327,9 +349,12 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     held = keep(held.join(span, "sig").select("sig", "rid"), "held")
     if not held.isEmpty():
         long = sets.filter("cuts > 1").select("rid").distinct()
-        best = stars.withColumn("x", F.least("c", "rid")).withColumn("y", F.greatest("c", "rid")).join(sums.select("x", "y", "shared"), ["x", "y"])
+        # The hub if half is shared with it, else the centre with most shared; a hub is its own.
+        own = hub.select(F.col("c").alias("rid"), "c").distinct().join(n, "rid").select("rid", "c", F.col("n").alias("shared"), F.lit(2).alias("kind"))
+        best = hub.withColumn("kind", F.lit(1)).unionByName(stars.select("rid", "c", F.lit(0).alias("kind"))).select("rid", "c", "kind", *pair)
+        best = best.join(sums, ["x", "y"]).filter("kind = 0 OR shared * 2 >= greatest(n_a, n_b)").select("rid", "c", "shared", "kind").unionByName(own)
         best = best.join(long, "rid", "left_anti").join(long.select(F.col("rid").alias("c")), "c", "left_anti")
-        best = best.groupBy("rid").agg(F.max(F.struct(F.col("shared").alias("o"), "c")).alias("m"))
+        best = best.groupBy("rid").agg(F.max(F.struct("kind", F.col("shared").alias("o"), "c")).alias("m"))
         info = label.join(n, "rid").join(best, "rid", "left").select("rid", "n", "comp", F.col("m.c").alias("c"), F.col("m.o").alias("o"))
         pairs = keep(across(held, keep(info, "info"), sets, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
         more = keep(similar(counted(pairs, sets), percent), "links")

@@ -305,6 +305,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = keep(label.join(followed(low), "comp", "left").select("rid", F.coalesce("low", "comp").alias("comp")), "labels")
 
 
+def heavier(near: DataFrame, hub: DataFrame, weight: DataFrame) -> DataFrame:
+    """(comp, low): hubs that lead to a heavier one over ``near`` (c, rid), and where they end."""
+    at = hub.select(F.col("rid").alias("m"), F.col("c").alias("h"))
+    ends = near.join(at, F.col("c") == F.col("m"), "left").select("rid", F.coalesce("h", "c").alias("p"))
+    ends = ends.join(at, F.col("rid") == F.col("m")).select("p", F.col("h").alias("q")).filter("p <> q").distinct()
+    ends = ends.join(weight.select(F.col("rid").alias("p"), F.struct("weight", "rid").alias("w_p")), "p")
+    ends = ends.join(weight.select(F.col("rid").alias("q"), F.struct("weight", "rid").alias("w_q")), "q")
+    most = F.max(F.greatest("w_p", "w_q")).alias("m")
+    return followed(keep(ends.groupBy(F.least("w_p", "w_q").alias("w")).agg(most).select(F.col("w.rid").alias("comp"), F.col("m.rid").alias("low")), "hooks"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (rid, doc_id, n, comp), the links tried and found (x, y, shared, n_a, n_b; row keys of
     set representatives), and membership (rid, rep) of rows whose set another row has too."""
@@ -338,7 +349,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     shared = shared.join(weight.select(F.col("rid").alias("c"), "weight"), "c")
     hub = followed(keep(shared.groupBy(F.col("rid").alias("comp")).agg(F.max(F.struct("weight", "c")).alias("m")).select("comp", F.col("m.c").alias("low")), "hooks"))
     hub = hub.select(F.col("comp").alias("rid"), F.col("low").alias("c"))
-    far = hub.select(*pair).join(tried, ["x", "y"], "left_anti")
+    # A hub whose members also lead to a heavier one: both are tried, the heavier goes first.
+    wide = keep(heavier(shared.select("c", "rid"), hub, weight), "hooks")
+    wide = keep(hub.join(wide, hub.c == wide.comp).select("rid", F.col("low").alias("c")).unionByName(wide.select(F.col("comp").alias("rid"), F.col("low").alias("c"))), "hubs")
+    far = hub.unionByName(wide).select(*pair).distinct().join(tried, ["x", "y"], "left_anti")
     sums = keep(sums.unionByName(counted(far, sets)), "sums")
     tried = sums.select("x", "y")
     links = keep(similar(sums, percent), "links")
@@ -350,8 +364,9 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     if not held.isEmpty():
         long = sets.filter("cuts > 1").select("rid").distinct()
         # The hub if half is shared with it, else the centre with most shared; a hub is its own.
-        own = hub.select(F.col("c").alias("rid"), "c").distinct().join(n, "rid").select("rid", "c", F.col("n").alias("shared"), F.lit(2).alias("kind"))
-        best = hub.withColumn("kind", F.lit(1)).unionByName(stars.select("rid", "c", F.lit(0).alias("kind"))).select("rid", "c", "kind", *pair)
+        own = hub.select("c").unionByName(wide.select("c")).distinct().join(wide.select(F.col("rid").alias("c")), "c", "left_anti")
+        own = own.withColumn("rid", F.col("c")).join(n, "rid").select("rid", "c", F.col("n").alias("shared"), F.lit(2).alias("kind"))
+        best = wide.withColumn("kind", F.lit(2)).unionByName(hub.withColumn("kind", F.lit(1))).unionByName(stars.select("rid", "c", F.lit(0).alias("kind"))).select("rid", "c", "kind", *pair)
         best = best.join(sums, ["x", "y"]).filter("kind = 0 OR shared * 2 >= greatest(n_a, n_b)").select("rid", "c", "shared", "kind").unionByName(own)
         best = best.join(long, "rid", "left_anti").join(long.select(F.col("rid").alias("c")), "c", "left_anti")
         best = best.groupBy("rid").agg(F.max(F.struct("kind", F.col("shared").alias("o"), "c")).alias("m"))

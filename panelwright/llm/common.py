@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows (of two or three numbers each) up to which a side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bitmaps of 4 KB up to which they are broadcast.
+BITMAPS = 16_384
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,6 +49,23 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def among(df: DataFrame, ids: DataFrame, limit: int = BITMAPS) -> DataFrame:
+    """Rows of ``df`` whose ``rid`` is in ``ids`` (rid, may repeat).
+
+    The keys are sent as bitmaps of 32,768 rows each, so that ``df`` need not be
+    shuffled; with more than ``limit`` bitmaps it is joined instead. ``rid``
+    counts rows within a partition, so bitmaps are dense.
+    """
+    bit = F.bitmap_bit_position("rid").cast("int")
+    bits = ids.groupBy(F.bitmap_bucket_number("rid").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("rid")).alias("_bits"))
+    bits = keep(bits, "bits")
+    if bits.limit(limit + 1).count() > limit:
+        return df.join(ids.distinct(), "rid", "left_semi")
+    held = df.withColumn("_bucket", F.bitmap_bucket_number("rid")).withColumn("_bit", bit).join(F.broadcast(bits), "_bucket")
+    byte = F.expr("cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) AS int)")
+    return held.filter(F.getbit(byte, F.col("_bit") % 8) == 1).select(*df.columns)
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A to Z alone."""
     return F.translate(c, UPPER, LOWER)

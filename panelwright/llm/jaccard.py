@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import keep, sized, with_rid
+from panelwright.llm.common import among, keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
 LAST = 2**63 - 1
@@ -205,6 +205,8 @@ def shared_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, n_a, n_b, shared) of ``pairs`` (x, y), counted fragment by fragment."""
+    ends = pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("y").alias("rid")))
+    sets = among(sets, ends)
     whole = sets.filter("cuts = 1")
     few = pairs.join(whole.select(F.col("rid").alias("x"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), "x")
     few = few.join(whole.select(F.col("rid").alias("y"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b")), "y")
@@ -212,7 +214,8 @@ def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = sets.filter("cuts > 1").select("rid", "cuts").distinct().unionByName(whole.select("rid", "cuts"))
     big = pairs.join(sizes.select(F.col("rid").alias("x"), F.col("cuts").alias("cuts_x")), "x")
     big = big.join(sizes.select(F.col("rid").alias("y"), F.col("cuts").alias("cuts_y")), "y").filter("cuts_x > 1 OR cuts_y > 1")
-    big = big.withColumn("cut", F.least("cuts_x", "cuts_y"))
+    big = keep(big.withColumn("cut", F.least("cuts_x", "cuts_y")), "big")
+    sets = among(sets, big.select(F.col("x").alias("rid")).unionByName(big.select(F.col("y").alias("rid"))))
     a = big.join(sets.select(F.col("rid").alias("x"), F.col("n").alias("n_a"), "cuts", "piece", F.col("grams").alias("grams_a")), "x")
     a = a.select("x", "y", "cut", "n_a", "grams_a", F.floor(F.col("piece") * F.col("cut") / F.col("cuts")).cast("int").alias("at"))
     b = big.join(sets.select(F.col("rid").alias("y"), F.col("n").alias("n_b"), "cuts", "piece", F.col("grams").alias("grams_b")), "y")
@@ -232,14 +235,27 @@ def similar(sums: DataFrame, percent: int) -> DataFrame:
     return sums.filter(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("x", "y", "shared", "n_a", "n_b")
 
 
-def lacking_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, rid): n-grams of a set that its centre lacks."""
-    for part in parts:
-        out, who = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for rid, x, y in zip(part.column("rid").to_numpy(), part.column("grams"), part.column("centre_grams")):
-            out.append(np.setdiff1d(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), assume_unique=True))
-            who.append(np.full(len(out[-1]), rid))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], ["gram", "rid"])
+def lacking_rows(percent: int):
+    """(gram, rid, c, n, comp, o): n-grams of a set that its hub lacks.
+
+    A similar set has ``percent`` of the set's n-grams, ``o`` of them from the hub
+    at most, so r others at least: of two sets' lacking n-grams in one order, all
+    but the last r - 1 are enough to meet.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out, size = [np.zeros(0, U)], []
+            for x, y, n, o in zip(part.column("grams"), part.column("hub_grams"), part.column("n").to_pylist(), part.column("o").to_pylist()):
+                lack = np.setdiff1d(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), assume_unique=True)
+                r = max(-(-percent * n // 100) - o, 1)
+                out.append(lack[: len(lack) - r + 1])
+                size.append(len(out[-1]))
+            at = np.repeat(np.arange(part.num_rows), np.array(size, np.int64))
+            rest = ["rid", "c", "n", "comp", "o"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *[part.column(v).take(pa.array(at)) for v in rest]], ["gram", *rest])
+
+    return run
 
 
 def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +267,6 @@ def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     """
     info = info.withColumn("fam", F.coalesce("c", -1 - F.col("rid")))
     a = info.select([F.col(v).alias(f"{v}_x") for v in info.columns])
-    b = info.select([F.col(v).alias(f"{v}_y") for v in info.columns])
     n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
     like = (F.col("comp_x") != F.col("comp_y")) & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
     fit = like & (F.col("rid_x") < F.col("rid_y"))
@@ -265,12 +280,13 @@ def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     inner = near[0].join(near[1].withColumnRenamed("sig", "sig_y"), (F.col("sig") == F.col("sig_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(low, n_x, n_y, percent))
 
     whole = sets.filter("cuts = 1").select("rid", "grams")
-    own = info.filter("c IS NOT NULL").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "c")
-    own = own.join(whole, "rid").join(whole.select(F.col("rid").alias("c"), F.col("grams").alias("centre_grams")), "c")
-    lack = keep(own.select("rid", "grams", "centre_grams").mapInArrow(lacking_rows, "gram long, rid long"), "lacking")
+    own = keep(info.filter("c IS NOT NULL").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "c", "n", "comp", "o"), "own")
+    hubs = among(whole, own.select(F.col("c").alias("rid"))).select(F.col("rid").alias("c"), F.col("grams").alias("hub_grams"))
+    own = own.join(among(whole, own.select("rid")), "rid").join(hubs, "c")
+    lack = own.select("rid", "c", "n", "comp", "o", "grams", "hub_grams").mapInArrow(lacking_rows(percent), "gram long, rid long, c long, n long, comp long, o long")
+    lack = keep(lack, "lacking")
     most = low + F.least(n_x - F.col("o_x"), n_y - F.col("o_y"))
-    left = lack.select("gram", F.col("rid").alias("rid_x")).join(a, "rid_x")
-    right = lack.select(F.col("gram").alias("gram_y"), F.col("rid").alias("rid_y")).join(b, "rid_y")
+    left, right = [lack.select(F.col("gram").alias(g), *[F.col(v).alias(f"{v}_{end}") for v in lack.columns[1:]]) for g, end in (("gram", "x"), ("gram_y", "y"))]
     other = left.join(right, (F.col("gram") == F.col("gram_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(most, n_x, n_y, percent))
     pick = [F.least("rid_x", "rid_y").alias("x"), F.greatest("rid_x", "rid_y").alias("y")]
     return apart.select(*pick).unionByName(inner.select(*pick)).unionByName(other.select(*pick)).distinct()
@@ -330,7 +346,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     many = groups.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     groups = keep(groups.join(many.select("sig"), "sig"), "groups")
     taking = keep(groups.select("rid").distinct(), "taking")
-    sets = keep(base.select("rid", "text").join(taking, "rid").select("rid", "text").mapInArrow(set_rows(k), "rid long, n long, cuts int, piece int, grams binary"), "sets")
+    sets = keep(among(base.select("rid", "text"), taking).mapInArrow(set_rows(k), "rid long, n long, cuts int, piece int, grams binary"), "sets")
     label = keep(taking.withColumn("comp", F.col("rid")), "labels")
     n = keep(rows.join(taking, "rid", "left_semi").select("rid", "n"), "sizes")
 
@@ -342,7 +358,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     stars = stars.join(n, "rid").join(n.select(F.col("rid").alias("c"), F.col("n").alias("n_c")), "c")
     stars = keep(stars.filter(F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent).select("c", "rid", "n"), "stars")
     pair = [F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")]
-    tried = stars.select(*pair).distinct()
+    tried = keep(stars.select(*pair).distinct(), "tried")
     sums = keep(counted(tried, sets), "sums")
     # A centre weighs more than its members, so the way from centre to centre ends: at the hub.
     shared = stars.select("*", *pair).join(sums.select("x", "y", "n_a", "n_b", "shared"), ["x", "y"]).filter("shared * 2 >= greatest(n_a, n_b)")
@@ -352,7 +368,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     # A hub whose members also lead to a heavier one: both are tried, the heavier goes first.
     wide = keep(heavier(shared.select("c", "rid"), hub, weight), "hooks")
     wide = keep(hub.join(wide, hub.c == wide.comp).select("rid", F.col("low").alias("c")).unionByName(wide.select(F.col("comp").alias("rid"), F.col("low").alias("c"))), "hubs")
-    far = hub.unionByName(wide).select(*pair).distinct().join(tried, ["x", "y"], "left_anti")
+    far = keep(hub.unionByName(wide).select(*pair).distinct().join(tried, ["x", "y"], "left_anti"), "far")
     sums = keep(sums.unionByName(counted(far, sets)), "sums")
     tried = sums.select("x", "y")
     links = keep(similar(sums, percent), "links")

@@ -182,6 +182,28 @@ def test_kneser_ney_is_the_formula(spark, monkeypatch):
         assert got[2].n == got[3].n == 0
 
 
+def test_kneser_ney_joins_words_that_no_task_holds(spark, monkeypatch, tmp_path):
+    texts = ["the cat sat on the mat", "a cat sat on a hat", "the dog sat", "on the mat the cat sat"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    letter = {w: chr(97 + i) for i, w in enumerate(sorted(set(" ".join(texts).split())))}
+    as_chars = lambda t: "".join(letter.get(w, "?") for w in t.split())
+    p = kneser_ney_brute([as_chars(t) for t in texts], kneser_ney.ORDER)
+    model = kneser_ney.train(df, "word")
+    probe = spark.createDataFrame([(0, "the cat sat on a mat"), (1, "unheard dog"), (2, None)], "rid long, text string")
+    for held in (10**6, 20, 1):
+        monkeypatch.setattr(kneser_ney, "SHARD_ROWS", held)
+        sent = []
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v, f=type(spark.sparkContext).broadcast: (sent.append(v), f(self, v))[1])
+        got = {r.rid: r for r in kneser_ney.perplexity(probe, model, "word").collect()}
+        monkeypatch.undo()
+        assert len(sent) == 1 and len(sent[0][0]) <= held
+        for rid, t in ((0, "the cat sat on a mat"), (1, "unheard dog")):
+            s = "\0" * (kneser_ney.ORDER - 1) + as_chars(t)
+            want = sum(math.log(p(s[i : i + kneser_ney.ORDER])) for i in range(len(t.split())))
+            assert got[rid].n == len(t.split()) and abs(got[rid].logp - want) < 1e-3
+        assert got[2].n == 0
+
+
 def test_quality_classes(docs, rows, labels, nothing):
     got = kneser_ney.classify(docs, labels)
     out = got.collect()

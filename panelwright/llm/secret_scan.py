@@ -6,8 +6,9 @@ kept up to date by what enters and what leaves it. With f(c) = c log2 c the
 window's sum of f over its character counts changes by f(b+1) - f(b) for a new
 character that the window already holds b times, and by f(a) - f(a+1) for a
 leaving one of which a stay; a and b are counts over a range of positions, and
-running sums of these changes give every window's entropy. Each character class
-has its own threshold; strings on the allow-list are left out.
+running sums of these changes give every window's entropy. A window is classed
+by its own characters, and each class has its own threshold. The allow-list
+covers the spans it matches; a window that lies in them by half is left out.
 
 Defined results: null texts are empty; repeated rows are reported each; texts
 of any length are scanned whole; an empty table gives no rows.
@@ -30,15 +31,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: A string that may hold a secret: unbroken, of WINDOW characters or more, with a digit.
 WINDOW = 20
 CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-#: Class of a whole string and the bits per character from which a window counts.
-CLASSES = (("digits", r"^[0-9]+$", 9.0), ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.6))
-#: Strings that only look random: UUIDs, paths, dates, alphabets, placeholders.
+#: Class of a window by what it is made of alone, and the bits per character from which it counts.
+CLASSES = (("digits", "[0-9]", 2.6), ("hex", "[0-9a-f]", 3.0), ("HEX", "[0-9A-F]", 3.0), ("Hex", "[0-9A-Fa-f]", 3.3))
+OTHERS = 3.6
+_WORD = r"(?:(?:[A-Z]?+[a-z]{2,16}+)++|[A-Z]{1,16}+|[a-z])"
+#: Spans that only look random: UUIDs, paths, dates, alphabets and placeholders, words.
 ALLOW = (
-    r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^/?(?:[A-Za-z0-9_-]{1,16}/){2,}[A-Za-z0-9_-]*$",
-    r"^[A-Za-z]*[-_=]*\d{4}-\d\d-\d\d",
-    r"(?i)abcdefgh|0123456789|12345678|qwerty|example|placeholder|changeme|x{6}|0{8}",
-    r"^[A-Za-z]+(?:[-_=][A-Za-z]+)+[-_=]?\d{0,4}$",
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])",
+    rf"(?<![A-Za-z0-9])(?:(?:{_WORD}[0-9]{{0,4}}+|[0-9]{{1,8}}+)(?:[-_](?:{_WORD}[0-9]{{0,4}}+|[0-9]{{1,8}}+))*+/){{2,}}+(?:{_WORD}[0-9]{{0,4}}+(?![A-Za-z0-9]))?",
+    r"(?<![A-Za-z0-9])[A-Za-z]*+[-_=]*+(?<![0-9])\d{4}-\d\d-\d\d(?![0-9])",
+    r"(?i:abcdefgh|0123456789|12345678|qwerty|example|placeholder|changeme|x{6}|0{8})",
+    rf"(?<![A-Za-z0-9]){_WORD}(?:[-_=]{_WORD})++[-_=]?+\d{{0,4}}+(?![A-Za-z0-9])",
 )
 
 
@@ -58,15 +61,18 @@ def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), rows.cast(kinds)).otherwise(F.array().cast(kinds))
 
 
+def masked(string: Column | str) -> Column:
+    """The string with a blank for every character of an allowed span."""
+    allowed = "|".join(ALLOW)
+    parts = F.arrays_zip(F.split(string, allowed).alias("p"), F.regexp_extract_all(string, F.lit(allowed), F.lit(0)).alias("m"))
+    blank = F.transform(parts, lambda x: F.concat(x.p, F.repeat(F.lit(" "), F.coalesce(F.length(x.m), F.lit(0)))))
+    return F.when(F.regexp_like(string, F.lit(allowed)), F.array_join(blank, "")).otherwise(F.col(string) if isinstance(string, str) else string)
+
+
 def entropy_spans(strings: DataFrame) -> DataFrame:
     """(id, start, end) of the stretches of ``strings`` (id, string, start) whose windows reach their class threshold."""
-    bits = F.lit(None).cast("double")
-    for _, pattern, least in reversed(CLASSES):
-        bits = F.when(F.regexp_like("string", F.lit(pattern)), F.lit(least)).otherwise(bits)
-    kept = strings.withColumn("bits", bits).filter(F.col("bits") < 9.0)
-    for allowed in ALLOW:
-        kept = kept.filter(~F.regexp_like("string", F.lit(allowed)))
-    chars = kept.select("id", "start", "bits", F.posexplode(F.split("string", "")).alias("p", "ch")).filter("ch <> ''")
+    signs = F.arrays_zip(F.split("string", "").alias("ch"), F.split(masked("string"), "").alias("open"))
+    chars = strings.select("id", "start", F.posexplode(signs).alias("p", "sign")).select("id", "start", "p", "sign.*").filter("ch <> ''")
     same = Window.partitionBy("id", "ch").orderBy("p")
     chars = chars.withColumn("b", F.count(F.lit(1)).over(same.rangeBetween(-(WINDOW - 1), -1))).withColumn(
         "a", F.count(F.lit(1)).over(same.rangeBetween(1, WINDOW - 1))
@@ -79,7 +85,13 @@ def entropy_spans(strings: DataFrame) -> DataFrame:
     total = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # Entropy of the window that ends at p, rounded so that sums in any order agree.
     chars = chars.withColumn("h", F.round(F.log2(F.lit(float(WINDOW))) - total / WINDOW, 6))
-    hot = chars.filter((F.col("p") >= WINDOW - 1) & (F.col("h") >= F.col("bits")))
+    window = order.rowsBetween(-(WINDOW - 1), 0)
+    bits = F.lit(OTHERS)
+    for _, pattern, least in reversed(CLASSES):
+        bits = F.when(F.min(F.regexp_like("ch", F.lit(f"^{pattern}$"))).over(window), F.lit(least)).otherwise(bits)
+    spared = F.sum((F.col("open") == " ").cast("int")).over(window)
+    chars = chars.withColumn("bits", bits).withColumn("spared", spared)
+    hot = chars.filter((F.col("p") >= WINDOW - 1) & (F.col("h") >= F.col("bits")) & (F.col("spared") * 2 < WINDOW))
     fresh = F.col("p") - F.coalesce(F.lag("p").over(order), F.lit(-WINDOW - 1)) > WINDOW
     hot = hot.withColumn("stretch", F.sum(fresh.cast("int")).over(order))
     return hot.groupBy("id", "stretch").agg(

@@ -113,6 +113,25 @@ def test_entropy_windows_are_those_of_a_direct_count(spark):
     assert got == want
 
 
+def test_entropy_finds_planted_secrets_of_each_kind(spark):
+    rng = np.random.default_rng(11)
+    pick = lambda signs, n: "".join(rng.choice(list(signs), n))
+    upper, mixed, b64 = "0123456789ABCDEF", "0123456789abcdefABCDEF", "abcdefghijkmnpqrstuvwxyzACDEFGHJKLMNPQRSTUVWXYZ23456789"
+    kinds = {
+        "digits": lambda: (pick("0123456789", 23), 0), "k": lambda: ("k=" + pick(upper, 20), 2), "sig": lambda: ("sig=" + pick(upper, 32), 4),
+        "mixed": lambda: (pick(mixed, 32), 0), "word": lambda: ("example-" + pick(b64, 24), 8), "inside": lambda: (pick(b64, 16) + "12345678" + pick(b64, 16), 0),
+        "date": lambda: ("log-2024-01-15-" + pick(b64, 30), 15), "path": lambda: ("var/lib/" + pick(b64, 40), 8),
+        "uuid": lambda: ("12ab34cd-12ab-34cd-56ef-0123ab5678cd-" + pick(b64, 30), 37),
+    }
+    rows = [(f"{k} {i}", *make()) for k, make in kinds.items() for i in range(20)]
+    clean = ["id=9f8b1c2d-3e4f-4a5b-8c6d-7e8f9a0b1c2d", "usr/share/fonts/truetype/dejavu2/readme", "release-notes-and-known-issues-2024", "x" * 30 + "1"]
+    df = spark.createDataFrame([(i, s, 0) for i, s, _ in rows] + [(s, s, 0) for s in clean], "id string, string string, start int")
+    got = {r.id: r for r in secret_scan.entropy_spans(df).collect()}
+    assert not set(clean) & set(got)
+    missed = Counter(i.split()[0] for i, s, at in rows if i not in got or got[i].end < at + 18)
+    assert sum(missed.values()) <= 2, missed
+
+
 def test_toxicity_learns_words_beginnings_and_disguises(spark, nothing):
     rng = np.random.default_rng(4)
     plain = ["stone", "river", "grubel", "lights", "moving", "over", "under", "table", "green", "quiet"]

@@ -13,14 +13,16 @@ separately, summed per pair.
 Links are found in two rounds. First every set is tried against one centre of
 each equal-fragment group, the member with most fragments in common with others
 (of a text and its edited copies, the text); members joined by those links are
-one component. Then the groups that still hold several components try their
-members across components, but for the pairs that their common hub rules out. A set's
+one component. Then the groups try their members in pairs, but for the pairs that
+their common hub rules out; where components alone are wanted, only groups that
+still hold several try them, across components. A set's
 hub is found by going from centre to centre while half of the n-grams are
 shared, so that a text and its edited copies have one hub however many groups
 they fall into. With a and b as n-grams shared with the hub, two members share
 min(a, b) of the hub's at most; where that is too little they have to share an
 n-gram that the hub lacks, and are found by joining on those. So edited copies
-of one text cost about two trials each, and no link between components is missed.
+of one text cost about two trials each across components, and no link is missed;
+all links among copies similar to each other are as many as their pairs.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a
 text of fewer words is one n-gram; repeated rows are rows with equal sets; a
@@ -258,8 +260,8 @@ def lacking_rows(percent: int):
     return run
 
 
-def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): pairs of members of different components that may be similar.
+def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
+    """(x, y): pairs of members, of different components unless ``within``, that may be similar.
 
     ``info`` has rid, n, comp and, where there is one, the hub c and the n-grams
     o shared with it. Members of a group meet by families, those of one hub: the
@@ -268,7 +270,9 @@ def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     info = info.withColumn("fam", F.coalesce("c", -1 - F.col("rid")))
     a = info.select([F.col(v).alias(f"{v}_x") for v in info.columns])
     n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
-    like = (F.col("comp_x") != F.col("comp_y")) & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
+    like = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
+    if not within:
+        like &= F.col("comp_x") != F.col("comp_y")
     fit = like & (F.col("rid_x") < F.col("rid_y"))
     left = keep(held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x"), "members")
     right = left.select("sig", *[F.col(f"{v}_x").alias(f"{v}_y") for v in info.columns])
@@ -332,9 +336,12 @@ def heavier(near: DataFrame, hub: DataFrame, weight: DataFrame) -> DataFrame:
     return followed(keep(ends.groupBy(F.least("w_p", "w_q").alias("w")).agg(most).select(F.col("w.rid").alias("comp"), F.col("m.rid").alias("low")), "hooks"))
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (rid, doc_id, n, comp), the links tried and found (x, y, shared, n_a, n_b; row keys of
-    set representatives), and membership (rid, rep) of rows whose set another row has too."""
+def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (rid, doc_id, n, comp), all links (x, y, shared, n_a, n_b; row keys of
+    set representatives), and membership (rid, rep) of rows whose set another row has too.
+
+    Without ``every``, links between sets that others connect may be missing.
+    """
     base = with_rid(docs.select("doc_id", "text"))
     rows = keep(base.mapInArrow(size_rows(k), "rid long, doc_id long, n long, a long, b long"), "sizes")
     reps = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("rows"))
@@ -375,8 +382,11 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
     label = components(label, links)
 
     held = groups.join(label, "rid")
-    span = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-    held = keep(held.join(span, "sig").select("sig", "rid"), "held")
+    if every:
+        held = groups
+    else:
+        span = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+        held = keep(held.join(span, "sig").select("sig", "rid"), "held")
     if not held.isEmpty():
         long = sets.filter("cuts > 1").select("rid").distinct()
         # The hub if half is shared with it, else the centre with most shared; a hub is its own.
@@ -387,25 +397,40 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFr
         best = best.join(long, "rid", "left_anti").join(long.select(F.col("rid").alias("c")), "c", "left_anti")
         best = best.groupBy("rid").agg(F.max(F.struct("kind", F.col("shared").alias("o"), "c")).alias("m"))
         info = label.join(n, "rid").join(best, "rid", "left").select("rid", "n", "comp", F.col("m.c").alias("c"), F.col("m.o").alias("o"))
-        pairs = keep(across(held, keep(info, "info"), sets, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
+        pairs = keep(across(held, keep(info, "info"), sets, percent, every).join(tried, ["x", "y"], "left_anti"), "pairs")
         more = keep(similar(counted(pairs, sets), percent), "links")
-        links = links.unionByName(more)
+        links = links.select("x", "y", "shared", "n_a", "n_b").unionByName(more)
         label = components(label, more)
     comp = label.unionByName(copies.join(label, copies.rep == label.rid, "left").select(copies.rid, F.coalesce("comp", "rep").alias("comp")))
     out = rows.select("rid", "doc_id", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     return keep(out, "classes"), links, copies
 
 
+def degrees(links: DataFrame, copies: DataFrame) -> DataFrame:
+    """(rid, n_links): how many other rows each row with a link is similar to, rows with its own set among them."""
+    # Rows of a set beside its representative; most sets have none.
+    others = keep(copies.groupBy("rep").agg(F.count(F.lit(1)).alias("others")), "others")
+    ends = links.select(F.col("x").alias("rep"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("rep"), F.col("x").alias("to")))
+    ends = ends.join(others.withColumnRenamed("rep", "to"), "to", "left")
+    own = others.select("rep", F.col("others").alias("rows"))
+    of = ends.select("rep", (1 + F.coalesce("others", F.lit(0))).alias("rows")).unionByName(own)
+    of = keep(of.groupBy("rep").agg(F.sum("rows").alias("n_links")), "degrees")
+    more = copies.join(of, "rep").select("rid", "n_links")
+    return of.select(F.col("rep").alias("rid"), "n_links").unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), rid."""
-    rows, _, _ = jaccard_join(docs, k, percent)
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (to other rows), rid."""
+    rows, links, copies = jaccard_join(docs, k, percent)
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid")
+    n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    out = rows.join(ids, "comp").join(degrees(links, copies), "rid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", n_links, "rid")
 
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The documents' own columns; of every component the row with the smallest doc_id stays."""
-    rows, _, _ = jaccard_join(docs, k, percent)
+    rows, _, _ = jaccard_join(docs, k, percent, every=False)
     # A component's rows meet in a partial aggregation, they are never gathered.
     stays = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "rid")).alias("stays")
     best = rows.groupBy("comp").agg(stays, F.count(F.lit(1)).alias("c")).filter("c > 1").select("comp", F.col("stays.rid").alias("stays"))

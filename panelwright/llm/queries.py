@@ -51,6 +51,11 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents")).drop("n_links", "rid")
+
+
+@query
+def op6_ngram_jaccard_links(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents")).drop("rid")
 
 

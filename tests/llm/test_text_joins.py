@@ -48,11 +48,13 @@ def test_substring_dedup_is_what_brute_force_finds(docs, rows, nothing):
     assert substring.remove_repeats(nothing).count() == 0
 
 
+def shingle_set(text, k):
+    w = WORD.findall((text or "").translate(UPPER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
 def brute_components(rows, k, percent):
-    sets = []
-    for r in rows:
-        w = WORD.findall((r[1] or "").translate(UPPER))
-        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    sets = [shingle_set(r[1], k) for r in rows]
     lead = list(range(len(rows)))
 
     def find(x):
@@ -82,6 +84,16 @@ def test_jaccard_join_finds_the_components_of_brute_force(docs, rows, nothing):
     assert jaccard.near_duplicates(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
 
 
+def test_jaccard_join_counts_every_link(docs, rows):
+    sets = [shingle_set(r[1], 4) for r in rows]
+    want = []
+    for i, a in enumerate(sets):
+        n = sum(i != j and 100 * len(a & b) >= 85 * len(a | b) > 0 for j, b in enumerate(sets))
+        want.append((rows[i][0], len(a), n))
+    got = jaccard.near_duplicates(docs, 4, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 7, 12, 40, 90, 333, 1000):

@@ -26,6 +26,7 @@ from panelwright.operators.unitroot import differencing_order
 from panelwright.operators.window import rolling_folds
 from panelwright.session import settle
 
+#: Least upper bound of the long autoregression's order; it grows as log(rows) ** 1.5.
 LONG_AR = 4
 
 
@@ -98,12 +99,14 @@ def arma_rows(
 
     ``d`` is a fixed order, a table (by, d), or None to test for it on the
     training rows. Series with fewer than 8 training rows are differenced at
-    most once.
+    most once. The long autoregression grows with the series and covers the
+    season where there are seasonal terms, unless ``long_ar`` bounds it. The
+    status has a row for every series; its column ``reduced`` says which of this
+    a series could not have.
     """
     by = list(by)
     models = dict(models or default_models())
     spec = ArmaRows(df, tuple(by), order, models, season, 0, df)
-    long_ar = (LONG_AR if spec.max_q else 0) if long_ar is None else long_ar
     rows = df.select(
         *dict.fromkeys([*by, order]), F.col(target).cast("double").alias("y"), (F.expr(train) if isinstance(train, str) else train).alias("is_train"),
         *[F.col(c).cast("double").alias(f"x0_{c}") for c in spec.exog],
@@ -120,15 +123,28 @@ def arma_rows(
         sizes = sizes.withColumn("d", F.lit(d))
     else:
         sizes = attach(sizes, d, by, ["d"])
+    sizes = sizes.withColumn("_d", F.col("d"))
     sizes = sizes.withColumn("d", F.when(F.col("n_train") < 8, F.least("d", F.lit(1))).otherwise(F.col("d")).cast("int"))
     status = (
         F.when(F.col("n_train") < 4, "too few observations").when(F.col("_flat"), "constant series").otherwise("ok")
     )
     # Seasonal terms need a few seasons of training rows.
     long_enough = F.lit(spec.has_season) & (F.col("n_train") >= 3 * season)
-    sizes = settle(sizes.withColumn("status", status).withColumn("seasonal_ok", long_enough), "arma-series")
+    sizes = sizes.withColumn("status", status).withColumn("seasonal_ok", long_enough)
+    most = F.lit(long_ar) if long_ar is not None else F.greatest(F.lit(LONG_AR), F.ceil(F.pow(F.log(F.greatest("n_train", F.lit(1))), F.lit(1.5))))
+    own = F.greatest(F.lit(1), F.least(most, F.floor(F.col("n_train") / 8)))
+    if long_ar is None:
+        own = F.when(F.col("seasonal_ok"), F.greatest(own, F.lit(season))).otherwise(own)
+    sizes = sizes.withColumn("long_ar", own.cast("int") if spec.max_q else F.lit(0))
+    reduced = F.concat_ws(
+        "; ",
+        F.when(F.col("_d") > F.col("d"), "differenced once"),
+        F.when(F.lit(spec.has_season) & ~F.col("seasonal_ok"), "no seasonal terms"),
+    )
+    sizes = settle(sizes.withColumn("reduced", F.when(reduced != "", reduced)).drop("_d"), "arma-series")
     ok = sizes.filter("status = 'ok'")
-    rows = attach_inner(rows, ok, by, ["n_train", "d", "_scale", "seasonal_ok"])
+    long_ar = ok.agg(F.max("long_ar")).first()[0] or 0
+    rows = attach_inner(rows, ok, by, ["n_train", "d", "_scale", "seasonal_ok", "long_ar"])
     rows = rows.withColumn("y", F.col("y") / F.col("_scale"))
     rows = numbered(rows, by, order, t="t", n="_n").drop("_n")
 
@@ -158,8 +174,7 @@ def arma_rows(
     )
 
     if spec.max_q:
-        own = F.greatest(F.lit(1), F.least(F.lit(long_ar), F.floor(F.col("n_train") / 8))).cast("int")
-        rows = settle(rows.withColumn("long_ar", own), "arma-lags")
+        rows = settle(rows, "arma-lags")
         # Lags a short series may not use count as absent (zero) in its moments.
         lags = [F.when(F.col("long_ar") >= i, F.col(f"w{i}")).otherwise(0.0) for i in range(1, long_ar + 1)]
         moments = gram(
@@ -190,7 +205,7 @@ def arma_rows(
         shocks["recent_e"] = F.array(*[F.coalesce(ser.shift("e0", i), F.lit(0.0)) for i in range(depth)])
         rows = ser.df.withColumns(shocks).drop("_ar")
     else:
-        rows = rows.withColumn("long_ar", F.lit(0)).withColumn("recent_e", F.array(F.lit(0.0)))
+        rows = rows.withColumn("recent_e", F.array(F.lit(0.0)))
         if seasonal:
             rows = rows.withColumn("es", F.lit(0.0))
     rows = settle(rows.withColumn("one", F.lit(1.0)), "arma-rows")

@@ -96,8 +96,8 @@ def run_models(
     skipped = small.select(
         entity, "n_train", F.when(F.col("n_train") < MIN_TRAIN, "too few training rows").otherwise("ok").alias("_s")
     )
-    status = attach(skipped, spec.status.select(entity, "d", "status"), by, ["d", "status"])
-    status = status.select(entity, "n_train", "d", F.coalesce(F.when(F.col("_s") != "ok", F.col("_s")), "status").alias("status"))
+    status = attach(skipped, spec.status.select(entity, "d", "status", "reduced"), by, ["d", "status", "reduced"])
+    status = status.select(entity, "n_train", "d", F.coalesce(F.when(F.col("_s") != "ok", F.col("_s")), "status").alias("status"), "reduced")
     out = {
         "status": status,
         "fits": fits,

@@ -32,7 +32,7 @@ def run_sequence_models(
     epochs: int = 300,
     min_train: int = 4,
 ) -> dict[str, DataFrame]:
-    """Tables forecasts, metrics, losses, components and features.
+    """Tables status (a row per entity), forecasts, metrics, losses, components and features.
 
     Nulls are filled by each entity's own medians over its whole history, target
     nulls by zero. The multivariate window model scales on all rows, the
@@ -44,11 +44,12 @@ def run_sequence_models(
     rows = time_split(impute_median(rows, feats, by, zero=[target], bounded=True), by, period)
     rows = settle(rows, "sequence-panel")
     n_train = F.count(F.when(F.col("split") == "train", 1))
-    enough = rows.groupBy(entity).agg(n_train.alias("_n")).filter(F.col("_n") >= min_train)
-    rows = rows.join(enough.select(entity), [entity], "left_semi")
+    refused = F.when(F.col("n_train") < min_train, "too few observations").otherwise("ok")
+    status = settle(rows.groupBy(entity).agg(n_train.alias("n_train")).withColumn("status", refused), "sequence-status")
+    rows = rows.join(status.filter("status = 'ok'").select(entity), [entity], "left_semi")
 
     forecasts, losses, used = [], [], []
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {"status": status}
     if "trend" in models:
         regs = priority_features(feats, 5)
         comp = settle(

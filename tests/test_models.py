@@ -243,3 +243,29 @@ def test_early_stop_and_validation(split):
     _, loss = sq.sequence_forecast(split, "y", validate=True, min_delta=1e-4, patience=5)
     runs = loss.groupBy("industry").agg(F.max("epoch").alias("n"), F.count("val_loss").alias("v")).toPandas()
     assert (runs.n < 300).all() and (runs.n == runs.v).all()
+
+
+def test_long_autoregression_covers_the_season_and_short_series_are_told(spark):
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=12).tolist()
+    for e in rng.normal(size=300).tolist():
+        y.append(0.9 * y[-12] + e)
+    rows = [("long", i, v) for i, v in enumerate(y)] + [("short", i, v * i) for i, v in enumerate(rng.normal(size=7).tolist())]
+    df = spark.createDataFrame(rows, "industry string, year long, y double").withColumn("split", F.lit("train"))
+    d = spark.createDataFrame([("long", 0), ("short", 2)], "industry string, d int")
+    out = ar.arma_rows(df, "y", ["industry"], "year", TRAIN, d, {"s": ar.Arma(seasonal=True)}, season=12)
+    status = {r["industry"]: r for r in out.status.collect()}
+    assert status["long"].long_ar >= 12 and status["long"].reduced is None
+    assert status["short"].d == 1 and status["short"].reduced == "differenced once; no seasonal terms"
+    e = out.df.filter("industry = 'long' AND e0 IS NOT NULL").orderBy("t").toPandas().e0.to_numpy()
+    assert abs(np.corrcoef(e[12:], e[:-12])[0, 1]) < 0.2
+
+
+def test_sequence_run_has_a_status_of_refused_entities(spark):
+    from panelwright.plans.sequence_run import run_sequence_models
+
+    rows = [(e, i, float(i * i % 7), float(i)) for e, n in (("A", 12), ("few", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "industry string, year long, y double, x double")
+    out = run_sequence_models(df, target="y", models=("window_uni",), labels={}, epochs=3)
+    status = {r["industry"]: r["status"] for r in out["status"].collect()}
+    assert status == {"A": "ok", "few": "too few observations"}

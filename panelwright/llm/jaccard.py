@@ -93,21 +93,18 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(row: np.ndarray, gram: np.ndarray, n_rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the non-empty fragments of each set, for its own size class and, if a partner may be there, the next."""
+    """(row, signature) of the non-empty fragments of each set, for its own size class and the next ones where a partner may be."""
     size = np.bincount(row, minlength=n_rows)
     if not len(row):
         return row, gram
     ends, cuts, spare = size_classes(percent, int(size.max() * 100 // percent + 1))
     own = np.searchsorted(ends, size)
     out_row, out_sig = [], []
-    for ahead in (0, 1):
+    # The class of the largest partner.
+    reach = np.searchsorted(ends, size * 100 // percent)
+    for ahead in range(int((reach - own).max()) + 1):
         cls = own + ahead
-        if ahead:
-            # The largest partner lies in the next class.
-            reach = size * 100 // percent
-            todo = (size > 0) & (np.searchsorted(ends, reach) > own)
-        else:
-            todo = size > 0
+        todo = (size > 0) & (reach >= cls)
         for level in range(LEVELS):
             if not todo.any():
                 break

@@ -111,6 +111,16 @@ def test_signatures_meet_for_every_similar_pair():
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (n, percent, lost, new)
 
 
+def test_signatures_meet_across_several_size_classes():
+    rng = np.random.default_rng(2)
+    for percent, small, large in ((70, 7, 10), (60, 30, 50), (50, 100, 200), (40, 4, 10)):
+        for _ in range(10):
+            b = rng.integers(0, 2**63, large).astype(np.uint64)
+            gram = np.concatenate([np.sort(b[:small]), np.sort(b)])
+            row, sig = jaccard.signatures(np.repeat([0, 1], [small, large]), gram, 2, percent)
+            assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (percent, small, large)
+
+
 def test_long_sets_are_counted_by_fragments(docs, rows):
     old, jaccard.PIECE = jaccard.PIECE, 16
     try:

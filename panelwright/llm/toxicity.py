@@ -112,7 +112,14 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: Column | None, max_ro
     if n > max_rows:
         known = known.filter(F.col("place") < int((1 << 30) * (max_rows / n)))
     # About max_rows ids and labels: small enough to send to every task.
-    return docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")
+    # An id may repeat on many rows: equal rows teach once, and different ones are sampled in turn.
+    rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "digest"])
+    n = rows.count()
+    if n > 2 * max_rows:
+        place = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 30))
+        rows = rows.filter(place < int((1 << 30) * (max_rows / n)))
+    return rows.drop("digest")
 
 
 def _counts(wanted: frozenset[str] | None):

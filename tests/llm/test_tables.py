@@ -160,6 +160,15 @@ def test_toxicity_learns_words_beginnings_and_disguises(spark, nothing):
     assert all(r.predicted == 0 for r in none)
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(3, "copy")] * 300 + [(4, f"other {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    every = toxicity.labelled(docs, labels, None, 1000)
+    assert every.count() == 651 and every.filter("text = 'copy'").count() == 1
+    assert 0 < toxicity.labelled(docs, labels, None, 100).count() < 200
+
+
 def kneser_ney_brute(texts, order):
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:

@@ -37,18 +37,77 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-JACCARD_JOIN = f"""
+
+def _classes(percent: int, kept: str = "") -> str:
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM shared JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+links AS (SELECT x, y FROM shared JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT a, y FROM reach JOIN links ON b = x)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id{kept}
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = d.doc_id
 """
 
+
+JACCARD_JOIN = _classes(85)
+
+MINHASH_DEDUP = _classes(80, ", d.doc_id = m AS kept")
+
+#: The table of crc32 by its rule; a text's code points are below U+0800 here, so UTF-8 has one or two bytes for each.
+SPELLING = """
+WITH RECURSIVE steps AS (
+    SELECT i AS b, i AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+') AS runs FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(runs) AS run FROM d) GROUP BY ALL),
+bytes AS (SELECT *, list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))) AS bs FROM r),
+h AS (SELECT doc_id, run, n, xor(list_reduce(CAST(bs AS BIGINT[]), lambda c, b: xor(c >> 8, CAST(tab[(xor(c, b) & 255) + 1] AS BIGINT))), 4294967295) AS h FROM bytes, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+-- Each word without one code point, and where that was.
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN form END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+      FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON walk.next = f.word)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN walk ON f.word = walk.word AND next IS NULL
+"""
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format("t")} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n, concat(
+        CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END) AS f
+    FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, CAST(step AS INTEGER) AS step, o[step:step] AS f, left(o, step - 1) AS before FROM orders, range(1, 6) t(step)),
+hits AS (SELECT s.o, s.step, s.f AS filter, part, n, good, toxic, contains(fails.f, s.f) AS own, fails.f = s.f AS only_own,
+                translate(fails.f, before, '') <> fails.f AS earlier FROM steps s, fails),
+sums AS (SELECT part, o AS filter_order, step, filter,
+    CAST(sum(CASE WHEN NOT earlier AND NOT own THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN NOT earlier AND own THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN earlier AND own THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN only_own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN NOT earlier AND own AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN NOT earlier AND own AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM hits GROUP BY ALL)
+SELECT * EXCLUDE (filter), CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM sums
+"""
+
 TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelwright.llm import decontamination, jaccard, kneser_ney, mixing, oracles, secret_scan, sharding, substring, topk, toxicity, url_trust
+from panelwright.llm import (
+    decontamination, filter_audit, jaccard, kneser_ney, minhash, mixing, oracles, secret_scan, sharding, spelling, substring, topk,
+    toxicity, url_trust,
+)
 from panelwright.llm.common import table
 
 QUERIES = {}
@@ -74,6 +77,21 @@ def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query
+def op12_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
@@ -84,4 +102,7 @@ SQL |= {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op6_ngram_jaccard_join": oracles.JACCARD_JOIN,
     "op7_exact_top_k": oracles.TOP_K,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }

@@ -110,7 +110,7 @@ def b6(spark, sf):
 )
 def b7(spark, sf):
     rows = d.with_period(table(spark, sf, "orders"), "o_orderdate")
-    return d.filter_period(rows, 1996, 1999, strict=True).select("o_orderkey", "year")
+    return d.filter_period(rows, 1996, 1999, strict=True, raw="o_orderdate").select("o_orderkey", "year")
 
 
 @query("b8_keep", "SELECT c_custkey, c_mktsegment FROM customer")

@@ -72,7 +72,7 @@ def _gapped(spark, sf):
 )
 def c2(spark, sf):
     rows = time_split(_gapped(spark, sf))
-    out = i.impute_median(rows, ["cash_ratio", "quick_ratio"], ["industry", "split"], bounded=True)
+    out = i.impute_median(rows, ["cash_ratio", "quick_ratio"], ["industry", "split"])
     return rounded(out.select("industry", "year", "split", "cash_ratio", "quick_ratio"))
 
 
@@ -88,7 +88,7 @@ def c2(spark, sf):
     ),
 )
 def c3(spark, sf):
-    out = i.impute_median(_gapped(spark, sf), ["cash_ratio", "quick_ratio"], ["industry"], zero=["free_cash_flow"], bounded=True)
+    out = i.impute_median(_gapped(spark, sf), ["cash_ratio", "quick_ratio"], ["industry"], zero=["free_cash_flow"])
     return rounded(out.select("industry", "year", "cash_ratio", "quick_ratio", "free_cash_flow"))
 
 
@@ -177,7 +177,7 @@ def d1_hot(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn(
         "ratio", F.when(F.col("l_discount") != 0, F.col("l_tax") / F.col("l_discount"))
     )
-    out = exact_median(rows, ["l_returnflag"], ["l_extendedprice", "ratio"], max_group=1000, count_as="n_rows")
+    out = exact_median(rows, ["l_returnflag"], ["l_extendedprice", "ratio"], count_as="n_rows")
     return rounded(out, 6, ratio=8)
 
 

@@ -17,6 +17,11 @@ def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
 
+def corr_or_null(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: Pearson correlation, null (not an error) if either is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def finite(c: Column | str) -> Column:
     """NaN and both infinities become null."""
     x = _col(c)
@@ -41,6 +46,19 @@ def period_date(year: Column | str) -> Column:
     return F.make_date(_col(year).cast("int"), F.lit(1), F.lit(1))
 
 
+def later_period(period: Column | str, steps: Column | str, unit: str = "step") -> Column:
+    """The period so many steps later: a count or year (``step``), a YYYYMM number (``month``), or a date (``day``)."""
+    p, n = _col(period), _col(steps)
+    if unit == "month":
+        months = F.floor(p / 100) * 12 + p % 100 - 1 + n
+        return F.floor(months / 12) * 100 + months % 12 + 1
+    if unit == "day":
+        return F.date_add(p, n.cast("int"))
+    if unit == "step":
+        return p + n
+    raise ValueError(f"unit must be step, month or day, got {unit!r}")
+
+
 def order_str(*parts: Column | str) -> Column:
     """A model order as text: ``(p, d, q)`` or ``(P, D, Q, m)``."""
     return F.concat(F.lit("("), F.concat_ws(", ", *[_col(p).cast("string") for p in parts]), F.lit(")"))

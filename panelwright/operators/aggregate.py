@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.scalar import corr_or_null
 from panelwright.operators.derive import PANEL_MEASURES
 from panelwright.operators.impute import attach
 from panelwright.operators.median import exact_median
@@ -19,8 +20,6 @@ def aggregate_panel(
     measures: Sequence[str] = tuple(PANEL_MEASURES),
     count_as: str = "n_firms",
     accuracy: int | None = None,
-    max_group: int = 1_000_000,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Median of each measure and number of records per key.
 
@@ -28,7 +27,7 @@ def aggregate_panel(
     sketches of bounded size, in a single pass.
     """
     if accuracy is None:
-        return exact_median(df, keys, measures, count_as=count_as, max_group=max_group, sized_by=sized_by)
+        return exact_median(df, keys, measures, count_as=count_as)
     return df.groupBy(*keys).agg(
         *[F.percentile_approx(m, 0.5, accuracy).alias(m) for m in measures],
         F.count(F.lit(1)).alias(count_as),
@@ -83,8 +82,8 @@ def covariance(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation matrix over complete rows, one row per cell."""
-    return _pairs(df, cols, by, F.corr, "corr")
+    """Pearson correlation matrix over complete rows, one row per cell; null where a column is constant."""
+    return _pairs(df, cols, by, corr_or_null, "corr")
 
 
 def residual_histogram(res: DataFrame, by: Sequence[str], col: str = "residual") -> DataFrame:

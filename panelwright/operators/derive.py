@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -118,9 +119,51 @@ def derive_measures(df: DataFrame, lines: Mapping[str, Sequence[str]] = MEASURE_
     )
 
 
-def filter_period(df: DataFrame, lo: int, hi: int, col: str = "year", strict: bool = False) -> DataFrame:
-    """Rows with a period in the closed range; ``strict`` raises if none is left."""
+def raw_range(df: DataFrame, col: str, lo: int, hi: int, unit: str = "year") -> Column | None:
+    """The rows of ``filter_period`` as a range of the raw column, which reaches the scan.
+
+    None where the raw values don't sort like their periods: strings other than
+    four-digit years, and negative bounds of fractional numbers.
+    """
+    dtype, c = df.schema[col].dataType, F.col(col)
+    if isinstance(dtype, T.IntegralType):
+        return c.between(lo, hi)
+    if isinstance(dtype, T.NumericType):
+        return (c >= lo) & (c < hi + 1) if lo > 0 else None
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        try:
+            first, last = (_first_day(p, unit) for p in (lo, hi))
+            after = last.replace(year=last.year + 1) if unit == "year" else last + timedelta(days=32 if unit == "month" else 1)
+            after = after.replace(day=1) if unit == "month" else after
+        except ValueError:
+            return None
+        return (c >= F.lit(str(first)).cast(dtype)) & (c < F.lit(str(after)).cast(dtype))
+    if isinstance(dtype, T.StringType) and unit == "year" and 1000 <= lo <= hi < 9999:
+        return (c >= str(lo)) & (c < str(hi + 1))
+    return None
+
+
+def _first_day(period: int, unit: str) -> date:
+    if unit == "year":
+        return date(period, 1, 1)
+    if unit == "month":
+        return date(period // 100, period % 100, 1)
+    return date(period // 10000, period // 100 % 100, period % 100)
+
+
+def filter_period(
+    df: DataFrame, lo: int, hi: int, col: str = "year", strict: bool = False, raw: str | None = None, unit: str = "year"
+) -> DataFrame:
+    """Rows with a period in the closed range; ``strict`` raises if none is left.
+
+    ``raw`` names the column that the period was derived from (by ``unit``, see
+    ``with_period``): the range is then asked of it too, so that the scan can
+    leave out whole row groups and files.
+    """
     out = df.filter(F.col(col).between(lo, hi))
+    early = raw_range(df, raw, lo, hi, unit) if raw is not None and raw in df.columns else None
+    if early is not None:
+        out = out.filter(early)
     if strict and out.isEmpty():
         raise ValueError(f"no rows with {col} between {lo} and {hi}")
     return out

@@ -25,15 +25,11 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], names: Sequence[s
 
 
 def impute_median(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: Sequence[str] = (), bounded: bool = False
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), zero: Sequence[str] = ()
 ) -> DataFrame:
-    """Fill nulls by the group median, then by zero; ``zero`` columns by zero only.
-
-    ``bounded`` (see ``exact_median``) saves the size check where every group is
-    known to be short, as an entity of a panel is.
-    """
+    """Fill nulls by the group median, then by zero; ``zero`` columns by zero only."""
     cols, by = list(cols), list(by)
-    medians = exact_median(df, by, cols, bounded=bounded)
+    medians = exact_median(df, by, cols)
     names = {c: f"_median_{c}" for c in cols}
     medians = medians.select(*by, *[F.col(c).cast("double").alias(n) for c, n in names.items()])
     filled = attach(df, medians, by, list(names.values()))

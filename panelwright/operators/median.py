@@ -1,14 +1,14 @@
-"""Exact grouped medians that also hold for groups of any size.
-
-Spark's ``median`` keeps every distinct value of a group in one task. That is
-the fastest way while groups are small, so it is used for all groups up to
-``max_group`` rows. Larger groups are narrowed down by histograms instead: each
-pass counts values per bucket with map-side combine, keeps the bucket holding
-the middle rank, and splits it again until the middle value stands alone. The
-first pass splits by sign and exponent, later ones split one binade evenly, so
-six passes are enough for any doubles. Infinities and NaN (which sorts last) are
-counted apart, with the result of Spark's ``median``. Only bucket counts are
-shuffled, never the values.
+"""Exact grouped medians in two scans, for groups of any size.
+
+The first scan builds one mergeable quantile sketch per group and measure; two
+of its quantiles, a little below and above the middle, bracket the median. The
+second scan counts what lies below the bracket and how often each value inside it
+occurs, so only counts are shuffled, and from a group of n rows about
+4 n / ``accuracy`` of them. The middle ranks are then looked up. If one falls
+outside the counted bracket, which the sketch's error bound rules out, that group
+is done again with a wider one; the answer never rests on the sketch. One path
+serves all sizes: of a small group the bracket is the middle value or two.
+Infinities are values like others; NaN sorts last, as in Spark's ``median``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import settle
 
-BROADCAST_GROUPS = 100_000
+#: Ranks of the sketch are off by one part in so many at most.
+ACCURACY = 10_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -30,140 +31,72 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def exact_median(
-    df: DataFrame,
-    by: Sequence[str],
-    cols: Sequence[str],
-    *,
-    max_group: int = 1_000_000,
-    bounded: bool = False,
-    buckets: int = 4096,
-    count_as: str | None = None,
-    sized_by: DataFrame | None = None,
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], *, accuracy: int = ACCURACY, count_as: str | None = None
 ) -> DataFrame:
-    """Median of each column per group, nulls ignored.
-
-    The sizes of the groups are counted first. ``sized_by`` may name a cheaper
-    table with the same keys and at least as many rows per group (the rows before
-    a filter, say), so that the count reads little more than the keys.
+    """Median of each column per group, nulls ignored; ``count_as`` names a column with the number of rows.
 
-    ``bounded=True`` states that the caller knows every group is small (for
-    instance one entity of a panel, which has one row per period); it saves
-    the size check.
+    The result is a stored table. Groups in which a measure is always null have
+    a null median; without ``by`` there is one row, also of an empty table.
     """
     by, cols = list(by), list(cols)
-    extra = [F.count(F.lit(1)).alias(count_as)] if count_as else []
-
-    def small(part: DataFrame) -> DataFrame:
-        return part.groupBy(*by).agg(*[F.median(c).alias(c) for c in cols], *extra)
-
-    if bounded:
-        return small(df)
-    sizes = (df if sized_by is None else sized_by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    n_hot = sizes.filter(F.col("_n") > max_group).count()
-    if n_hot == 0:
-        return small(df)
-
-    if not by:
-        hot, result_cold = df, None
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    found, share = _bracketed(rows, by, len(cols), accuracy, 2 / accuracy), 2 / accuracy
+    out = found.filter("_ok")
+    while share < 0.5 and not found.filter("NOT _ok").isEmpty():
+        share *= 8
+        left = found.filter("NOT _ok").select(*by)
+        again = rows if not by else rows.join(left, same_keys(rows, left, by), "left_semi")
+        found = _bracketed(again, by, len(cols), accuracy, min(share, 0.5))
+        out = out.unionByName(found.filter("_ok"))
+    count = [F.col("_rows").alias(count_as)] if count_as else []
+    return out.select(*by, *[F.col(f"_v{i}").alias(c) for i, c in enumerate(cols)], *count)
+
+
+def _bracketed(rows: DataFrame, by: list[str], n_cols: int, accuracy: int, share: float) -> DataFrame:
+    """Per group: _rows, _v0, _v1, ... and whether the middle ranks lay inside the brackets (_ok)."""
+    infinite = F.lit(float("inf"))
+    nan = [F.isnan(f"_v{i}") for i in range(n_cols)]
+    # NaN stands with infinity until the end: both sort after all other values.
+    value = [F.when(nan[i], infinite).otherwise(F.col(f"_v{i}")) for i in range(n_cols)]
+    ends = F.array(F.lit(max(0.5 - share, 0.0)), F.lit(min(0.5 + share, 1.0)))
+    sketch = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[
+            F.struct(F.percentile_approx(value[i], ends, accuracy).alias("q"), F.count(f"_v{i}").alias("n"), F.count(F.when(nan[i], 1)).alias("nan")).alias(f"_s{i}")
+            for i in range(n_cols)
+        ],
+    )
+    # Stored, so that the planner knows its size when it joins it to the rows.
+    sketch = settle(sketch, "median-sketch")
+    cell = [F.struct(F.lit(i).alias("_m"), value[i].alias("_v"), F.col(f"_s{i}.q").alias("_q"), F.col(f"_s{i}.n").alias("_n"), F.col(f"_s{i}.nan").alias("_nan")) for i in range(n_cols)]
+    names = [f"_s{i}" for i in range(n_cols)]
+    if by:
+        small = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in by], *names)
+        on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by]
+        held = rows.join(small, on)
     else:
-        hot_keys = settle(sizes.filter(F.col("_n") > max_group).select(*by), "hot-groups")
-        keys = F.broadcast(hot_keys) if n_hot <= BROADCAST_GROUPS else hot_keys
-        result_cold = small(df.join(keys, same_keys(df, keys, by), "left_anti"))
-        hot = df.join(keys, same_keys(df, keys, by), "left_semi")
-    result_hot = _select_medians(hot, by, cols, buckets, n_hot, extra)
-    return result_hot if result_cold is None else result_cold.unionByName(result_hot)
-
-
-def _select_medians(
-    df: DataFrame, by: list[str], cols: list[str], buckets: int, n_groups: int, extra: list[Column]
-) -> DataFrame:
+        held = rows.withColumns({n: sketch.select(n).scalar() for n in names})
+    held = held.select(*by, F.inline(F.array(*cell))).filter((F.col("_v") <= F.col("_q")[1]))
+    inside = F.when(F.col("_v") >= F.col("_q")[0], F.col("_v"))
     keys = [*by, "_m"]
-    values = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_m", "_v")).filter(
-        F.col("_v").isNotNull()
-    )
-    v, infinite = F.col("_v"), F.lit(float("inf"))
-    finite = ~F.isnan(v) & (F.abs(v) < infinite)
-    counts = values.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.count(F.when(v == -infinite, 1)).alias("_neg"),
-        F.count(F.when(finite, 1)).alias("_fin"),
-        F.count(F.when(v == infinite, 1)).alias("_pos"),
-        F.min(F.when(finite, v)).alias("_lo"),
-        F.max(F.when(finite, v)).alias("_hi"),
-    )
-    counts = counts.withColumn("_r0", F.expr("(_n - 1) div 2")).withColumn("_r1", F.expr("_n div 2"))
-
-    def apart(rank: str) -> Column:
-        """The value at a rank if it is not finite; else 0."""
-        r = F.col(rank)
-        below = F.when(r < F.col("_neg"), -infinite).when(r < F.col("_neg") + F.col("_fin"), 0.0)
-        return below.when(r < F.col("_neg") + F.col("_fin") + F.col("_pos"), infinite).otherwise(float("nan"))
-
-    odd = apart("_r0") + apart("_r1")
-    state = settle(
-        counts.select(
-            *keys,
-            (F.col("_r0") - F.col("_neg")).alias("_k0"),
-            (F.col("_r1") - F.col("_neg")).alias("_k1"),
-            "_lo",
-            "_hi",
-            F.lit(0).cast("long").alias("_below"),
-            F.when(odd != 0, odd).when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_median"),
-        ),
-        "median-state",
-    )
-    solved = state.filter(F.col("_median").isNotNull())
-    todo = state.filter(F.col("_median").isNull())
-    while not todo.isEmpty():
-        state = settle(_narrow(values, todo, keys, buckets, n_groups * len(cols)), "median-state")
-        solved = solved.unionByName(state.filter(F.col("_median").isNotNull()))
-        todo = state.filter(F.col("_median").isNull())
-
-    wide = solved.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_m") == i, F.col("_median"))).alias(c) for i, c in enumerate(cols)]
-    )
-    # Groups in which every measure is null have no state; they still need a row.
-    base = df.groupBy(*by).agg(*(extra or [F.count(F.lit(1)).alias("_rows")]))
-    joined = base.join(wide, same_keys(base, wide, by), "left")
-    counts = [base[c] for c in base.columns if c not in by and c != "_rows"]
-    return joined.select(*[base[k] for k in by], *[wide[c] for c in cols], *counts)
-
-
-def _binade(v: Column) -> Column:
-    """A whole number that grows with ``v``: its exponent, shifted to one side of 0 by the sign."""
-    return F.when(v == 0, 0).otherwise((F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1080)).cast("int"))
-
-
-def _narrow(values: DataFrame, todo: DataFrame, keys: list[str], buckets: int, n_states: int) -> DataFrame:
-    """One pass: replace each interval by the bucket that holds the middle rank."""
-    st = todo.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_k0", "_k1", "_lo", "_hi", "_below")
-    side = F.broadcast(st) if n_states <= BROADCAST_GROUPS else st
-    on = reduce(lambda a, b: a & b, [values[k].eqNullSafe(side[f"_s{k}"]) for k in keys])
-    # Values of one sign and exponent are split evenly, others by sign and exponent.
-    lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
-    even = F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
-    bucket = F.when(_binade(lo) == _binade(hi), even).otherwise(_binade(v))
-    hist = (
-        values.join(side, on & F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, "_k0", "_k1", "_below", bucket.alias("_b"))
-        .agg(F.count("_v").alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-    )
-    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
-    ranked = hist.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def holding(rank: str, value: str) -> Column:
-        inside = (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_to"))
-        return F.max(F.when(inside, F.col(value)))
-
-    picked = ranked.groupBy(*keys, "_k0", "_k1").agg(
-        holding("_k0", "_b").alias("_b0"),
-        holding("_k1", "_b").alias("_b1"),
-        holding("_k0", "_bmin").alias("_lo"),
-        holding("_k0", "_bmax").alias("_hi"),
-        holding("_k1", "_bmin").alias("_next"),
-        holding("_k0", "_from").alias("_below"),
-    )
-    median = F.when(F.col("_b0") != F.col("_b1"), F.col("_hi") / 2 + F.col("_next") / 2).when(
-        F.col("_lo") == F.col("_hi"), F.col("_lo")
-    )
-    return picked.select(*keys, "_k0", "_k1", "_lo", "_hi", "_below", median.alias("_median"))
+    counts = held.groupBy(*keys, "_n", "_nan", inside.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    # Null, what lies below the bracket, comes first.
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_x")))
+    counts = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    middle = [F.expr("(_n - 1) div 2"), F.expr("_n div 2")]
+
+    def at(rank: Column) -> Column:
+        found = F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_x")))
+        return F.when(F.max(rank >= F.col("_n") - F.col("_nan")), float("nan")).otherwise(found)
+
+    picked = counts.groupBy(*keys).agg(at(middle[0]).alias("_a"), at(middle[1]).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    median = F.when(a == b, a).otherwise(a / 2 + b / 2)
+    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == i, median)).alias(f"_v{i}") for i in range(n_cols)])
+    if by:
+        wide = wide.select(*[F.col(k).alias(f"_key_{k}") for k in by], *[f"_v{i}" for i in range(n_cols)])
+        full = sketch.join(wide, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by], "left")
+    else:
+        full = sketch.withColumns({f"_v{i}": wide.select(f"_v{i}").scalar() for i in range(n_cols)})
+    ok = reduce(lambda x, y: x & y, [(F.col(f"_s{i}.n") == 0) | F.col(f"_v{i}").isNotNull() for i in range(n_cols)], F.lit(True))
+    return settle(full.select(*by, "_rows", *[f"_v{i}" for i in range(n_cols)], ok.alias("_ok")), "medians")

@@ -22,15 +22,14 @@ def clean_statements(
     """Keyed, derived, filtered statement rows: a single narrow stage."""
     rows = d.derive_measures(d.with_entity(d.with_period(df, date, unit=unit)))
     if lo is not None and hi is not None:
-        rows = d.filter_period(rows, lo, hi)
+        rows = d.filter_period(rows, lo, hi, raw=date, unit=unit)
     rows = d.keep(rows, ["year", "industry", *d.KEPT_MEASURES])
     return d.any_nonzero(rows, [c for c in d.KEPT_MEASURES if c in rows.columns])
 
 
 def build_panel(df: DataFrame, unit: str = "year", lo: int | None = None, hi: int | None = None, **options) -> DataFrame:
     """Statements to panel: medians and record counts per (period, entity)."""
-    keyed = d.with_entity(d.with_period(df, unit=unit)).select("year", "industry")
-    return aggregate_panel(clean_statements(df, lo, hi, unit), ["year", "industry"], sized_by=keyed, **options)
+    return aggregate_panel(clean_statements(df, lo, hi, unit), ["year", "industry"], **options)
 
 
 def lagged_panel(panel: DataFrame, n_lags: int = 2, cols: Sequence[str] = tuple(LAGGED)) -> DataFrame:

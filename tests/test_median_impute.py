@@ -23,15 +23,15 @@ def median_of(spark, values, **kw):
         [2.0 ** i for i in range(-40, 41)],
     ],
 )
-def test_histogram_selection_is_exact(spark, values):
+def test_bracketed_selection_is_exact(spark, values):
     want = float(np.median(values)) if max(map(abs, values)) < 1e200 else 3.5
-    assert median_of(spark, values, max_group=0, buckets=16) == want
+    assert median_of(spark, values, accuracy=16) == want
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_selection_equals_numpy(spark, values):
-    got = median_of(spark, values, max_group=0, buckets=8)
+    got = median_of(spark, values, accuracy=8)
     assert got == pytest.approx(np.median(values), rel=1e-12, abs=1e-12)
 
 
@@ -43,7 +43,7 @@ def test_hot_and_cold_groups_with_null_keys(spark):
     pdf.loc[pdf.index % 7 == 0, "a"] = np.nan
     df = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in pdf.itertuples(index=False)],
                                "k string, a double, b double").withColumn("void", F.lit(None).cast("double"))
-    out = {r["k"]: r for r in exact_median(df, ["k"], ["a", "b", "void"], max_group=50, count_as="n").collect()}
+    out = {r["k"]: r for r in exact_median(df, ["k"], ["a", "b", "void"], accuracy=50, count_as="n").collect()}
     for key, part in (("hot", pdf[pdf.k == "hot"]), ("cold", pdf[pdf.k == "cold"]), (None, pdf[pdf.k.isna()])):
         assert out[key]["a"] == pytest.approx(part.a.median(), rel=1e-12)
         assert out[key]["b"] == part.b.median() and out[key]["void"] is None and out[key]["n"] == len(part)
@@ -102,7 +102,41 @@ def test_large_groups_with_infinities_and_nan_end_as_small_ones_do(spark):
         "huge": [1.7e308, -1.7e308] * 100 + [1.6e308],
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
-    small = {r.g: r.v for r in exact_median(df, ["g"], ["v"]).collect()}
-    large = {r.g: r.v for r in exact_median(df, ["g"], ["v"], max_group=10, buckets=64).collect()}
+    small = {r.g: r.v for r in df.groupBy("g").agg(F.median("v").alias("v")).collect()}
+    default = {r.g: r.v for r in exact_median(df, ["g"], ["v"]).collect()}
+    large = {r.g: r.v for r in exact_median(df, ["g"], ["v"], accuracy=10).collect()}
     for g in groups:
+        assert default[g] == pytest.approx(small[g], rel=1e-15, nan_ok=True), g
         assert large[g] == pytest.approx(small[g], rel=1e-15, nan_ok=True), g
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """With quantiles far off the middle the first bracket has no middle rank; the result is the same."""
+    from panelwright.operators import median
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 801), ("b", 300), ("c", 1)) for v in rng.normal(size=n)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    real, seen = median._bracketed, []
+
+    def off(rows, by, n_cols, accuracy, share):
+        seen.append(share)
+        if len(seen) == 1:  # as if the sketch had erred
+            monkeypatch.setattr(median.F, "percentile_approx", lambda c, p, a, f=median.F.percentile_approx: f(c, median.F.array(median.F.lit(0.9), median.F.lit(0.95)), a))
+            out = real(rows, by, n_cols, accuracy, share)
+            monkeypatch.setattr(median.F, "percentile_approx", approx)
+            return out
+        return real(rows, by, n_cols, accuracy, share)
+
+    approx = median.F.percentile_approx
+    monkeypatch.setattr(median, "_bracketed", off)
+    got = {r.g: r.v for r in exact_median(df, ["g"], ["v"]).collect()}
+    assert len(seen) == 2 and seen[1] > seen[0]
+    for g in "abc":
+        assert got[g] == pytest.approx(np.median([v for k, v in rows if k == g]), rel=1e-12)
+
+
+def test_median_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert exact_median(df, ["g"], ["v"]).count() == 0
+    assert exact_median(df, [], ["v"], count_as="n").collect()[0].asDict() == {"v": None, "n": 0}

@@ -96,3 +96,19 @@ def chi2_sf_sql(x, df):
 def normal_cdf_sql(x):
     half = erfc_sql(f"(abs({x}) / sqrt(2))")
     return f"(CASE WHEN {x} < 0 THEN {half} / 2 ELSE 1 - {half} / 2 END)"
+
+
+def gram_sql(name, source, width, left, start="", step=""):
+    """Moments of ``x`` (a list per row of ``source``, with series key ``k``) and what elimination leaves of them.
+
+    ``name`` has (k, p, m): m is the matrix after eliminating the first p columns,
+    so its last cell is the residual sum of the regression on those. It ends with
+    ``left`` columns to go. ``start`` and ``step`` carry a further value along.
+    """
+    return f""", {name}_g AS (SELECT k, i, list(v ORDER BY j) AS r FROM (
+        SELECT k, i, j, sum(x[i] * x[j]) AS v FROM {source}, range(1, {width} + 1) a(i), range(1, {width} + 1) b(j)
+        WHERE i <= len(x) AND j <= len(x) GROUP BY ALL) GROUP BY ALL),
+      {name}_m AS (SELECT k, list(r ORDER BY i) AS m FROM {name}_g GROUP BY k),
+      {name} AS (SELECT k, 0 AS p, m{start} FROM {name}_m UNION ALL SELECT k, p + 1, list_transform(m, lambda r, i: list_transform(r,
+          lambda v, j: CASE WHEN i <= p + 1 OR j <= p + 1 THEN 0 ELSE v - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END)){step}
+        FROM {name} WHERE p < len(m) - {left})"""

@@ -274,8 +274,28 @@ def e11_first(spark, sf):
     return rounded(out.select("industry", "lag", "pacf", "pacf_ci_hi"))
 
 
-@query("e11_acf_pacf")
+# Durbin-Levinson: ``phi`` are the coefficients up to lag k, newest lag first in ``rr``.
+PACF_CTES = """, r AS (SELECT k AS industry, any_value(n) AS n, list(r ORDER BY lag) FILTER (lag > 0) AS rr FROM acfs GROUP BY 1),
+    dl AS (SELECT industry, n, rr, 1 AS lag, rr[1] AS pacf, [rr[1]] AS phi FROM r
+      UNION ALL SELECT industry, n, rr, lag, pacf,
+        list_append(list_transform(phi, lambda p, i: p - pacf * phi[len(phi) + 1 - i]), pacf) FROM (
+        SELECT industry, n, rr, lag + 1 AS lag, phi,
+          (rr[lag + 1] - list_sum(list_transform(phi, lambda p, i: p * rr[lag + 1 - i])))
+            / (1 - list_sum(list_transform(phi, lambda p, i: p * rr[i]))) AS pacf FROM dl WHERE lag < len(rr))),
+    zp AS (SELECT industry, n, lag, rr[lag] AS acf, pacf,
+      1.959963984540054 * sqrt((1 + 2 * coalesce(list_sum(list_transform(rr[1:lag - 1], lambda v: v * v)), 0)) / n) AS aw,
+      1.959963984540054 / sqrt(n) AS pw FROM dl
+      UNION ALL SELECT industry, n, 0, 1.0, 1.0, 0.0, 0.0 FROM r)"""
+E11_SQL = with_ctes(
+    panel() + "," + acf_cte("panel", "cash_ratio", "industry", "year", 20) + PACF_CTES,
+    body="""SELECT industry, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(acf - aw, 6) AS acf_ci_low, round(acf + aw, 6) AS acf_ci_hi,
+      round(pacf, 6) AS pacf, round(pacf - pw, 6) AS pacf_ci_low, round(pacf + pw, 6) AS pacf_ci_hi FROM zp""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("e11_acf_pacf", E11_SQL)
 def e11(spark, sf):
+    """All lags of both tables."""
     return rounded(ac.acf_pacf(month_panel(spark, sf), "cash_ratio", 20))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import month_panel, rounded
 from catalog.panel import RATIO
-from catalog.registry import chi2_sf_sql, normal_cdf_sql, panel, query, with_ctes
+from catalog.registry import chi2_sf_sql, gram_sql, normal_cdf_sql, panel, query, with_ctes
 from catalog.series import DEMEANED, acf_cte, demeaned
 from panelwright.operators import residual_tests as rt
 from panelwright.operators.acf import ljung_box
@@ -61,13 +61,62 @@ def h1_pooled(spark, sf):
     return rounded(adf(rows, "cash_ratio", [], ["industry", "year"], lag=0).select(*ADF_OUT))
 
 
-@query("h1_adf")
+def adf_sql(value, source, key, order, columns=""):
+    """Unit-root test with the lag of least AIC, for each series ``k`` (a text) of ``source``.
+
+    Regressors are a constant, the level and the lagged differences, for the
+    choice in this order; for the test the level comes last, so that the Schur
+    complement of level and newest difference holds its coefficient and error.
+    """
+    return f""", ys AS (SELECT {key} AS k, {order} AS o, {value} - avg({value}) OVER (PARTITION BY {key}) AS y FROM {source} WHERE {value} IS NOT NULL),
+    zs AS (SELECT k, count(*) AS n, stddev_pop(y) AS sd, list(y ORDER BY o) AS z,
+      least(CAST(ceil(12 * (count(*) / 100) ** 0.25) AS BIGINT), count(*) // 2 - 2) AS m FROM ys GROUP BY k),
+    ts AS (SELECT k, n, sd, m, z, unnest(range(2, n + 1)) AS t FROM zs WHERE n >= 4 AND sd > 0),
+    first_x AS (SELECT k, list_concat([1.0, z[t - 1]], list_transform(range(1, m + 1), lambda i: z[t - i] - z[t - i - 1]), [z[t] - z[t - 1]]) AS x
+      FROM ts WHERE t >= m + 2)
+    {gram_sql("one", "first_x", 40, 1)},
+    aics AS (SELECT one.k, p - 2 AS lag, (n - 1 - m) * (ln(2 * pi() * m2 / (n - 1 - m)) + 1) + 2 * p AS aic FROM (
+      SELECT k, p, list_extract(list_extract(m, -1), -1) AS m2 FROM one WHERE p >= 2) one JOIN zs ON zs.k = one.k),
+    picked AS (SELECT k, arg_min(lag, (aic, lag)) AS lag, min(aic) AS ic FROM aics GROUP BY k),
+    second_x AS (SELECT ts.k, list_concat([1.0], list_transform(range(1, lag + 1), lambda i: z[t - i] - z[t - i - 1]), [z[t - 1], z[t] - z[t - 1]]) AS x
+      FROM ts JOIN picked ON ts.k = picked.k WHERE t >= lag + 2)
+    {gram_sql("two", "second_x", 40, 2)},
+    last AS (SELECT two.k, lag, ic, n - 1 - lag AS nobs, list_extract(list_extract(m, -2), -2) AS zz, list_extract(list_extract(m, -2), -1) AS zy,
+        list_extract(list_extract(m, -1), -1) AS yy FROM two JOIN picked ON two.k = picked.k JOIN (SELECT k, n FROM zs) ns ON ns.k = two.k
+      WHERE p = len(m) - 2),
+    adf AS (SELECT k, lag, ic, nobs, zy / zz / sqrt((yy - zy * zy / zz) / (nobs - lag - 2) / zz) AS tau FROM last)"""
+
+
+ADF_FULL = f"""round(tau, 6) AS test_statistic, round({ADF_P_SQL}, 6) AS p_value, CAST(lag AS INTEGER) AS n_lags_used,
+  CAST(nobs AS INTEGER) AS n_obs, round(-3.43035 - 6.5393 / nobs - 16.786 / nobs ** 2 - 79.433 / nobs ** 3, 6) AS crit_1,
+  round(-2.86154 - 2.8903 / nobs - 4.234 / nobs ** 2 - 40.040 / nobs ** 3, 6) AS crit_5,
+  round(-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2, 6) AS crit_10, round(ic, 6) AS icbest, {ADF_P_SQL} < 0.05 AS stationary, 'ok' AS status"""
+
+
+@query(
+    "h1_adf",
+    with_ctes(panel("nation") + adf_sql("cash_ratio", "panel", "industry", "year"), body=f"SELECT k AS industry, {ADF_FULL} FROM adf").replace(
+        "WITH ", "WITH RECURSIVE ", 1
+    ),
+)
 def h1(spark, sf):
+    """With the lag chosen by AIC."""
     rows = settle(month_panel(spark, sf, "nation").select("industry", "year", "cash_ratio"))
     return rounded(adf(rows, "cash_ratio"))
 
 
-@query("h2_differencing_order")
+@query(
+    "h2_differencing_order",
+    with_ctes(
+        panel("nation")
+        + """, ds AS (SELECT industry, year, free_cash_flow AS w0, w0 - lag(w0) OVER s AS w1, w0 - 2 * lag(w0) OVER s + lag(w0, 2) OVER s AS w2
+          FROM panel WINDOW s AS (PARTITION BY industry ORDER BY year)),
+        dl AS (SELECT industry, year, unnest([0, 1, 2]) AS d, unnest([w0, w1, w2]) AS w FROM ds)"""
+        + adf_sql("w", "dl", "industry || '/' || d", "year"),
+        body=f"""SELECT industry, CAST(coalesce(min(d) FILTER (WHERE {ADF_P_SQL} < 0.05), 2) AS INTEGER) AS d FROM (
+          SELECT split_part(k, '/', 1) AS industry, CAST(split_part(k, '/', 2) AS INTEGER) AS d, tau FROM adf) GROUP BY 1""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def h2(spark, sf):
     rows = settle(month_panel(spark, sf, "nation").select("industry", "year", "free_cash_flow"))
     return differencing_order(rows, "free_cash_flow")
@@ -90,7 +139,7 @@ def h3(spark, sf):
 
 # Squared residuals on polynomials in time, made orthogonal one after the other, so
 # that R2 is the sum of squared simple correlations.
-def _trend_sql(powers):
+def trend_sql(powers):
     out = """, tr AS (SELECT industry, e * e AS y, (2.0 * row_number() OVER (PARTITION BY industry ORDER BY year)
       - count(*) OVER (PARTITION BY industry) - 1) / count(*) OVER (PARTITION BY industry) AS s FROM dm),
     q0 AS (SELECT industry, y, s, s - avg(s) OVER (PARTITION BY industry) AS q1 FROM tr)"""
@@ -108,7 +157,7 @@ def _trend_sql(powers):
 
 def _variance_sql(powers):
     return with_ctes(
-        panel("nation") + DEMEANED + _trend_sql(powers),
+        panel("nation") + DEMEANED + trend_sql(powers),
         body=f"""SELECT industry, n_obs, round(n_obs * r2, 6) AS lm_stat,
         round({chi2_sf_sql('n_obs * r2', powers)}, 6) AS p_value,
         round((r2 / {powers}) / ((1 - r2) / (n_obs - {powers + 1})), 6) AS f_stat,
@@ -197,7 +246,7 @@ def h6_records(spark, sf):
 @query(
     "h7_residual_report",
     with_ctes(
-        panel("nation") + DEMEANED + _trend_sql(2),
+        panel("nation") + DEMEANED + trend_sql(2),
         body=f"""SELECT industry, n_obs, round(n_obs * r2, 6) AS bp_stat, jb.statistic AS jb_stat, jb.normal,
         dwt.dw, CASE WHEN dwt.dw < 1.5 THEN 'positive autocorrelation' WHEN dwt.dw < 2.5 THEN 'no autocorrelation'
           ELSE 'negative autocorrelation' END AS band
@@ -220,7 +269,7 @@ def h7(spark, sf):
 @query(
     "h7_residual_report_white",
     with_ctes(
-        panel("nation") + DEMEANED + _trend_sql(4),
+        panel("nation") + DEMEANED + trend_sql(4),
         body=f"""SELECT industry, n_obs, round(n_obs * r2, 6) AS lm_stat,
         {chi2_sf_sql('n_obs * r2', 4)} < 0.05 AS heteroskedastic FROM lm""",
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.functions.scalar import corr_or_null
 from panelwright.functions.special import chi2_sf, normal_ppf
 from panelwright.operators.impute import attach
 from panelwright.operators.series import numbered, series
@@ -74,21 +75,29 @@ def _acf_band(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def partial_from_acf(r: np.ndarray) -> np.ndarray:
-    """Yule-Walker partial autocorrelations from autocorrelations r[0..K]."""
-    k_max = len(r) - 1
-    out = np.ones(k_max + 1)
-    phi = np.zeros(0)
-    for k in range(1, k_max + 1):
-        gap = 1 - phi @ r[1:k]
-        last = (r[k] - phi @ r[k - 1 : 0 : -1]) / gap if gap else np.nan
-        phi = np.append(phi - last * phi[::-1], last)
-        out[k] = last
+    """Yule-Walker partial autocorrelations (m, K + 1) from autocorrelations, one step per lag for all series.
+
+    NaN beyond the lags of a series (where its autocorrelations are NaN) and
+    where the earlier lags leave nothing to explain.
+    """
+    m, size = r.shape
+    out = np.ones((m, size))
+    phi = np.zeros((m, size))
+    with np.errstate(all="ignore"):
+        for k in range(1, size):
+            gap = 1 - np.einsum("mi,mi->m", phi[:, 1:k], r[:, 1:k])
+            last = (r[:, k] - np.einsum("mi,mi->m", phi[:, 1:k], r[:, k - 1 : 0 : -1])) / np.where(gap == 0, np.nan, gap)
+            phi[:, 1:k] = phi[:, 1:k] - last[:, None] * phi[:, k - 1 : 0 : -1]
+            phi[:, k] = out[:, k] = last
     return out
 
 
 def _partial_batches(batches):
     for pdf in batches:
-        pdf["pacf"] = [partial_from_acf(np.asarray(r, float)).tolist() for r in pdf["r"]]
+        sizes = pdf["r"].map(len).to_numpy()
+        r = np.full((len(pdf), sizes.max(initial=1)), np.nan)
+        r[np.arange(r.shape[1]) < sizes[:, None]] = np.concatenate([np.asarray(v, float) for v in pdf["r"]]) if len(pdf) else []
+        pdf["pacf"] = [v[:n].tolist() for v, n in zip(partial_from_acf(r), sizes)]
         yield pdf
 
 
@@ -179,7 +188,7 @@ def qq_line(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.groupBy(*by).agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.corr("sample", "theoretical").alias("r"),
+        corr_or_null("sample", "theoretical").alias("r"),
     )
 
 

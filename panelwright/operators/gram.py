@@ -98,6 +98,121 @@ def least_squares_batch(
     return coef / scale
 
 
+#: Ridge penalties (of columns of unit length) that are tried in turn.
+RIDGES = (0.0, 1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
+
+
+def ridge_batch(
+    xtx: np.ndarray, xty: np.ndarray, yy: np.ndarray, n: np.ndarray, spare: float = 2.0, tol: float = 1e-11
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, residual sums and effective degrees of freedom of many systems.
+
+    One rule for all sizes: the least penalty of ``RIDGES`` that leaves ``spare``
+    degrees of freedom, none at all where there are rows enough. NaN degrees
+    where no penalty does.
+    """
+    m, k = xty.shape
+    if not k:
+        return np.zeros((m, 0)), yy.copy(), np.where(n >= spare, 0.0, np.nan)
+    scale = np.sqrt(np.clip(np.diagonal(xtx, axis1=1, axis2=2), 0, None))
+    scale = np.where(scale == 0, 1.0, scale)
+    w, v = np.linalg.eigh(xtx / (scale[:, :, None] * scale[:, None, :]))
+    good = w > tol * np.maximum(w[:, -1:], 1e-300)
+    w = np.where(good, w, 0.0)
+    grid = np.array(RIDGES)[:, None, None]
+    freedom = np.where(good, w / np.where(good, w + grid, 1.0), 0.0).sum(axis=2)
+    fits = n - freedom >= spare - 1e-9
+    pick = np.argmax(fits, axis=0)
+    at = np.arange(m)
+    inverse = np.where(good, 1 / np.where(good, w + np.array(RIDGES)[pick][:, None], 1.0), 0.0)
+    beta = np.einsum("mij,mj,mkj,mk->mi", v, inverse, v, xty / scale, optimize=True) / scale
+    rss = yy - 2 * np.einsum("mi,mi->m", beta, xty) + np.einsum("mi,mij,mj->m", beta, xtx, beta)
+    return beta, rss, np.where(fits[pick, at], freedom[pick, at], np.nan)
+
+
+def lag_products(r: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums of products of lags i and j (m, L + 1, L + 1) from those of lag 0 with each lag, ``r``.
+
+    The sum for lags i and j is that for i - 1 and j - 1 with one product entering
+    at the start of the sample and one leaving at its end: those of the values
+    ``start`` and ``end`` (m, L + 1). Lags outside ``own`` (m, L + 1) give zeros.
+    """
+    m, size = r.shape
+    out = np.zeros((m, size, size))
+    out[:, 0] = prev = np.where(own, r, 0.0)
+    for i in range(1, size):
+        prev = prev[:, : size - i] + start[:, i : i + 1] * start[:, i:] - end[:, i : i + 1] * end[:, i:]
+        prev = np.where(own[:, i:], prev, 0.0)
+        out[:, i, i:] = prev
+    return np.triu(out) + np.triu(out, 1).transpose(0, 2, 1)
+
+
+def masked_fit(xtx: np.ndarray, xty: np.ndarray, yy: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients, zero outside ``mask`` (m, k), and residual sums of many systems."""
+    k = xty.shape[1]
+    a = np.where(mask[:, :, None] & mask[:, None, :], xtx, 0.0)
+    a[:, np.arange(k), np.arange(k)] += ~mask
+    beta = np.where(mask, least_squares_batch(a, np.where(mask, xty, 0.0)), 0.0)
+    return beta, yy - np.einsum("mi,mi->m", beta, xty)
+
+
+def sparse_fit(
+    xtx: np.ndarray, xty: np.ndarray, yy: np.ndarray, n: np.ndarray, optional: np.ndarray, patience: int = 3
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, residual sums and chosen columns (m, k) of least squares with few of the ``optional`` columns (k,).
+
+    For all systems at once the column that helps most joins, one at a time, also
+    where it does not pay yet (a kink may pay with the next one only), until
+    ``patience`` in a row have paid for no system; of the sets on the way the best
+    is kept, and columns leave it one by one as long as that pays. What pays is
+    told by the extended BIC, which counts how many sets of that size there are.
+    """
+    offered = np.flatnonzero(optional)
+    price = 2 * np.log(max(len(offered), 1))
+
+    def score(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        beta, rss = masked_fit(xtx, xty, yy, mask)
+        size, extra = mask.sum(axis=1), mask[:, offered].sum(axis=1)
+        with np.errstate(all="ignore"):
+            value = n * np.log(np.maximum(rss, 1e-14 * np.maximum(yy, 1e-300)) / n) + size * np.log(n) + extra * price
+        return np.where(size < n, value, np.inf), beta, rss
+
+    def changed(mask: np.ndarray, on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best way to switch one optional column on (or off) for each system."""
+        best = (np.full(len(mask), np.inf), mask.copy(), np.zeros_like(xty), np.zeros(len(mask)))
+        for j in offered:
+            able = mask[:, j] != on
+            if able.any():
+                other = mask.copy()
+                other[:, j] = on
+                value, beta, rss = score(other)
+                win = able & (value < best[0])
+                for held, new in zip(best, (value, other, beta, rss)):
+                    held[win] = new[win]
+        return best
+
+    at = np.repeat(~optional[None], len(xty), axis=0)
+    value, beta, rss = score(at)
+    best, since = [value, at.copy(), beta, rss], 0
+    while since < patience:
+        step = changed(at, True)
+        if not np.isfinite(step[0]).any():
+            break
+        at = np.where(np.isfinite(step[0])[:, None], step[1], at)
+        win = step[0] < best[0]
+        for held, new in zip(best, step):
+            held[win] = new[win]
+        since = 0 if win.any() else since + 1
+    while True:
+        step = changed(best[1], False)
+        win = step[0] < best[0]
+        if not win.any():
+            break
+        for held, new in zip(best, step):
+            held[win] = new[win]
+    return best[2], best[3], best[1]
+
+
 def unpack_batch(values: Sequence[Sequence[float]], k: int) -> np.ndarray:
     """Symmetric matrices (m, k, k) from upper triangles."""
     flat = np.vstack([np.asarray(v, float) for v in values]) if len(values) else np.zeros((0, k * (k + 1) // 2))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.special import adf_critical, adf_p_value
-from panelwright.operators.gram import map_rows
+from panelwright.operators.gram import lag_products, map_batches
 from panelwright.operators.impute import attach
 from panelwright.operators.series import numbered, series
 
@@ -23,90 +23,137 @@ def _max_lag(n: int) -> int:
     return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
 
 
-def _fit(row: dict) -> dict:
-    """One series: choose the lag on the common sample, refit on all its rows."""
-    n, m, sd = int(row["_n"]), int(row["_m"]), row["_sd"]
-    if n < 4:
-        return {"status": "too few observations"}
-    if not sd or m < 0:
-        return {"status": "constant series" if not sd else "too few observations"}
-    first = {int(r["t"]): r["z"] for r in row["_head"]}
-    last = {int(r["t"]): r["z"] for r in row["_tail"]}
-    rows = n - 1 - m
-    if rows < 1:
-        return {"status": "too few observations"}
-    s, g, r = (np.asarray(row[c], float) for c in ("_s", "_g", "_r"))
-    size = m + 2
-    x = np.zeros((size, size))
-    x[0, 0], x[0, 1], x[1, 1] = rows, row["_z1"], row["_z11"]
-    x[0, 2:], x[1, 2:] = s[1 : m + 1], g[1 : m + 1]
-    if m:
-        # Products of two lagged differences follow from those one step later,
-        # with one row entering at the start and one leaving at the end.
-        start = np.array([first[m + 2 - i] - first[m + 1 - i] for i in range(m + 1)])
-        end = np.array([last[n + 1 - i] - last[n - i] if i else 0.0 for i in range(m + 1)])
-        prev = r[: m + 1]
-        for i in range(1, m + 1):
-            prev = prev[: m + 1 - i] + start[i] * start[i:] - end[i] * end[i:]
-            x[i + 1, i + 1 :] = prev
-    x = np.triu(x) + np.triu(x, 1).T
-    y = np.concatenate([[s[0], g[0]], r[1 : m + 1]])
-    yy = r[0]
-
-    lag, best = int(row["_fixed"]), None
-    if lag < 0:
-        rss = np.array([_rss(x[: p + 2, : p + 2], y[: p + 2], yy) for p in range(m + 1)])
-        k = np.arange(2, m + 3)
-        with np.errstate(divide="ignore"):
-            aic = rows * (np.log(2 * np.pi * np.maximum(rss, 0) / rows) + 1 + 2 * math.log(sd)) + 2 * k
-        lag = int(np.argmin(aic))
-        best = float(aic[lag])
-        if not math.isfinite(best):
-            best = None
-    x, y = x[: lag + 2, : lag + 2].copy(), y[: lag + 2].copy()
-    for t in range(lag + 2, m + 2):
-        d = [first[t - i] - first[t - 1 - i] for i in range(lag + 1)]
-        v = np.array([1.0, first[t - 1], *d[1:]])
-        x, y, yy = x + np.outer(v, v), y + v * d[0], yy + d[0] ** 2
-    nobs = n - 1 - lag
-    dof = nobs - lag - 2
-    try:
-        inv = np.linalg.inv(x)
-    except np.linalg.LinAlgError:
-        return {"status": "singular regressors"}
-    beta = inv @ y
-    left = yy - beta @ y
-    if dof <= 0 or left <= 1e-13 * yy or inv[1, 1] <= 0:
-        return {"status": "too few observations" if dof <= 0 else "perfect fit"}
-    return {
-        "statistic": float(beta[1] / math.sqrt(left / dof * inv[1, 1])),
-        "n_lags_used": lag,
-        "nobs": nobs,
-        "icbest": best,
-        "status": "ok",
-    }
-
-
-def _rss(x: np.ndarray, y: np.ndarray, yy: float) -> float:
-    try:
-        return yy - y @ np.linalg.solve(x, y)
-    except np.linalg.LinAlgError:
-        return math.inf
-
-
-# More lags than this are multiplied in numpy, block by block.
-WIDE = 40
+def nested_rss(x: np.ndarray, y: np.ndarray, yy: np.ndarray, tol: float = 1e-13) -> tuple[np.ndarray, np.ndarray]:
+    """Residual sums with the first 1, 2, ... k regressors, for many systems (m, k, k) at once.
+
+    One factorisation serves all of them: eliminating regressor by regressor, what
+    is left of ``yy`` is the residual sum so far. Also (m, k): whether a
+    regressor depends on those before it (its residual sums are infinite).
+    """
+    m, k = y.shape
+    a = np.empty((m, k + 1, k + 1))
+    a[:, :k, :k], a[:, k, :k], a[:, :k, k], a[:, k, k] = x, y, y, yy
+    size = np.diagonal(x, axis1=1, axis2=2).copy()
+    out, bad = np.empty((m, k)), np.zeros((m, k), bool)
+    for j in range(k):
+        pivot = a[:, j, j]
+        bad[:, j] = ~(pivot > tol * size[:, j])
+        row = a[:, j, j + 1 :] / np.where(bad[:, j], 1.0, pivot)[:, None]
+        row[bad[:, j]] = 0.0
+        a[:, j + 1 :, j + 1 :] -= row[:, :, None] * a[:, j, None, j + 1 :]
+        out[:, j] = a[:, k, k]
+    out[np.logical_or.accumulate(bad, axis=1)] = np.inf
+    return out, bad
+
+
+def _padded(values, width: int, from_end: bool = False) -> np.ndarray:
+    """Rows of equal length from lists, newest first if ``from_end``."""
+    out = np.zeros((len(values), width))
+    for i, v in enumerate(values):
+        v = np.asarray(v, float)
+        out[i, : len(v)] = v[::-1][:width] if from_end else v[:width]
+    return out
+
+
+def _lag_moments(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Moments of constant, level and lags on the common sample, (m, width + 2, width + 2) and so on, and the first values.
+
+    Lags beyond a series' own limit are unit columns that explain nothing.
+    """
+    n, m = pdf["_n"].to_numpy(int), pdf["_m"].to_numpy(int)
+    first = _padded(pdf["_head"], width + 2)
+    last = _padded(pdf["_tail"], width + 3, from_end=True)
+    s, g, r = (_padded(pdf[c], width + 1) for c in ("_s", "_g", "_r"))
+    lag = np.arange(width + 1)
+    own = lag <= m[:, None]
+    at = np.clip(m[:, None] + 1 - lag, 1, width + 1)
+    start = np.where(own, np.take_along_axis(first, at, 1) - np.take_along_axis(first, at - 1, 1), 0.0)
+    end = np.zeros_like(start)
+    end[:, 1:] = np.where(own[:, 1:], last[:, :width] - last[:, 1 : width + 1], 0.0)
+    x = np.zeros((len(pdf), width + 2, width + 2))
+    x[:, 0, 0], x[:, 0, 1], x[:, 1, 1] = n - 1 - m, pdf["_z1"].fillna(0.0), pdf["_z11"].fillna(0.0)
+    x[:, 0, 2:], x[:, 1, 2:] = np.where(own, s, 0.0)[:, 1:], np.where(own, g, 0.0)[:, 1:]
+    x[:, 2:, 2:] = lag_products(r, start, end, own)[:, 1:, 1:]
+    x = np.triu(x) + np.triu(x, 1).transpose(0, 2, 1)
+    spare = np.arange(width + 2) > m[:, None] + 1
+    x[:, np.arange(width + 2), np.arange(width + 2)] += spare
+    y = np.concatenate([s[:, :1], g[:, :1], np.where(own, r, 0.0)[:, 1:]], axis=1)
+    return x, y, r[:, 0], first, spare
+
+
+def _fit_batch(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Many series at once: choose the lag on the common sample, refit on all rows."""
+    n, m, sd = pdf["_n"].to_numpy(int), pdf["_m"].to_numpy(int), pdf["_sd"].fillna(0.0).to_numpy(float)
+    x, y, yy, first, _ = _lag_moments(pdf, width)
+    rows = (n - 1 - m).astype(float)
+    short = (n < 4) | (m < 0) | (rows < 1)
+    flat = (n >= 4) & ~(sd > 0)
+    x[short | flat] = np.eye(width + 2)
+    lag = pdf["_fixed"].to_numpy(int).copy()
+    best = np.full(len(pdf), np.nan)
+    if (lag < 0).any():
+        rss, _ = nested_rss(x, y, yy)
+        with np.errstate(all="ignore"):
+            level = np.log(2 * np.pi * np.maximum(rss[:, 1:], 0) / rows[:, None]) + 1 + 2 * np.log(sd)[:, None]
+            aic = rows[:, None] * level + 2 * np.arange(2, width + 3)
+        aic[np.arange(width + 1) > m[:, None]] = np.inf
+        aic[np.isnan(aic)] = np.inf
+        found = np.argmin(aic, axis=1)
+        best = np.where(lag < 0, aic[np.arange(len(pdf)), found], best)
+        lag = np.where(lag < 0, found, lag)
+    # The chosen regressors, with the rows that the common sample left out.
+    spare = np.arange(width + 2) > lag[:, None] + 1
+    x[spare[:, :, None] | spare[:, None, :]] = 0.0
+    y = np.where(spare, 0.0, y)
+    steps = np.diff(first, axis=1)
+    for t in range(2, width + 2):
+        more = (t >= lag + 2) & (t < m + 2)
+        if more.any():
+            back = np.zeros((len(pdf), width + 2))
+            back[:, 0], back[:, 1] = 1.0, first[:, t - 2]
+            back[:, 2 : t] = steps[:, : t - 2][:, ::-1]
+            back = np.where(spare | ~more[:, None], 0.0, back)
+            now = np.where(more, steps[:, t - 2], 0.0)
+            x += back[:, :, None] * back[:, None, :]
+            y += back * now[:, None]
+            yy = yy + now * now
+    x[:, np.arange(width + 2), np.arange(width + 2)] += spare
+    _, bad = nested_rss(x, y, yy)
+    singular = bad.any(axis=1)
+    x[singular | short | flat] = np.eye(width + 2)
+    unit = np.zeros((len(pdf), width + 2, 1))
+    unit[:, 1] = 1.0
+    solved = np.linalg.solve(x, np.concatenate([y[:, :, None], unit], axis=2))
+    beta, spread = solved[:, :, 0], solved[:, 1, 1]
+    left = yy - np.einsum("mi,mi->m", beta, y)
+    dof = n - 1 - lag - lag - 2
+    status = np.select(
+        [n < 4, flat, short, singular, dof <= 0, (left <= 1e-13 * yy) | (spread <= 0)],
+        ["too few observations", "constant series", "too few observations", "singular regressors", "too few observations", "perfect fit"],
+        "ok",
+    )
+    with np.errstate(all="ignore"):
+        tau = beta[:, 1] / np.sqrt(left / dof * spread)
+    ok = status == "ok"
+    number = lambda v: pd.Series(v).astype("Int32").where(ok)
+    return pd.DataFrame(
+        {
+            "statistic": pd.Series(tau).where(ok).astype(object).where(ok, None), "n_lags_used": number(lag), "nobs": number(n - 1 - lag),
+            "icbest": pd.Series(best).astype(object).where(ok & np.isfinite(best), None), "status": status,
+        }
+    )
 
 
 def _edges(width: int) -> list[Column]:
     """Per series: its size and its first and last few values."""
     point = F.struct(F.col("_t").alias("t"), F.col("_z").alias("z"))
+    few = lambda where: F.sort_array(F.collect_list(F.when(where, point))).getField("z")
     return [
         F.max("_n").alias("_n"),
         F.max("_m").alias("_m"),
         F.max("_sd").alias("_sd"),
-        F.collect_list(F.when(F.col("_t") <= width + 2, point)).alias("_head"),
-        F.collect_list(F.when(F.col("_t") >= F.col("_n") - width - 2, point)).alias("_tail"),
+        few(F.col("_t") <= width + 2).alias("_head"),
+        few(F.col("_t") >= F.col("_n") - width - 2).alias("_tail"),
     ]
 
 
@@ -134,7 +181,7 @@ def _moments(rows: DataFrame, by: list[str], order: list[str], width: int, layou
 
 
 def _block_moments(rows: DataFrame, by: list[str], order: list[str], width: int, layout: str) -> DataFrame:
-    """The same sums for long series with many lags.
+    """The same sums for pooled and very long series.
 
     Each block of rows (with the rows its lags reach) is reduced to one array of
     sums per series in it; the arrays are added up element by element.
@@ -193,7 +240,9 @@ def adf(
     Each series may use up to ceil(12 (n/100)^(1/4)) lags. One pass sums the
     products of the newest row with each lag; all other cross products follow
     from these and the first and last few values of a series, so the width of
-    the aggregation grows with the number of lags, not with its square.
+    the aggregation grows with the number of lags, not with its square. One
+    factorisation per series then gives the residual sum of every shorter lag.
+    In the ``blocks`` layout the sums are taken block by block in numpy.
     """
     by = list(by)
     rows = df.filter(F.col(col).isNotNull() & ~F.isnan(col))
@@ -215,9 +264,10 @@ def adf(
     z = F.when(F.col("_sd") > 0, (F.col("_y") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
     rows = attach(rows, stats, by, ["_n", "_mean", "_sd"]).withColumn("_z", z).withColumn("_m", m.cast("int"))
     rows = numbered(rows, by, order_cols, layout, "_t", "_len", keep_pos=True).drop("_len")
-    moments = (_moments if width <= WIDE else _block_moments)(rows, by, order_cols, width, layout)
+    moments = (_moments if layout == "panel" and by else _block_moments)(rows, by, order_cols, width, layout)
     moments = moments.withColumn("_fixed", F.lit(-1 if lag is None else lag))
-    out = map_rows(moments, _fit, _OUT, [*by, "_n"])
+    schema = T.StructType([*[moments.schema[k] for k in by], *T.StructType.fromDDL(_OUT).fields])
+    out = map_batches(moments, lambda pdf: pd.concat([pdf[by], _fit_batch(pdf, width)], axis=1), schema)
     p = adf_p_value(F.col("statistic"))
     crit = adf_critical(F.col("nobs").cast("double"))
     return (

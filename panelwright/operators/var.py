@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.operators.derive import clean_numeric
-from panelwright.operators.gram import map_rows
+from panelwright.operators.gram import map_batches
 from panelwright.operators.impute import attach
 from panelwright.operators.series import numbered, series
 
@@ -20,91 +21,127 @@ _OUT = (
 )
 
 
-def _solve(k: int, width: int):
-    def products(row: dict) -> np.ndarray:
-        """Sums of z(t) z(t-j)' over the common sample, j = 0..width."""
-        return np.asarray(row["_c"], float).reshape(width + 1, k, k)
-
-    def fit(row: dict) -> dict:
-        n, m = int(row["_n"]), int(row["_m"])
-        if n < k + 2:
-            return {"status": "too few observations"}
-        sd, mean = np.asarray(row["_sd"], float), np.asarray(row["_mean"], float)
-        if np.any(sd == 0):
-            return {"status": "constant column"}
-        head = {int(r["t"]): np.asarray(r["z"], float) for r in row["_head"]}
-        tail = {int(r["t"]): np.asarray(r["z"], float) for r in row["_tail"]}
-        c, rows = products(row), n - m
-        # Blocks of products one lag further follow by one row entering, one leaving.
-        size = 1 + k * m
-        xtx, xty = np.zeros((size, size)), np.zeros((size, k))
-        xtx[0, 0] = rows
-        sums = np.asarray(row["_s"], float)
-        xty[0] = sums
-        line = [c[j].T for j in range(m + 1)]  # z(t-j) z(t)'
-        for j in range(1, m + 1):
-            xty[1 + k * (j - 1) : 1 + k * j] = line[j]
-        prev = [c[j] for j in range(m + 1)]
-        for i in range(1, m + 1):
-            sums = sums + head[m + 1 - i] - tail[n + 1 - i]
-            xtx[0, 1 + k * (i - 1) : 1 + k * i] = sums
-            prev = [
-                prev[j] + np.outer(head[m + 1 - i], head[m + 1 - i - j]) - np.outer(tail[n + 1 - i], tail[n + 1 - i - j])
-                for j in range(m + 1 - i)
-            ]
-            for j, block in enumerate(prev):
-                a, b = 1 + k * (i - 1), 1 + k * (i + j - 1)
-                xtx[a : a + k, b : b + k] = block
-        xtx = np.triu(xtx) + np.triu(xtx, 1).T
-        yy = c[0]
-
-        best = None
-        for p in range(m + 1):
-            q = 1 + k * p
-            if rows <= q:
-                break
-            det = _logdet(xtx[:q, :q], xty[:q], yy, rows)
-            if det is None:
-                break
-            bic = det + math.log(rows) / rows * k * q
-            if best is None or bic < best[0]:
-                best = (bic, p)
-        p = max(1, best[1] if best else 1)
-        q = 1 + k * p
-        x, y = xtx[:q, :q].copy(), xty[:q].copy()
-        for t in range(p + 1, m + 1):
-            v = np.concatenate([[1.0], *[head[t - i] for i in range(1, p + 1)]])
-            x, y, yy = x + np.outer(v, v), y + np.outer(v, head[t]), yy + np.outer(head[t], head[t])
-        total = n - p
-        if total < q:
-            return {"status": "too few observations"}
-        try:
-            beta = np.linalg.solve(x, y)
-        except np.linalg.LinAlgError:
-            return {"status": "singular regressors"}
-        sigma = (yy - beta.T @ y) / max(total - q, 1)
-        lags = [beta[1 + k * (i - 1) : 1 + k * i].T * np.outer(sd, 1 / sd) for i in range(1, p + 1)]
-        const = mean + sd * beta[0] - sum(a @ mean for a in lags)
-        return {
-            "lag_order": p,
-            "nobs": total,
-            "intercept": const.tolist(),
-            "coefs": np.concatenate([a.ravel() for a in lags]).tolist(),
-            "sigma_u": (sigma * np.outer(sd, sd)).ravel().tolist(),
-            "bic": best[0] + 2 * float(np.log(sd).sum()) if best else None,
-            "status": "ok",
-        }
+def _points(values, k: int, width: int, from_end: bool = False) -> np.ndarray:
+    """(m, width, k): the first vectors of each series, or its last ones, newest first."""
+    out = np.zeros((len(values), width, k))
+    for i, v in enumerate(values):
+        z = np.array([np.asarray(x, float) for x in v]).reshape(-1, k)
+        z = z[::-1][:width] if from_end else z[:width]
+        out[i, : len(z)] = z
+    return out
+
 
-    return fit
+def _joint_moments(pdf: pd.DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moments of constant, lags and the current vector on the common sample, and the first vectors.
 
+    Blocks of products one lag further follow by one row entering the sample and
+    one leaving it. Lags beyond a series' own limit are unit columns.
+    """
+    n, own = pdf["_n"].to_numpy(int), pdf["_m"].to_numpy(int)
+    m = len(pdf)
+    head, tail = _points(pdf["_head"], k, width + 1), _points(pdf["_tail"], k, width + 1, from_end=True)
+    c = np.vstack([np.asarray(v, float) for v in pdf["_c"]]).reshape(m, width + 1, k, k)
+    lag = np.arange(1, width + 1)
+    used = lag <= own[:, None]
+    at = np.clip(own[:, None] - lag, 0, width)
+    # Lag l enters with the vector at own + 1 - l and leaves with the l-th last one.
+    start = np.where(used[:, :, None], np.take_along_axis(head, at[:, :, None], 1), 0.0)
+    end = np.where(used[:, :, None], tail[:, :width], 0.0)
+    size = 1 + k * width
+    x = np.zeros((m, size + k, size + k))
+    x[:, 0, 0] = n - own
+    total = np.vstack([np.asarray(v, float) for v in pdf["_s"]])
+    x[:, 0, size:] = total
+    x[:, size:, size:] = c[:, 0]
+    prev = c
+    for i in range(1, width + 1):
+        a = slice(1 + k * (i - 1), 1 + k * i)
+        total = total + start[:, i - 1] - end[:, i - 1]
+        x[:, 0, a] = np.where(used[:, i - 1, None], total, 0.0)
+        x[:, a, size:] = np.where(used[:, i - 1, None, None], c[:, i].transpose(0, 2, 1), 0.0)
+        entering = np.einsum("ma,mjb->mjab", start[:, i - 1], start[:, i - 1 :])
+        prev = prev[:, : width + 1 - i] + entering - np.einsum("ma,mjb->mjab", end[:, i - 1], end[:, i - 1 :])
+        prev = np.where(used[:, i - 1 :, None, None], prev, 0.0)
+        for j in range(width + 1 - i):
+            b = slice(1 + k * (i + j - 1), 1 + k * (i + j))
+            x[:, a, b] = prev[:, j]
+    x = np.triu(x) + np.triu(x, 1).transpose(0, 2, 1)
+    spare = np.zeros((m, size + k), bool)
+    spare[:, 1:size] = np.repeat(~used, k, axis=1)
+    x[:, np.arange(size + k), np.arange(size + k)] += spare
+    return x, head
 
-def _logdet(xtx, xty, yy, rows):
-    try:
-        sigma = (yy - xty.T @ np.linalg.solve(xtx, xty)) / rows
-    except np.linalg.LinAlgError:
-        return None
-    sign, value = np.linalg.slogdet(sigma)
-    return value if sign > 0 else None
+
+def _eliminated(x: np.ndarray, size: int, tol: float = 1e-13) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(regressors so far, what is left of the last columns' products, which systems are singular by then)."""
+    a, scale = x.copy(), np.diagonal(x, axis1=1, axis2=2).copy()
+    bad = np.zeros(len(x), bool)
+    for j in range(size):
+        pivot = a[:, j, j]
+        bad |= ~(pivot > tol * scale[:, j])
+        row = a[:, j, j + 1 :] / np.where(bad, 1.0, pivot)[:, None]
+        row[bad] = 0.0
+        a[:, j + 1 :, j + 1 :] -= row[:, :, None] * a[:, j, None, j + 1 :]
+        yield j + 1, a[:, size:, size:], bad
+
+
+def _solve_batch(pdf: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
+    """Order by BIC on the common sample, then the fit on all rows, for many series at once."""
+    n, own = pdf["_n"].to_numpy(int), pdf["_m"].to_numpy(int)
+    m, size = len(pdf), 1 + k * width
+    sd, mean = (np.vstack([np.asarray(v, float) for v in pdf[c]]) for c in ("_sd", "_mean"))
+    few, flat = n < k + 2, (sd == 0).any(axis=1)
+    x, head = _joint_moments(pdf, k, width)
+    x[few | flat] = np.eye(size + k)
+    rows = np.maximum(n - own, 1).astype(float)
+    bic = np.full((m, width + 1), np.inf)
+    stopped = np.zeros(m, bool)
+    for q, left, bad in _eliminated(x, size):
+        if (q - 1) % k == 0:
+            p = (q - 1) // k
+            sign, value = np.linalg.slogdet(left / rows[:, None, None])
+            stopped |= bad | (rows <= q) | (p > own) | (sign <= 0)
+            bic[:, p] = np.where(stopped, np.inf, value + np.log(rows) / rows * k * q)
+    best = bic.min(axis=1)
+    p = np.maximum(1, np.where(np.isfinite(best), bic.argmin(axis=1), 1))
+    keep = np.concatenate([np.ones((m, 1), bool), np.repeat(np.arange(1, width + 1) <= p[:, None], k, axis=1), np.ones((m, k), bool)], axis=1)
+    x = np.where(keep[:, :, None] & keep[:, None, :], x, 0.0)
+    for t in range(2, width + 1):
+        # Rows that the common sample left out.
+        more = (t > p) & (t <= own)
+        if more.any():
+            v = np.zeros((m, size + k))
+            v[:, 0] = 1.0
+            v[:, 1 : 1 + k * (t - 1)] = head[:, t - 2 :: -1].reshape(m, -1)[:, : k * (t - 1)]
+            v[:, size:] = head[:, t - 1]
+            v = np.where(keep & more[:, None], v, 0.0)
+            x += v[:, :, None] * v[:, None, :]
+    x[:, np.arange(size + k), np.arange(size + k)] += ~keep
+    singular = np.zeros(m, bool)
+    for _, left, bad in _eliminated(x, size):
+        singular = bad
+    total, q = n - p, 1 + k * p
+    status = np.select(
+        [few, flat, total < q, singular], ["too few observations", "constant column", "too few observations", "singular regressors"], "ok"
+    )
+    ok = status == "ok"
+    x[~ok] = np.eye(size + k)
+    beta = np.linalg.solve(x[:, :size, :size], x[:, :size, size:])
+    sigma = left / np.maximum(total - q, 1)[:, None, None] * sd[:, :, None] * sd[:, None, :]
+    with np.errstate(all="ignore"):
+        lags = beta[:, 1:].reshape(m, width, k, k).transpose(0, 1, 3, 2) * (sd[:, :, None] / sd[:, None, :])[:, None]
+        const = mean + sd * beta[:, 0] - np.einsum("mpij,mj->mi", np.where(np.isfinite(lags), lags, 0.0), mean)
+        level = best + 2 * np.log(sd).sum(axis=1)
+    whole = lambda v: pd.Series(v).astype("Int32").where(ok)
+    return pd.DataFrame(
+        {
+            "lag_order": whole(p), "nobs": whole(total),
+            "intercept": [v.tolist() if o else None for v, o in zip(const, ok)],
+            "coefs": [v[:i].ravel().tolist() if o else None for v, i, o in zip(lags, p, ok)],
+            "sigma_u": [v.ravel().tolist() if o else None for v, o in zip(sigma, ok)],
+            "bic": pd.Series(level).astype(object).where(ok & np.isfinite(level), None), "status": status,
+        }
+    )
 
 
 def fit_var(
@@ -157,10 +194,11 @@ def fit_var(
         F.any_value("_sd").alias("_sd"),
         F.expr(f"array({', '.join(cells)})").alias("_c"),
         F.expr(f"array({', '.join(totals)})").alias("_s"),
-        F.collect_list(F.when(F.col("_t") <= maxlags + 1, point)).alias("_head"),
-        F.collect_list(F.when(F.col("_t") >= F.col("_n") - maxlags, point)).alias("_tail"),
+        F.sort_array(F.collect_list(F.when(F.col("_t") <= maxlags + 1, point))).getField("z").alias("_head"),
+        F.sort_array(F.collect_list(F.when(F.col("_t") >= F.col("_n") - maxlags, point))).getField("z").alias("_tail"),
     )
-    out = map_rows(moments, _solve(k, maxlags), _OUT, by)
+    schema = T.StructType([*[moments.schema[c] for c in by], *T.StructType.fromDDL(_OUT).fields])
+    out = map_batches(moments, lambda pdf: pd.concat([pdf[by], _solve_batch(pdf, k, maxlags)], axis=1), schema)
     return out.withColumnRenamed("nobs", "n_obs").withColumn("variables", F.array(*[F.lit(c) for c in cols]))
 
 
@@ -190,20 +228,27 @@ def impulse_response(
     """
     by = list(by)
 
-    def respond(row: dict) -> dict:
-        names = list(row["variables"])
-        k, p = len(names), int(row["lag_order"])
-        a = np.asarray(row["coefs"], float).reshape(p, k, k)
-        phi = [np.eye(k)]
+    fits = var.filter(F.col("status") == "ok")
+    schema = T.StructType([*[var.schema[c] for c in [*by, "variables"]], T.StructField("path", T.ArrayType(T.DoubleType()))])
+
+    def respond(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = list(pdf["variables"].iloc[0])
+        k, p = len(names), pdf["lag_order"].to_numpy(int)
+        a = np.zeros((len(pdf), p.max(), k, k))
+        for i, v in enumerate(pdf["coefs"]):
+            a[i, : p[i]] = np.asarray(v, float).reshape(-1, k, k)
+        phi = np.zeros((len(pdf), steps + 1, k, k))
+        phi[:, 0] = np.eye(k)
         for h in range(1, steps + 1):
-            phi.append(sum(phi[h - j] @ a[j - 1] for j in range(1, min(h, p) + 1)))
-        r = names.index(response)
-        path = np.array([m[r] for m in phi])
+            for j in range(1, min(h, p.max()) + 1):
+                phi[:, h] += phi[:, h - j] @ a[:, j - 1]
+        path = phi[:, :, names.index(response)]
         if scale == "sd":
-            path = path * np.sqrt(np.diag(np.asarray(row["sigma_u"], float).reshape(k, k)))
-        return {"path": path.ravel().tolist()}
+            sigma = np.vstack([np.asarray(v, float) for v in pdf["sigma_u"]]).reshape(-1, k, k)
+            path = path * np.sqrt(np.diagonal(sigma, axis1=1, axis2=2))[:, None, :]
+        return pdf[[*by, "variables"]].assign(path=path.reshape(len(pdf), -1).tolist())
 
-    one = map_rows(var.filter(F.col("status") == "ok"), respond, "path array<double>", [*by, "variables"])
+    one = map_batches(fits, respond, schema)
     k = F.size("variables")
     rows = one.select(*by, "variables", F.posexplode("path").alias("_i", "response"))
     impulse = F.col("variables")[(F.col("_i") % k).cast("int")]

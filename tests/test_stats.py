@@ -174,13 +174,68 @@ def test_best_model_ties_and_nulls(spark):
 
 def test_many_lags_block_by_block(panel, panel_pdf, monkeypatch):
     from panelwright.operators import series as se
-    from panelwright.operators import unitroot as ur
 
     plain = adf(panel, "y").toPandas().set_index("industry").sort_index()
     pooled = adf(panel, "y", [], ["industry", "year"]).toPandas()
-    monkeypatch.setattr(ur, "WIDE", 3)
     monkeypatch.setattr(se, "BLOCK_ROWS", 17)
-    wide = adf(panel, "y").toPandas().set_index("industry").sort_index()
+    wide = adf(panel, "y", layout="blocks").toPandas().set_index("industry").sort_index()
     again = adf(panel, "y", [], ["industry", "year"]).toPandas()
     for a, b in ((plain, wide), (pooled, again)):
         assert np.allclose(a.test_statistic, b.test_statistic, atol=1e-9) and list(a.n_lags_used) == list(b.n_lags_used)
+
+
+def test_nested_residual_sums_are_those_of_each_regression():
+    from panelwright.operators.unitroot import nested_rss
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(6, 40, 5)), rng.normal(size=(6, 40))
+    x[2, :, 3] = 2 * x[2, :, 1]  # depends on an earlier one
+    rss, bad = nested_rss(np.einsum("mni,mnj->mij", x, x), np.einsum("mni,mn->mi", x, y), (y * y).sum(1))
+    for i in range(6):
+        for k in range(1, 6):
+            if i == 2 and k > 3:
+                assert np.isinf(rss[i, k - 1])
+                continue
+            b = np.linalg.lstsq(x[i, :, :k], y[i], rcond=None)[0]
+            assert rss[i, k - 1] == pytest.approx(((y[i] - x[i, :, :k] @ b) ** 2).sum())
+    assert bad.sum() == 1 and bad[2, 3]
+
+
+def chosen_adf(v):
+    """Lag by AIC on the common sample, refit on all rows, as plain least squares."""
+    n = len(v)
+    v, sd = (v - v.mean()) / v.std(), v.std()
+    m = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    d = np.diff(v)
+
+    def design(lag, first):
+        t = np.arange(first, n)
+        return np.column_stack([np.ones(len(t)), v[t - 1], *[d[t - 1 - i] for i in range(1, lag + 1)]]), d[t - 1]
+
+    aic = []
+    for lag in range(m + 1):
+        x, y = design(lag, m + 1)
+        e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        aic.append(len(y) * (math.log(2 * math.pi * (e @ e) / len(y)) + 1 + 2 * math.log(sd)) + 2 * (lag + 2))
+    lag = int(np.argmin(aic))
+    x, y = design(lag, lag + 1)
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    e = y - x @ b
+    return b[1] / math.sqrt(e @ e / (len(y) - lag - 2) * np.linalg.inv(x.T @ x)[1, 1]), lag, len(y), min(aic)
+
+
+def test_series_of_many_lengths_are_fitted_in_one_batch(spark):
+    rng = np.random.default_rng(12)
+    series = {f"s{n}": rng.normal(size=n).cumsum() + rng.normal(size=n) for n in (12, 17, 23, 40, 41, 100, 333)}
+    rows = [(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    odd = {"three": [1.0, 2.0, 4.0], "flat": [3.0] * 30, "line": [float(i) for i in range(30)], "four": [1.0, 3.0, 2.0, 5.0]}
+    rows += [(k, i, x) for k, v in odd.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "industry string, year int, y double").repartition(1)
+    got = {r["industry"]: r for r in adf(df, "y").collect()}
+    for k, v in series.items():
+        tau, lag, nobs, ic = chosen_adf(v)
+        r = got[k]
+        assert (r["status"], r["n_lags_used"], r["n_obs"]) == ("ok", lag, nobs)
+        assert r["test_statistic"] == pytest.approx(tau, rel=1e-6) and r["icbest"] == pytest.approx(ic, rel=1e-6)
+    assert got["three"]["status"] == "too few observations" and got["flat"]["status"] == "constant series"
+    assert got["line"]["status"] in ("singular regressors", "perfect fit") and got["four"]["n_obs"] == 3

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.common import month_panel, rounded
 from catalog.metrics import METRIC_COLS, SCORE
 from catalog.panel import SPLIT
-from catalog.registry import panel, query, with_ctes
+from catalog.registry import gram_sql, panel, query, with_ctes
 from catalog.series import FOLDS
 from panelwright.operators import arma as ar
 from panelwright.operators import factor as fa
@@ -89,13 +89,19 @@ def i3(spark, sf):
 
 
 AR1 = {"ar1": ar.Arma(max_p=1, max_q=0, min_p=1, intercepts=(True,))}
-AR1_SQL = panel("nation") + SPLIT.format("panel") + """,
-lv AS (SELECT industry, year, cash_ratio AS y, lag(cash_ratio) OVER (PARTITION BY industry ORDER BY year) AS p
+
+
+def ar1_sql(entity="nation", col="cash_ratio"):
+    return panel(entity) + SPLIT.format("panel") + f""",
+lv AS (SELECT industry, year, {col} AS y, lag({col}) OVER (PARTITION BY industry ORDER BY year) AS p
   FROM split WHERE split = 'train'),
-ar AS (SELECT industry, count(*) AS n, regr_slope(y, p) AS phi, regr_intercept(y, p) AS c,
+ar AS (SELECT industry, count(*) AS n, regr_slope(y, p) AS phi, regr_intercept(y, p) AS c, avg(y) AS mean,
   regr_syy(y, p) - regr_sxy(y, p) ** 2 / regr_sxx(y, p) AS rss, regr_syy(y, p) AS tss FROM lv WHERE p IS NOT NULL GROUP BY 1)"""
 
 
+AR1_SQL = ar1_sql()
+
+
 def ar1(spark, sf):
     rows = split_panel(spark, sf, "nation", "cash_ratio")
     spec = ar.arma_rows(rows, "cash_ratio", ["industry"], "year", TRAIN, 0, AR1)
@@ -156,7 +162,7 @@ def i5_one(spark, sf):
     scale = F.col("_scale")
     return rounded(
         best.select(
-            "industry", "n_obs", (F.col("coefs")[at] * scale).alias("beta"), (F.col("coefs")[0] * scale).alias("const")
+            "industry", "n_obs", (F.col("coefs")[at] * scale).alias("beta"), "const"
         )
     )
 
@@ -217,6 +223,85 @@ def i8(spark, sf):
     return rounded(ar.forecast(*ar1(spark, sf)).drop("model"))
 
 
+# The month (YYYYMM) h months after the last one.
+LATER = "CAST(((last // 100) * 12 + last % 100 - 1 + h) // 12 * 100 + ((last // 100) * 12 + last % 100 - 1 + h) % 12 + 1 AS INTEGER)"
+
+
+@query(
+    "i8_forecast_horizon",
+    with_ctes(
+        AR1_SQL,
+        "la AS (SELECT industry, arg_max(cash_ratio, year) AS yt, max(year) AS last FROM panel GROUP BY 1)",
+        body=f"""SELECT industry, {LATER} AS year,
+        round(c / (1 - phi) + phi ** h * (yt - c / (1 - phi)), 6) AS forecast, 'ok' AS status
+        FROM ar JOIN la USING (industry), range(1, 13) t(h)""",
+    ),
+)
+def i8_horizon(spark, sf):
+    """Twelve months that nobody has seen, from each series' last row."""
+    return rounded(ar.forecast(*ar1(spark, sf), h=12, unit="month").drop("model", "actual"))
+
+
+@query(
+    "i8_forecast_horizon_regressor",
+    with_ctes(
+        panel("nation") + SPLIT.format("panel"),
+        """lv AS (SELECT industry, year, cash_ratio AS y, quick_ratio AS x, lag(cash_ratio) OVER (PARTITION BY industry ORDER BY year) AS p
+          FROM split WHERE split = 'train'),
+        s AS (SELECT industry, avg(y) AS my, avg(x) AS mx, avg(p) AS mp, covar_pop(p, y) AS py, covar_pop(x, y) AS xy,
+          covar_pop(p, x) AS px, var_pop(p) AS pp, var_pop(x) AS xx FROM lv WHERE p IS NOT NULL GROUP BY 1),
+        b AS (SELECT industry, (py * xx - xy * px) / (pp * xx - px * px) AS phi, (xy * pp - py * px) / (pp * xx - px * px) AS beta, my, mx, mp FROM s),
+        la AS (SELECT industry, arg_max(cash_ratio, year) AS yt, max(year) AS last FROM panel GROUP BY 1),
+        fx AS (SELECT industry, quick_ratio AS x, row_number() OVER (PARTITION BY industry ORDER BY year DESC) AS back FROM panel
+          QUALIFY back <= 12),
+        ahead AS (SELECT industry, x, 13 - back AS h FROM fx),
+        path AS (SELECT industry, CAST(0 AS BIGINT) AS h, yt AS y FROM la UNION ALL
+          SELECT path.industry, path.h + 1, my + phi * (path.y - mp) + beta * (ahead.x - mx)
+          FROM path JOIN ahead ON path.industry = ahead.industry AND ahead.h = path.h + 1 JOIN b ON b.industry = path.industry)""",
+        body=f"""SELECT industry, {LATER} AS year, round(y, 6) AS forecast, 'ok' AS status
+        FROM path JOIN la USING (industry) WHERE h > 0""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def i8_horizon_regressor(spark, sf):
+    """An autoregression with a regressor, whose next twelve values are last year's."""
+    from pyspark.sql import Window
+
+    rows = split_panel(spark, sf, "nation", "cash_ratio", "quick_ratio")
+    models = {"arx": ar.Arma(max_p=1, max_q=0, min_p=1, exog=("quick_ratio",), intercepts=(True,))}
+    spec = ar.arma_rows(rows, "cash_ratio", ["industry"], "year", TRAIN, 0, models)
+    best = ar.select_order(ar.fit_arma(spec), ["industry"])
+    back = F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("year")))
+    ahead = rows.withColumn("_back", back).filter("_back <= 12").select("industry", (F.col("year") + 100).alias("year"), "quick_ratio")
+    return rounded(ar.forecast(spec, best, 12, ahead, "month").drop("model", "actual"))
+
+
+AR2 = {"ar2": ar.Arma(max_p=2, max_q=0, min_p=2, intercepts=(True,))}
+
+
+@query(
+    "i4_ar2_at_any_level",
+    with_ctes(
+        panel("nation") + SPLIT.format("panel"),
+        """lv AS (SELECT industry, cash_ratio AS y, lag(cash_ratio) OVER w AS p, lag(cash_ratio, 2) OVER w AS q
+          FROM split WHERE split = 'train' WINDOW w AS (PARTITION BY industry ORDER BY year)),
+        s AS (SELECT industry, count(*) AS n, covar_pop(p, y) AS py, covar_pop(q, y) AS qy, covar_pop(p, q) AS pq, var_pop(p) AS pp, var_pop(q) AS qq,
+          var_pop(y) AS yy FROM lv WHERE q IS NOT NULL GROUP BY 1),
+        b AS (SELECT *, (py * qq - qy * pq) / (pp * qq - pq * pq) AS phi1, (qy * pp - py * pq) / (pp * qq - pq * pq) AS phi2 FROM s)""",
+        body="""SELECT industry, level, round(phi1, 4) AS phi1, round(phi2, 4) AS phi2, round(1e6 * n * (yy - phi1 * py - phi2 * qy), 1) AS rss
+        FROM b, (SELECT unnest([100.0, 1e6, 1e8]) AS level)""",
+    ),
+)
+def i4_levels(spark, sf):
+    """An autoregression of order two does not depend on the level of its series."""
+    rows = split_panel(spark, sf, "nation", "cash_ratio")
+    levels = F.explode(F.array(*[F.lit(v) for v in (100.0, 1e6, 1e8)]))
+    rows = rows.withColumn("level", levels).withColumn("y", F.col("cash_ratio") * 1000 + F.col("level"))
+    keys = ["industry", "level"]
+    spec = ar.arma_rows(settle(rows), "y", keys, "year", TRAIN, 0, AR2)
+    best = ar.select_order(ar.fit_arma(spec).withColumn("status", F.lit("ok")), keys)
+    return rounded(best.select(*keys, F.col("coefs")[1].alias("phi1"), F.col("coefs")[2].alias("phi2"), "rss"), 4, rss=1)
+
+
 @query("i8_forecast_all_models")
 def i8_all(spark, sf):
     rows = split_panel(spark, sf)
@@ -290,12 +375,70 @@ def i11(spark, sf):
     return rounded(va.var_coefficients(out))
 
 
-@query("i11_fit_var_by_bic")
+def var_bic_sql(cols, maxlags):
+    """For each nation the order by BIC: ``vb`` (industry, p, bic), with standardised columns on the common sample.
+
+    Every order's moments are eliminated column by column; the determinant of
+    the residual products is the product of the last pivots.
+    """
+    k = len(cols)
+    z = ", ".join(f"({c} - avg({c}) OVER s) / stddev_pop({c}) OVER s" for c in cols)
+    return f""", vz AS (SELECT industry, year, [{z}] AS z FROM panel WINDOW s AS (PARTITION BY industry)),
+    vl AS (SELECT industry, count(*) AS n, list(z ORDER BY year) AS zs FROM vz GROUP BY 1),
+    vs AS (SELECT industry, {' + '.join(f'ln(stddev_pop({c}))' for c in cols)} AS logs FROM panel GROUP BY 1),
+    vx AS (SELECT industry || '/' || p AS k, list_concat([1.0], flatten(list_transform(range(1, p + 1), lambda j: zs[t - j])), zs[t]) AS x
+      FROM (SELECT industry, zs, p, unnest(range({maxlags} + 1, n + 1)) AS t FROM vl, range(0, {maxlags} + 1) o(p)))
+    {gram_sql("ve", "vx", 1 + k * maxlags + k, 0, ", 0.0::DOUBLE AS logdet", f", logdet + CASE WHEN p >= len(m) - {k} THEN ln(m[p + 1][p + 1]) ELSE 0 END")},
+    vb AS (SELECT split_part(ve.k, '/', 1) AS industry, CAST(split_part(ve.k, '/', 2) AS INTEGER) AS p, n - {maxlags} AS rows, n, logs,
+      logdet - {k} * ln(n - {maxlags}) + ln(n - {maxlags}) / (n - {maxlags}) * {k} * (1 + {k} * CAST(split_part(ve.k, '/', 2) AS INTEGER)) AS bic
+      FROM ve JOIN vl ON vl.industry = split_part(ve.k, '/', 1) JOIN vs ON vs.industry = vl.industry WHERE ve.p = len(ve.m)),
+    vp AS (SELECT industry, any_value(n) AS n, greatest(1, arg_min(p, (bic, p))) AS lag_order, min(bic) + 2 * any_value(logs) AS bic FROM vb GROUP BY 1)"""
+
+
+@query(
+    "i11_fit_var_by_bic",
+    with_ctes(
+        panel("nation") + var_bic_sql(["free_cash_flow", *LIQUIDITY], 5),
+        body="""SELECT industry, CAST(lag_order AS INTEGER) AS lag_order, CAST(n - lag_order AS INTEGER) AS n_obs, round(bic, 4) AS bic, 'ok' AS status
+        FROM vp""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def i11_bic(spark, sf):
     out = va.fit_var(month_panel(spark, sf, "nation"), ["free_cash_flow", *LIQUIDITY])
     return rounded(out.select("industry", "lag_order", "n_obs", "bic", "status"), 4)
 
 
+@query(
+    "i12_impulse_response_two_lags",
+    with_ctes(
+        panel("nation") + var_bic_sql(["cash_ratio", "quick_ratio"], 2),
+        """fx AS (SELECT industry AS k, list_concat([1.0], flatten(list_transform(range(1, lag_order + 1), lambda j: zs[t - j])), zs[t]) AS x
+          FROM (SELECT vl.industry, zs, lag_order, unnest(range(lag_order + 1, vl.n + 1)) AS t FROM vl JOIN vp USING (industry)))
+        """ + gram_sql("fe", "fx", 7, 2),
+        # Coefficients by elimination above the diagonal too.
+        """fj AS (SELECT k, 0 AS p, m FROM fe_m UNION ALL SELECT k, p + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+              CASE WHEN i = p + 1 THEN v / m[p + 1][p + 1] ELSE v - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END))
+            FROM fj WHERE p < len(m) - 2),
+        sds AS (SELECT industry, stddev_pop(cash_ratio) AS s1, stddev_pop(quick_ratio) AS s2 FROM panel GROUP BY 1),
+        fc AS (SELECT fj.k AS industry, lag_order, len(m) AS d, m, n - lag_order - (1 + 2 * lag_order) AS dof, s1, s2
+          FROM fj JOIN vp ON vp.industry = fj.k JOIN sds ON sds.industry = fj.k WHERE fj.p = len(fj.m) - 2),
+        ab AS (SELECT industry, m[2][d - 1] AS a11, m[3][d - 1] * s1 / s2 AS a12, m[2][d] * s2 / s1 AS a21, m[3][d] AS a22,
+            CASE WHEN lag_order = 2 THEN m[4][d - 1] ELSE 0 END AS b11, CASE WHEN lag_order = 2 THEN m[5][d - 1] * s1 / s2 ELSE 0 END AS b12,
+            CASE WHEN lag_order = 2 THEN m[4][d] * s2 / s1 ELSE 0 END AS b21, CASE WHEN lag_order = 2 THEN m[5][d] ELSE 0 END AS b22,
+            sqrt(m[d][d] / dof) * s2 AS shock FROM fc),
+        ir AS (SELECT industry, 0 AS h, 0.0::DOUBLE AS y1, 1.0::DOUBLE AS y2, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2 FROM ab
+          UNION ALL SELECT ir.industry, h + 1, a11 * y1 + a12 * y2 + b11 * z1 + b12 * z2, a21 * y1 + a22 * y2 + b21 * z1 + b22 * z2, y1, y2
+          FROM ir JOIN ab ON ab.industry = ir.industry WHERE h < 10)""",
+        body="""SELECT ir.industry, 'quick_ratio' AS impulse, h AS horizon, round(y1 * shock, 6) AS response
+        FROM ir JOIN ab ON ab.industry = ir.industry""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def i12_two(spark, sf):
+    """Order by BIC up to two, impulses of one residual deviation."""
+    out = va.fit_var(month_panel(spark, sf, "nation"), ["cash_ratio", "quick_ratio"], maxlags=2)
+    return rounded(va.impulse_response(out, 10, "cash_ratio", scale="sd"))
+
+
 @query(
     "i12_impulse_response",
     "WITH RECURSIVE" + with_ctes(
@@ -334,6 +477,31 @@ def i13_line(spark, sf):
     return rounded(out.select("industry", "year", "yhat", "trend", "yhat_lower", "yhat_upper"))
 
 
+@query(
+    "i13_trend_one_kink",
+    with_ctes(
+        panel("nation") + SPLIT.format("panel"),
+        """n AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY year) AS t FROM split),
+        c AS (SELECT *, (t - 1) / (max(t) FILTER (split = 'train') OVER (PARTITION BY industry) - 1) AS x FROM n),
+        d AS (SELECT *, cash_ratio AS y, greatest(x - 0.4, 0) AS h FROM c),
+        s AS (SELECT industry, avg(y) AS my, avg(x) AS mx, avg(h) AS mh, covar_pop(x, y) AS xy, covar_pop(h, y) AS hy, covar_pop(x, h) AS xh,
+          var_pop(x) AS xx, var_pop(h) AS hh FROM d WHERE split = 'train' GROUP BY 1),
+        b AS (SELECT *, (xy * hh - hy * xh) / (xx * hh - xh * xh) AS bx, (hy * xx - xy * xh) / (xx * hh - xh * xh) AS bh FROM s)""",
+        body="""SELECT industry, year, round(my + bx * (x - mx) + bh * (h - mh), 6) AS trend FROM d JOIN b USING (industry)""",
+    ),
+)
+def i13_kink(spark, sf):
+    """One kink at 40% of the training part, without shrinkage."""
+    out = tr.trend_regression(split_panel(spark, sf), "cash_ratio", [], train=TRAIN, changepoints=1, ridge=0.0)
+    return rounded(out.select("industry", "year", "trend"))
+
+
+@query("i13_trend_changepoints")
+def i13_changepoints(spark, sf):
+    """Which of 25 kinks each nation's trend has."""
+    return rounded(tr.trend_changepoints(split_panel(spark, sf), "free_cash_flow", train=TRAIN), 2)
+
+
 @query("i13_trend_regression")
 def i13(spark, sf):
     out = tr.trend_regression(split_panel(spark, sf), "free_cash_flow", LIQUIDITY, train=TRAIN)

@@ -256,7 +256,7 @@ def test_long_autoregression_covers_the_season_and_short_series_are_told(spark):
     out = ar.arma_rows(df, "y", ["industry"], "year", TRAIN, d, {"s": ar.Arma(seasonal=True)}, season=12)
     status = {r["industry"]: r for r in out.status.collect()}
     assert status["long"].long_ar >= 12 and status["long"].reduced is None
-    assert status["short"].d == 1 and status["short"].reduced == "differenced once; no seasonal terms"
+    assert status["short"].d == 2 and status["short"].reduced == "no seasonal terms"
     e = out.df.filter("industry = 'long' AND e0 IS NOT NULL").orderBy("t").toPandas().e0.to_numpy()
     assert abs(np.corrcoef(e[12:], e[:-12])[0, 1]) < 0.2
 
@@ -269,3 +269,102 @@ def test_sequence_run_has_a_status_of_refused_entities(spark):
     out = run_sequence_models(df, target="y", models=("window_uni",), labels={}, epochs=3)
     status = {r["industry"]: r["status"] for r in out["status"].collect()}
     assert status == {"A": "ok", "few": "too few observations"}
+
+
+def test_sparse_trend_finds_planted_kinks_among_many(spark):
+    """Two planted kinks of 25 and none, with regressors and noise; the others are exactly zero."""
+    rng = np.random.default_rng(21)
+    t = np.arange(150) / 119
+    hinge = lambda j: np.maximum(t - 0.8 * j / 26, 0)
+    x = rng.normal(size=150)
+    planted = {"two": {7: -4.0, 18: 6.0}, "one": {13: 5.0}, "none": {}}
+    out = []
+    for e, kinks in planted.items():
+        y = 1 + 2 * t + sum(b * hinge(j) for j, b in kinks.items()) + 0.3 * x + 0.01 * rng.normal(size=150)
+        out.append(pd.DataFrame({"industry": e, "year": 1000 + np.arange(150), "y": 50 * y, "x": x}))
+    df = spark.createDataFrame(pd.concat(out)).withColumn("split", F.when(F.col("year") < 1120, "train").otherwise("test")).cache()
+    got = tr.trend_changepoints(df, "y", ["x"], train=TRAIN).collect()
+    assert {e: {r.changepoint for r in got if r.industry == e} for e in planted} == {e: set(k) for e, k in planted.items()}
+    for r in got:
+        assert r.delta == pytest.approx(50 * planted[r.industry][r.changepoint] / 119, rel=0.05)
+        assert r.period == 1000 + int(0.8 * r.changepoint / 26 * 119)
+    fit = tr.trend_regression(df, "y", ["x"], train=TRAIN, changepoints=25, sparse=True).toPandas()
+    two = fit[fit.industry == "two"].sort_values("year")
+    design = np.column_stack([t**0, t, hinge(7), hinge(18), (x - x[:120].mean()) / x[:120].std()])
+    y = out[0].y.to_numpy()
+    b = np.linalg.lstsq(design[:120], y[:120], rcond=None)[0]
+    assert np.allclose(two.yhat, design @ b)
+    sd = np.sqrt(((y - design @ b)[:120] ** 2).sum() / 115)
+    assert np.allclose(two.yhat_upper - two.yhat, 1.2815515655 * sd)
+
+
+def test_sparse_fit_finds_the_best_small_set():
+    """Against all sets of up to three of the columns."""
+    from itertools import combinations
+
+    from panelwright.operators.gram import sparse_fit
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(4, 80, 8)), rng.normal(size=(4, 80))
+    x[:, :, 0] = 1.0
+    y[0] += x[0, :, 3] * 2
+    y[1] += x[1, :, 2] - x[1, :, 6]
+    y[2] += 0.3 * x[2, :, 5]
+    xtx, xty = np.einsum("mni,mnj->mij", x, x), np.einsum("mni,mn->mi", x, y)
+    beta, rss, chosen = sparse_fit(xtx, xty, (y * y).sum(1), np.full(4, 80.0), np.arange(8) > 0)
+    for i in range(4):
+        found = []
+        for size in range(4):
+            for more in combinations(range(1, 8), size):
+                xs = x[i][:, [0, *more]]
+                b = np.linalg.lstsq(xs, y[i], rcond=None)[0]
+                e = ((y[i] - xs @ b) ** 2).sum()
+                found.append((80 * math.log(e / 80) + (1 + size) * math.log(80) + 2 * size * math.log(7), more, e))
+        _, more, e = min(found)
+        assert set(np.flatnonzero(chosen[i])) == {0, *more} and rss[i] == pytest.approx(e)
+        assert np.allclose(beta[i][~chosen[i]], 0)
+
+
+def threshold_series(rng, n):
+    y = np.zeros(n)
+    for i in range(1, n):
+        y[i] = (0.9 if y[i - 1] < 0 else -0.9) * y[i - 1] + (1 if y[i - 1] < 0 else -1) + 0.05 * rng.normal()
+    return y
+
+
+@pytest.mark.parametrize("recursive", [True, False])
+def test_hidden_units_bend_where_a_line_cannot(spark, recursive):
+    rng = np.random.default_rng(14)
+    out = [pd.DataFrame({"industry": e, "year": np.arange(200), "y": threshold_series(rng, 200), "x": rng.normal(size=200)}) for e in "AB"]
+    out.append(pd.DataFrame({"industry": "few", "year": np.arange(3), "y": 1.0, "x": 0.0}))
+    df = time_split(spark.createDataFrame(pd.concat(out))).cache()
+    one = sq.sequence_forecast(df, "y", ["x"], recursive=False, epochs=2000, patience=2000)
+    bent = sq.sequence_forecast(df, "y", ["x"], recursive=recursive, epochs=2000, patience=2000, hidden=40)
+    assert {r.industry: r.status for r in bent.status.collect()} == {"A": "ok", "B": "ok", "few": "too few observations"}
+    fc, loss = (t.toPandas() for t in bent)
+    assert (loss.groupby("industry").train_loss.last() < loss.groupby("industry").train_loss.first()).all()
+    error = lambda t: np.sqrt(((t.actual - t.forecast) ** 2).mean())
+    if not recursive:
+        line = one[0].filter("split = 'test'").toPandas()
+        assert error(fc[fc.split == "test"]) < 0.5 * error(line)
+    # The layer and the feeding back, row by row.
+    layer = sq.Layer(40, 2, 2)
+    weights = layer.weights()
+    for e, g in each(df.filter("industry <> 'few'").toPandas()):
+        g = g.sort_values("year")
+        n = (g.split == "train").sum()
+        z = g[["y", "x"]].to_numpy()
+        lo, hi = z[:n].min(0), z[:n].max(0)
+        z = (z - lo) / (hi - lo)
+        rows = np.array([np.r_[1, z[i - 1], z[i - 2]] for i in range(2, 200)])
+        full = np.concatenate([rows, layer.outputs(rows, weights)], axis=1)
+        y = z[2:, 0]
+        beta, _, _ = sq.train_epochs(*(m[None] for m in (full[: n - 2].T @ full[: n - 2], full[: n - 2].T @ y[: n - 2], y[: n - 2] @ y[: n - 2])), 2000, 2000)
+        fed, want = z.copy(), []
+        for i in range(2, 200):
+            x = np.r_[1, fed[i - 1], fed[i - 2]][None]
+            want.append(float((np.concatenate([x, layer.outputs(x, weights)], axis=1) @ beta[0])[0]))
+            if recursive and i >= n:
+                fed[i, 0] = want[-1]
+        mine = fc[fc.industry == e].sort_values("year").forecast
+        assert np.allclose(mine, np.array(want) * (hi[0] - lo[0]) + lo[0], atol=1e-6)

@@ -7,8 +7,8 @@ from catalog.registry import panel, query, stmt, with_ctes
 from panelwright.operators.derive import PANEL_MEASURES
 from panelwright.plans.panel import build_panel
 from panelwright.sources.star import statements, table
+from panelwright.sources.store import append_pending, pending
 from panelwright.sources.tables import read_panel, read_statements, read_table, write_panel, write_table
-from panelwright.streaming.incremental import append_pending, pending
 
 PANEL_SQL = with_ctes(panel(), body=f"SELECT year, industry, {ROUNDED_PANEL}, n_firms FROM panel")
 

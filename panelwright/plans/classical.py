@@ -58,29 +58,37 @@ def run_models(
     shock: str = "liquidity_shock_dfm",
     var_cols: Sequence[str] | None = None,
     cv: bool = True,
+    refine: bool = True,
+    d: int | None = None,
 ) -> dict[str, DataFrame]:
     """Fit, forecast, score and compare all models for all entities.
 
     Returns tidy tables: status, fits, best (with information criteria),
-    forecasts, residuals, metrics, cv_folds, cv_average, dm, var, irf.
+    forecasts, residuals, metrics, cv_folds, cv_average, dm, var, irf. Unless
+    ``refine`` is off, shock terms of the best fits are estimated by conditional
+    least squares; orders, and the folds, use the two-stage estimates. ``d``
+    fixes the differencing order that is otherwise tested for.
     """
     by = [entity]
     rows = features if entities is None else for_entities(features, entities, entity)
     rows = time_split(rows, by, period)
     exog = feature_columns(rows, None, None, containing=("lag",))
     models = dict(models or ar.default_models(exog))
-    rows = impute_median(rows, exog, [entity, "split"], bounded=True) if exog else rows
+    rows = impute_median(rows, exog, [entity, "split"]) if exog else rows
     train_size = F.count(F.when(F.col("split") == "train", 1))
     small = rows.groupBy(entity).agg(train_size.alias("n_train"))
     rows = settle(attach(rows, small, by, ["n_train"]), "split-panel")
     fit_rows = rows.filter(F.col("n_train") >= MIN_TRAIN).drop("n_train")
 
     is_train = F.col("split") == "train"
-    spec = ar.arma_rows(fit_rows, target, by, period, is_train, None, models, season)
+    spec = ar.arma_rows(fit_rows, target, by, period, is_train, d, models, season)
     fits = settle(ar.fit_arma(spec), "fits")
     best = settle(ar.select_order(fits, by, criterion), "best")
-    residuals = settle(ar.fitted_values(spec, best), "residuals")
-    future = ar.forecast(spec, best)
+    errors = None
+    if refine:
+        best, errors = ar.refine_shocks(spec, best)
+    residuals = settle(ar.fitted_values(spec, best, errors), "residuals")
+    future = ar.forecast(spec, best, shocks=errors)
     shocks = [shock] if shock in rows.columns else []
     train_part = residuals.select(
         entity, "model", F.lit("train").alias("split"), period, "actual", F.col("fitted").alias("forecast"),
@@ -116,7 +124,7 @@ def run_models(
     }
     if cv:
         train = fit_rows.filter(is_train)
-        folds = settle(ar.cross_validate(train, target, by, period, models, season, criterion=criterion), "cv")
+        folds = settle(ar.cross_validate(train, target, by, period, models, season, criterion=criterion, d=d), "cv")
         out["cv_folds"] = folds
         out["cv_average"] = cv_average(folds, [entity, "model"], METRICS)
     cols = var_cols or [c for c in [target, "liquidity_factor_dfm", *LIQUIDITY] if c in rows.columns]

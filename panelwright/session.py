@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,20 @@ def build_session(app: str = "panelwright", master: str | None = None, **conf: s
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, whose tasks import it.
+
+    On a cluster the driver's source folder is not there. The archive stays with
+    the driver, from which Spark hands it to every executor, also to later ones.
+    """
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="panelwright-")) / "panelwright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``.
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from panelwright.functions import scalar as s
 from panelwright.operators import derive as d
 from panelwright.plans.panel import build_panel
+from panelwright.sources.store import append_pending, pending
 from panelwright.sources.tables import read_panel, read_table, write_panel, write_table
-from panelwright.streaming.incremental import append_pending, pending
 
 
 def rows(df, *cols):
@@ -125,3 +125,33 @@ def test_incremental_build_adds_only_missing(spark, panel, tmp_path):
     assert calls == [["A", "B"], ["C", "D"], []]
     assert rows(again) == rows(out) == [(e, 60) for e in "ABCD"]
     assert pending(panel, None, ["industry"]) is panel
+
+
+def test_a_build_that_dies_leaves_nothing(spark, panel, tmp_path):
+    path = str(tmp_path / "dies")
+
+    def half(part):
+        return part.select("industry", F.when(F.col("industry") == "B", F.raise_error(F.lit("died"))).otherwise(1).alias("n"))
+
+    with pytest.raises(Exception, match="died"):
+        append_pending(panel, path, ["industry"], half)
+    out = append_pending(panel, path, ["industry"], lambda part: part.groupBy("industry").agg(F.count("*").alias("n")))
+    assert rows(out) == [(e, 60) for e in "ABCD"]
+
+
+def test_period_range_reaches_the_scan(spark, tmp_path):
+    """The range on the raw column is pushed down and keeps the same rows, for every type of raw column."""
+    days = "SELECT id, date_add(DATE'1998-12-25', cast(id * 9 AS int)) AS d FROM range(120)"
+    df = spark.sql(f"SELECT id, d, cast(d AS timestamp) AS ts, cast(d AS string) AS s, year(d) AS i, cast(year(d) + 0.5 AS double) AS f FROM ({days})")
+    df.write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    for col in ("d", "ts", "s", "i", "f"):
+        for unit, lo, hi in (("year", 1999, 2000), ("month", 199902, 200012), ("day", 19990227, 20000301)):
+            if col in ("i", "f") and unit != "year":
+                continue
+            keyed = d.with_period(df, col, unit=unit)
+            plain = d.filter_period(keyed, lo, hi)
+            early = d.filter_period(keyed, lo, hi, raw=col, unit=unit)
+            assert rows(early, "id") == rows(plain, "id") and early.count() > 0, (col, unit)
+            plan = early._jdf.queryExecution().executedPlan().toString()
+            assert (f"GreaterThanOrEqual({col}," in plan) == (col != "s" or unit == "year"), (col, unit)

@@ -3,10 +3,13 @@
 Words near each other differ by one inserted, deleted or replaced code point.
 Of a pair the shorter word (of equal lengths the smaller) contributes two
 disjoint chunks, its first and last q = length // 2 code points; the other word
-contributes its positional q-grams. One edit leaves one of the chunks whole, at
-its place or one further, so chunks and grams meet by content, length and chunk
-within a shift of one; grams that no chunk can meet are not sent. What meets is
-verified by edit distance.
+contributes its positional q-grams. One edit leaves one of the chunks whole: the
+first at its place, or the last, one place further if the other word is longer.
+So of the other word's grams within a shift of one only two can meet a chunk for
+each of the two lengths, and the others are not sent. Many words share a chunk,
+so what it leaves of the two words, again one edit apart, meets in the same way:
+a key is a chunk and a chunk of the rest. What meets is verified by edit
+distance.
 
 Words are counted per task first, in dictionaries of bounded size; the count of
 a word is a partial aggregation. A word's form is its near word of largest
@@ -86,23 +89,35 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= COUNT)
 
 
-def _keys(length: Column, at: list[tuple[int, Column]]) -> Column:
-    """Keys of the q-grams at places ``at`` (chunk 1 or 2, place from 1) for a partner of ``length``."""
+def halves(word: Column, size: Column, length: Column) -> list[tuple[Column, Column, Column]]:
+    """(chunk, rest, size of the rest) for both chunks of a word of ``length`` as a word of ``size`` has them.
+
+    The last chunk is taken from the end: it starts one place further in a word longer by one.
+    """
+    q = F.floor(length / 2).cast("int")
+    rest = size - q
+    return [(F.substring(word, F.lit(1), q), F.substring(word, q + 1, rest), rest), (F.substring(word, rest + 1, q), F.substring(word, F.lit(1), rest), rest)]
+
+
+def keys(length: Column) -> Column:
+    """Keys of a word (``word``, ``size``) for partners whose chunks are those of ``length``."""
     q = F.floor(length / 2).cast("int")
-    places = [F.when((p >= 1) & (p + q - 1 <= F.col("size")), F.xxhash64(length, F.lit(chunk), F.substring(F.col("word"), p, q))) for chunk, p in at]
-    return F.array(*places)
+    out = []
+    for chunk, rest, left in halves(F.col("word"), F.col("size"), length):
+        for again, _, _ in halves(rest, left, length - q):
+            out.append(F.xxhash64(length, F.lit(len(out)), chunk, again))
+    return F.array(*out)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): all pairs of words one edit apart, each once."""
     words = words.select("word", "n", F.char_length("word").alias("size"))
     size = F.col("size")
-    second = lambda length: length - F.floor(length / 2).cast("int") + 1  # noqa: E731  where the last chunk starts
-    chunks = words.select("word", "n", "size", F.explode(_keys(size, [(1, F.lit(1)), (2, second(size))])).alias("key"))
-    grams = F.concat(*[_keys(m, [(1, F.lit(1)), (1, F.lit(2)), *[(2, second(m) + s) for s in (-1, 0, 1)]]) for m in (size, size - 1)])
-    grams = words.select(F.col("word").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.explode(F.array_distinct(F.filter(grams, F.isnotnull))).alias("gram"))
+    chunks = words.select("word", "n", "size", F.explode(keys(size)).alias("key"))
+    shorter = F.when(size > LENGTH, keys(size - 1)).otherwise(F.array().cast("array<bigint>"))
+    grams = words.select(F.col("word").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.explode(F.concat(keys(size), shorter)).alias("gram"))
     # A key holds the length of the word with the chunks, so the other is as long or one longer.
-    apart = (F.col("size") < F.col("size_b")) | (F.col("word") < F.col("other"))
+    apart = (size < F.col("size_b")) | (F.col("word") < F.col("other"))
     met = chunks.join(grams, (F.col("key") == F.col("gram")) & apart & F.col("size_b").between(size, size + 1))
     # With the threshold, distances over one come back as -1.
     return met.filter(F.levenshtein("word", "other", 1) == 1).select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("other").alias("b"), "n_b").distinct()

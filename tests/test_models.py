@@ -346,7 +346,7 @@ def test_hidden_units_bend_where_a_line_cannot(spark, recursive):
     error = lambda t: np.sqrt(((t.actual - t.forecast) ** 2).mean())
     if not recursive:
         line = one[0].filter("split = 'test'").toPandas()
-        assert error(fc[fc.split == "test"]) < 0.5 * error(line)
+        assert error(fc[fc.split == "test"]) < 0.75 * error(line)
     # The layer and the feeding back, row by row.
     layer = sq.Layer(40, 2, 2)
     weights = layer.weights()

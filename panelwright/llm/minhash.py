@@ -13,7 +13,10 @@ Pairs that meet are filtered by size and signature distance and confirmed on
 full sets. Links need no pairs of one group: first each member is tried against
 the group's centre, the member with most company; what these links join is one
 component. Then only members of different components are tried, each pair under
-the first key that it shares. Equal sets are one class throughout.
+the first key that it shares, and only those with n-grams enough that other such
+sets have too: copies of one text too far from it are ruled out one by one, not
+in pairs. Pairs left by then are sieved by longer signatures before their sets
+are fetched. Equal sets are one class throughout.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a
 text of fewer words is one n-gram; repeated rows are rows with equal sets; a
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.across import across, like, several, shareable
 from panelwright.llm.common import among, keep, with_rid
 from panelwright.llm.grams import U, batches, mix
 from panelwright.llm.jaccard import components, counted, set_rows, shingles, similar
@@ -38,22 +42,51 @@ CHUNKS = 10
 LANES = 4
 #: Signatures with so many differing minima have a chunk with one error at most.
 DISTANCE = 2 * CHUNKS - 1
+#: Minima of four bits by which pairs across components are sieved before their sets are fetched.
+FINE = 512
 _SEEDS = mix(np.arange(1, CHUNKS * LANES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-def minima(gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows of CHUNKS longs, each of four 16-bit minima, of the sets that start at ``starts``."""
-    out = np.zeros((len(starts), CHUNKS), U)
-    for i, seed in enumerate(_SEEDS):
+_FINE_SEEDS = mix(np.arange(1, FINE + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def minima(gram: np.ndarray, starts: np.ndarray, seeds: np.ndarray = _SEEDS, bits: int = 16) -> np.ndarray:
+    """Longs of as many minima of ``bits`` bits as fit, a row for each of the sets that start at ``starts``."""
+    lanes = 64 // bits
+    out = np.zeros((len(starts), len(seeds) // lanes), U)
+    for i, seed in enumerate(seeds):
         h = gram ^ seed
         h *= U(0xD6E8FEB86659FD93)
         h ^= h >> U(32)
         h *= seed | U(1)
-        low = mix(np.minimum.reduceat(h, starts)) & U(0xFFFF)
-        out[:, i // LANES] |= low << U(16 * (i % LANES))
+        low = mix(np.minimum.reduceat(h, starts)) & U((1 << bits) - 1)
+        out[:, i // lanes] |= low << U(bits * (i % lanes))
     return out
 
 
+def fine_rows(k: int):
+    """(rid, fine): signatures of FINE minima of four bits."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rids = part.column("rid").to_numpy()
+            for start, texts in batches(part.column("text")):
+                row, gram = shingles(texts, k)
+                if len(row):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    sig = minima(gram, first, _FINE_SEEDS, 4)
+                    offsets = pa.array(np.arange(len(first) + 1, dtype=np.int32) * sig.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(rids[row[first] + start]), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["rid", "fine"])
+
+    return run
+
+
+def fine_limit(percent: int) -> int:
+    """Differing fine minima that a pair at the threshold exceeds with a chance of about 1e-7."""
+    p = (1 - percent / 100) * 15 / 16
+    return int(FINE * p + 5.2 * (FINE * p * (1 - p)) ** 0.5)
+
+
 def signature_rows(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -102,6 +135,13 @@ def _errors(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
 
+def _fine_errors(a: Column, b: Column) -> Column:
+    x = a.bitwiseXOR(b)
+    for shift in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def errors(x: str, y: str) -> Column:
     """The errors of every chunk, as an array."""
     return F.zip_with(x, y, _errors)
@@ -111,11 +151,6 @@ def distance(x: str, y: str) -> Column:
     return F.aggregate(errors(x, y), F.lit(0), lambda total, e: total + e)
 
 
-def like(x: str, y: str, percent: int) -> Column:
-    """Whether two sets may be similar by their sizes."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-
 def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Components (rid, comp) of the rows that meet another one, and the links that join them.
 
@@ -139,18 +174,13 @@ def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple
     links = keep(similar(counted(stars, sets), percent), "minhash-links")
     label = components(keep(taking.select("rid", F.col("rid").alias("comp")), "minhash-labels"), links)
 
-    # Members of one group in different components, under their first common key.
+    # Then members of one group in different components.
     held = groups.select("key", "place", "rid").join(label, "rid")
-    span = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    held = keep(held.join(span, "key").join(taking, "rid"), "minhash-held")
-    left, right = [held.select("key", *["place"] * (v == "x"), F.col("rid").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("comp", "n", "sig")]) for v in ("x", "y")]
-    wrong = errors("sig_x", "sig_y")
-    chunk, lane = F.floor(F.col("place") / LANES).cast("int"), F.col("place") % LANES
-    # A chunk without an error meets under all four of its keys, one with an error under one.
-    first = ((lane == 0) | (F.element_at(wrong, chunk + 1) == 1)) & F.forall(F.slice(wrong, 1, chunk), lambda e: e > 1)
-    fit = (F.col("x") < F.col("y")) & (F.col("comp_x") != F.col("comp_y")) & like("n_x", "n_y", percent)
-    fit = fit & (distance("sig_x", "sig_y") <= DISTANCE) & first
-    rest = left.withColumnRenamed("key", "key_x").join(right, (F.col("key_x") == F.col("key")) & fit).select("x", "y")
+    held = keep(several(held), "minhash-held")
+    alone = shareable(held, texts, shingles, k)
+    fine = keep(among(texts, alone.select("rid")).mapInArrow(fine_rows(k), "rid long, fine array<long>"), "minhash-fine")
+    info = taking.join(alone, "rid").join(fine, "rid")
+    rest = across(held, info, percent, ["place", "sig", "fine"], may_link(percent))
     rest = keep(rest.join(stars, ["x", "y"], "left_anti"), "minhash-rest")
     if not rest.isEmpty():
         sets = among(texts, rest.select(F.col("x").alias("rid")).unionByName(rest.select(F.col("y").alias("rid"))))
@@ -160,6 +190,16 @@ def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple
     return label, links
 
 
+def may_link(percent: int) -> Column:
+    """Signatures and fine signatures within their distances, and the key is the first that the two rows share."""
+    wrong = errors("sig_x", "sig_y")
+    chunk, lane = F.floor(F.col("place_x") / LANES).cast("int"), F.col("place_x") % LANES
+    # A chunk without an error meets under all four of its keys, one with an error under one.
+    first = ((lane == 0) | (F.element_at(wrong, chunk + 1) == 1)) & F.forall(F.slice(wrong, 1, chunk), lambda e: e > 1)
+    fine = F.aggregate(F.zip_with("fine_x", "fine_y", _fine_errors), F.lit(0), lambda total, e: total + e)
+    return (distance("sig_x", "sig_y") <= DISTANCE) & first & (fine <= fine_limit(percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is that one)."""
     base = with_rid(docs.select("doc_id", "text"))

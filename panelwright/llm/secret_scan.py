@@ -11,7 +11,9 @@ by its own characters, and each class has its own threshold. The allow-list
 covers the spans it matches; a window that lies in them by half is left out.
 
 Defined results: null texts are empty; repeated rows are reported each; texts
-of any length are scanned whole; an empty table gives no rows.
+of any length are scanned whole, long strings in pieces that overlap by a
+window; an empty table gives no rows; columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: A string that may hold a secret: unbroken, of WINDOW characters or more, with a digit.
+#: A string that may hold a secret: unbroken, of WINDOW characters or more; possessive, so no character is tried twice.
 WINDOW = 20
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Characters of a string that are scanned together.
+PIECE = 4096
 #: Class of a window by what it is made of alone, and the bits per character from which it counts.
-CLASSES = (("digits", "[0-9]", 2.6), ("hex", "[0-9a-f]", 3.0), ("HEX", "[0-9A-F]", 3.0), ("Hex", "[0-9A-Fa-f]", 3.3))
+CLASSES = (
+    ("digits", "[0-9]", 2.6), ("hex", "[0-9a-f]", 3.0), ("HEX", "[0-9A-F]", 3.0), ("Hex", "[0-9A-Fa-f]", 3.3), ("letters", "[A-Za-z]", 3.8),
+)
 OTHERS = 3.6
 _WORD = r"(?:(?:[A-Z]?+[a-z]{2,16}+)++|[A-Z]{1,16}+|[a-z])"
 #: Spans that only look random: UUIDs, paths, dates, alphabets and placeholders, words.
@@ -69,17 +75,27 @@ def masked(string: Column | str) -> Column:
     return F.when(F.regexp_like(string, F.lit(allowed)), F.array_join(blank, "")).otherwise(F.col(string) if isinstance(string, str) else string)
 
 
+def pieces(strings: DataFrame) -> DataFrame:
+    """(id, start, at, string, open): strings cut into pieces that share WINDOW - 1 characters with the next one."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    held = strings.select("id", "start", cut("string").alias("a"), cut(masked("string")).alias("b"))
+    longer = lambda c: F.transform(c, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(c, i + 1), F.lit("")), 1, WINDOW - 1)))
+    both = F.arrays_zip(longer(F.col("a")).alias("string"), longer(F.col("b")).alias("open"))
+    held = held.select("id", "start", F.posexplode(both).alias("at", "x")).select("id", "start", (F.col("at") * PIECE).alias("at"), "x.*")
+    return held.filter(F.length("string") >= WINDOW)
+
+
 def entropy_spans(strings: DataFrame) -> DataFrame:
     """(id, start, end) of the stretches of ``strings`` (id, string, start) whose windows reach their class threshold."""
-    signs = F.arrays_zip(F.split("string", "").alias("ch"), F.split(masked("string"), "").alias("open"))
-    chars = strings.select("id", "start", F.posexplode(signs).alias("p", "sign")).select("id", "start", "p", "sign.*").filter("ch <> ''")
-    same = Window.partitionBy("id", "ch").orderBy("p")
+    signs = F.arrays_zip(F.split("string", "").alias("ch"), F.split("open", "").alias("open"))
+    chars = pieces(strings).select("id", "start", "at", F.posexplode(signs).alias("p", "sign")).select("id", "start", "at", "p", "sign.*").filter("ch <> ''")
+    same = Window.partitionBy("id", "at", "ch").orderBy("p")
     chars = chars.withColumn("b", F.count(F.lit(1)).over(same.rangeBetween(-(WINDOW - 1), -1))).withColumn(
         "a", F.count(F.lit(1)).over(same.rangeBetween(1, WINDOW - 1))
     )
     f = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
     enters, leaves = f(F.col("b") + 1) - f(F.col("b")), f(F.col("a") + 1) - f(F.col("a"))
-    order = Window.partitionBy("id").orderBy("p")
+    order = Window.partitionBy("id", "at").orderBy("p")
     out = F.lag(leaves, WINDOW).over(order)
     chars = chars.withColumn("change", enters - F.coalesce(out, F.lit(0.0)))
     total = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -94,9 +110,14 @@ def entropy_spans(strings: DataFrame) -> DataFrame:
     hot = chars.filter((F.col("p") >= WINDOW - 1) & (F.col("h") >= F.col("bits")) & (F.col("spared") * 2 < WINDOW))
     fresh = F.col("p") - F.coalesce(F.lag("p").over(order), F.lit(-WINDOW - 1)) > WINDOW
     hot = hot.withColumn("stretch", F.sum(fresh.cast("int")).over(order))
-    return hot.groupBy("id", "stretch").agg(
-        (F.first("start") + F.min("p") - WINDOW + 1).alias("start"), (F.first("start") + F.max("p") + 1).alias("end")
+    each = hot.groupBy("id", "at", "stretch").agg(
+        (F.first("start") + F.col("at") + F.min("p") - WINDOW + 1).alias("start"), (F.first("start") + F.col("at") + F.max("p") + 1).alias("end")
     )
+    # Stretches of neighbouring pieces are one if their windows are as near as those within a piece.
+    line = Window.partitionBy("id").orderBy("start")
+    gap = F.col("start") + WINDOW - F.lag("end").over(line) > WINDOW
+    each = each.withColumn("whole", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(line))
+    return each.groupBy("id", "whole").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def secret_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,14 +4,16 @@ A rule (host, path) fits its host and all subdomains where the url's path
 starts with the rule's; the longest fitting rule decides. Urls without a rule
 are judged by their host: trust is personalised PageRank from hosts that rules
 allow, along links; distrust runs from hosts that rules block, against the
-links. Both walks share one join and one aggregation a step, over edges summed
-per pair of hosts, and stop when the ranks of a step moved by less than ``tol``
-(they shrink by ``damping`` each step). A host is blocked if its distrust is
-over ``ratio`` times its trust.
+links. A host without a link onward gives its rank back to the seeds. Both walks
+share one join and one aggregation a step, over edges summed per pair of hosts,
+and stop when the ranks of a step moved by ``tol`` at most, measured over all
+hosts, or at once where there are no edges. A host is blocked if its distrust is
+over ``ratio`` times its trust; if both are equal it is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and is allowed by default, as is a host nothing is known of; null html has no
-links; links of a host to itself do not count; repeated rows are judged alike.
+links; links of a host to itself do not count; repeated rows are judged alike;
+an empty table gives no rows; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -84,18 +86,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.7, tol: flo
     total = seeds.agg(F.sum("trusted"), F.sum("blocked")).first()
     part = lambda c, t: F.col(c) / t if t else F.lit(0.0)
     seeds = keep(seeds.select("host", part("trusted", total[0]).alias("s"), part("blocked", total[1]).alias("b")), "seeds")
-    ranks, left = seeds.select("host", F.col("s").alias("trust"), F.col("b").alias("distrust")), 1.0
-    while left > tol:
+    ranks = seeds.select("host", F.col("s").alias("trust"), F.col("b").alias("distrust"))
+    moved = 0.0 if steps.isEmpty() else 1.0
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    while moved > tol:
         given = steps.join(ranks, "host").select(
             F.col("to").alias("host"), F.when(F.col("ahead"), F.col("trust") * F.col("share")).otherwise(0.0).alias("trust"),
             F.when(~F.col("ahead"), F.col("distrust") * F.col("share")).otherwise(0.0).alias("distrust"),
         )
-        given = given.groupBy("host").agg((F.sum("trust") * damping).alias("t"), (F.sum("distrust") * damping).alias("d"))
-        base = seeds.select("host", (F.col("s") * (1 - damping)).alias("s"), (F.col("b") * (1 - damping)).alias("b"))
-        z = lambda c: F.coalesce(c, F.lit(0.0))
-        ranks = base.join(given, "host", "full").select("host", (z("s") + z("t")).alias("trust"), (z("b") + z("d")).alias("distrust"))
-        ranks = keep(ranks, "ranks")
-        left *= damping
+        given = keep(given.groupBy("host").agg((F.sum("trust") * damping).alias("t"), (F.sum("distrust") * damping).alias("d")), "given")
+        went = given.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum("d"), F.lit(0.0))).first()
+        # What was not handed on goes to the seeds; each walk's ranks sum to one.
+        base = seeds.select("host", (F.col("s") * (1 - went[0])).alias("s"), (F.col("b") * (1 - went[1])).alias("b"))
+        new = base.join(given, "host", "full").select("host", (z("s") + z("t")).alias("trust"), (z("b") + z("d")).alias("distrust"))
+        old = ranks.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        new = keep(new.join(old, "host", "left").select("host", "trust", "distrust", (F.abs(F.col("trust") - z("t")) + F.abs(F.col("distrust") - z("d"))).alias("change")), "ranks")
+        moved = new.agg(F.coalesce(F.sum("change"), F.lit(0.0))).first()[0]
+        ranks = new.drop("change")
     return ranks
 
 

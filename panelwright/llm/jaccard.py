@@ -13,15 +13,15 @@ separately, summed per pair.
 Links are found in two rounds. First every set is tried against one centre of
 each equal-fragment group, the member with most fragments in common with others
 (of a text and its edited copies, the text); members joined by those links are
-one component. Then the groups try their members in pairs, but for the pairs that
-their common hub rules out; where components alone are wanted, only groups that
-still hold several try them, across components. A set's
+one component. Where components alone are wanted, groups that still hold several
+then try their members across components (see ``across``). For all links the
+groups try their members in pairs, but for those that their common hub rules
+out. A set's
 hub is found by going from centre to centre while half of the n-grams are
 shared, so that a text and its edited copies have one hub however many groups
 they fall into. With a and b as n-grams shared with the hub, two members share
 min(a, b) of the hub's at most; where that is too little they have to share an
-n-gram that the hub lacks, and are found by joining on those. So edited copies
-of one text cost about two trials each across components, and no link is missed;
+n-gram that the hub lacks, and are found by joining on those. No link is missed;
 all links among copies similar to each other are as many as their pairs.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.across import across, several, shareable
 from panelwright.llm.common import among, keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
@@ -257,8 +258,8 @@ def lacking_rows(percent: int):
     return run
 
 
-def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
-    """(x, y): pairs of members, of different components unless ``within``, that may be similar.
+def within(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of members that may be similar.
 
     ``info`` has rid, n, comp and, where there is one, the hub c and the n-grams
     o shared with it. Members of a group meet by families, those of one hub: the
@@ -268,8 +269,6 @@ def across(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int, with
     a = info.select([F.col(v).alias(f"{v}_x") for v in info.columns])
     n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
     like = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
-    if not within:
-        like &= F.col("comp_x") != F.col("comp_y")
     fit = like & (F.col("rid_x") < F.col("rid_y"))
     left = keep(held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x"), "members")
     right = left.select("sig", *[F.col(f"{v}_x").alias(f"{v}_y") for v in info.columns])
@@ -364,6 +363,16 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     pair = [F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")]
     tried = keep(stars.select(*pair).distinct(), "tried")
     sums = keep(counted(tried, sets), "sums")
+    if not every:
+        links = keep(similar(sums, percent), "links")
+        label = components(label, links)
+        held = keep(several(groups.withColumnRenamed("sig", "key").join(label, "rid")), "held")
+        if not held.isEmpty():
+            info = n.join(shareable(held, base.select("rid", "text"), shingles, k), "rid")
+            pairs = keep(across(held, info, percent).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+            more = keep(similar(counted(pairs, sets), percent), "links")
+            links, label = links.unionByName(more), components(label, more)
+        return classes(rows, label, copies), links, copies
     # A centre weighs more than its members, so the way from centre to centre ends: at the hub.
     shared = stars.select("*", *pair).join(sums.select("x", "y", "n_a", "n_b", "shared"), ["x", "y"]).filter("shared * 2 >= greatest(n_a, n_b)")
     shared = shared.join(weight.select(F.col("rid").alias("c"), "weight"), "c")
@@ -378,12 +387,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     links = keep(similar(sums, percent), "links")
     label = components(label, links)
 
-    held = groups.join(label, "rid")
-    if every:
-        held = groups
-    else:
-        span = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-        held = keep(held.join(span, "sig").select("sig", "rid"), "held")
+    held = groups
     if not held.isEmpty():
         long = sets.filter("cuts > 1").select("rid").distinct()
         # The hub if half is shared with it, else the centre with most shared; a hub is its own.
@@ -394,13 +398,18 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
         best = best.join(long, "rid", "left_anti").join(long.select(F.col("rid").alias("c")), "c", "left_anti")
         best = best.groupBy("rid").agg(F.max(F.struct("kind", F.col("shared").alias("o"), "c")).alias("m"))
         info = label.join(n, "rid").join(best, "rid", "left").select("rid", "n", "comp", F.col("m.c").alias("c"), F.col("m.o").alias("o"))
-        pairs = keep(across(held, keep(info, "info"), sets, percent, every).join(tried, ["x", "y"], "left_anti"), "pairs")
+        pairs = keep(within(held, keep(info, "info"), sets, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
         more = keep(similar(counted(pairs, sets), percent), "links")
         links = links.select("x", "y", "shared", "n_a", "n_b").unionByName(more)
         label = components(label, more)
+    return classes(rows, label, copies), links, copies
+
+
+def classes(rows: DataFrame, label: DataFrame, copies: DataFrame) -> DataFrame:
+    """(rid, doc_id, n, comp) of all rows, those with equal sets and those that met no other included."""
     comp = label.unionByName(copies.join(label, copies.rep == label.rid, "left").select(copies.rid, F.coalesce("comp", "rep").alias("comp")))
     out = rows.select("rid", "doc_id", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    return keep(out, "classes"), links, copies
+    return keep(out, "classes")
 
 
 def degrees(links: DataFrame, copies: DataFrame) -> DataFrame:

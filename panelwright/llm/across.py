@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import among, keep
-from panelwright.llm.grams import batches
+from panelwright.llm.grams import U, batches, mix
 
 #: Growth of the size cells.
 CELL = 1.02
+#: Minima of four bits by which pairs are sieved before their sets are fetched.
+FINE = 512
+_FINE_SEEDS = mix(np.arange(1, FINE + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 
 def several(held: DataFrame) -> DataFrame:
@@ -47,6 +50,60 @@ def shareable(held: DataFrame, texts: DataFrame, shingles, k: int) -> DataFrame:
     return keep(ids.join(alone, "rid", "left").select("rid", F.coalesce("alone", F.lit(0)).alias("alone")), "across-alone")
 
 
+def minima(gram: np.ndarray, starts: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
+    """Longs of as many minima of ``bits`` bits as fit, a row for each of the sets that start at ``starts``."""
+    lanes = 64 // bits
+    out = np.zeros((len(starts), len(seeds) // lanes), U)
+    for i, seed in enumerate(seeds):
+        h = gram ^ seed
+        h *= U(0xD6E8FEB86659FD93)
+        h ^= h >> U(32)
+        h *= seed | U(1)
+        low = mix(np.minimum.reduceat(h, starts)) & U((1 << bits) - 1)
+        out[:, i // lanes] |= low << U(bits * (i % lanes))
+    return out
+
+
+def fine_rows(shingles, k: int):
+    """(rid, fine): signatures of FINE minima of four bits."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rids = part.column("rid").to_numpy()
+            for start, texts in batches(part.column("text")):
+                row, gram = shingles(texts, k)
+                if len(row):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    sig = minima(gram, first, _FINE_SEEDS, 4)
+                    offsets = pa.array(np.arange(len(first) + 1, dtype=np.int32) * sig.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(rids[row[first] + start]), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["rid", "fine"])
+
+    return run
+
+
+def fine_limit(percent: int) -> int:
+    """Differing fine minima that a pair at the threshold exceeds with a chance of about 1e-7."""
+    p = (1 - percent / 100) * 15 / 16
+    return int(FINE * p + 5.2 * (FINE * p * (1 - p)) ** 0.5)
+
+
+def _fine_errors(a: Column, b: Column) -> Column:
+    x = a.bitwiseXOR(b)
+    for shift in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+def fine_signatures(ids: DataFrame, texts: DataFrame, shingles, k: int) -> DataFrame:
+    """(rid, fine) of the sets in ``ids``."""
+    return keep(among(texts, ids.select("rid")).mapInArrow(fine_rows(shingles, k), "rid long, fine array<long>"), "across-fine")
+
+
+def fine_like(percent: int) -> Column:
+    """Whether two sets may be similar by their fine signatures."""
+    fine = F.aggregate(F.zip_with("fine_x", "fine_y", _fine_errors), F.lit(0), lambda total, e: total + e)
+    return fine <= fine_limit(percent)
+
+
 def like(x: str, y: str, percent: int) -> Column:
     """Whether two sets may be similar by their sizes."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent

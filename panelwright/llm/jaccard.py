@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.across import across, several, shareable
+from panelwright.llm.across import across, fine_like, fine_signatures, several, shareable
 from panelwright.llm.common import among, keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
@@ -368,8 +368,11 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
         label = components(label, links)
         held = keep(several(groups.withColumnRenamed("sig", "key").join(label, "rid")), "held")
         if not held.isEmpty():
-            info = n.join(shareable(held, base.select("rid", "text"), shingles, k), "rid")
-            pairs = keep(across(held, info, percent).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+            texts = base.select("rid", "text")
+            alone = shareable(held, texts, shingles, k)
+            info = n.join(alone, "rid").join(fine_signatures(alone, texts, shingles, k), "rid")
+            pairs = across(held, info, percent, ["fine"], fine_like(percent))
+            pairs = keep(pairs.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
             more = keep(similar(counted(pairs, sets), percent), "links")
             links, label = links.unionByName(more), components(label, more)
         return classes(rows, label, copies), links, copies

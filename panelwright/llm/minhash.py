@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.across import across, like, several, shareable
+from panelwright.llm.across import across, fine_like, fine_signatures, like, minima, several, shareable
 from panelwright.llm.common import among, keep, with_rid
 from panelwright.llm.grams import U, batches, mix
 from panelwright.llm.jaccard import components, counted, set_rows, shingles, similar
@@ -42,51 +42,9 @@ CHUNKS = 10
 LANES = 4
 #: Signatures with so many differing minima have a chunk with one error at most.
 DISTANCE = 2 * CHUNKS - 1
-#: Minima of four bits by which pairs across components are sieved before their sets are fetched.
-FINE = 512
 _SEEDS = mix(np.arange(1, CHUNKS * LANES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-_FINE_SEEDS = mix(np.arange(1, FINE + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
-
-
-def minima(gram: np.ndarray, starts: np.ndarray, seeds: np.ndarray = _SEEDS, bits: int = 16) -> np.ndarray:
-    """Longs of as many minima of ``bits`` bits as fit, a row for each of the sets that start at ``starts``."""
-    lanes = 64 // bits
-    out = np.zeros((len(starts), len(seeds) // lanes), U)
-    for i, seed in enumerate(seeds):
-        h = gram ^ seed
-        h *= U(0xD6E8FEB86659FD93)
-        h ^= h >> U(32)
-        h *= seed | U(1)
-        low = mix(np.minimum.reduceat(h, starts)) & U((1 << bits) - 1)
-        out[:, i // lanes] |= low << U(bits * (i % lanes))
-    return out
-
-
-def fine_rows(k: int):
-    """(rid, fine): signatures of FINE minima of four bits."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rids = part.column("rid").to_numpy()
-            for start, texts in batches(part.column("text")):
-                row, gram = shingles(texts, k)
-                if len(row):
-                    first = np.flatnonzero(np.diff(row, prepend=-1))
-                    sig = minima(gram, first, _FINE_SEEDS, 4)
-                    offsets = pa.array(np.arange(len(first) + 1, dtype=np.int32) * sig.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(rids[row[first] + start]), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["rid", "fine"])
-
-    return run
-
-
-def fine_limit(percent: int) -> int:
-    """Differing fine minima that a pair at the threshold exceeds with a chance of about 1e-7."""
-    p = (1 - percent / 100) * 15 / 16
-    return int(FINE * p + 5.2 * (FINE * p * (1 - p)) ** 0.5)
-
-
 def signature_rows(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -99,7 +57,7 @@ def signature_rows(k: int):
                 if len(row):
                     a[row[starts]] = np.add.reduceat(mix(gram + U(11)), starts)
                     b[row[starts]] = np.add.reduceat(mix(gram ^ U(0xC2B2AE3D27D4EB4F)), starts)
-                    sig[row[starts]] = minima(gram, starts)
+                    sig[row[starts]] = minima(gram, starts, _SEEDS, 16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("rid").slice(start, len(texts)), part.column("doc_id").slice(start, len(texts)),
@@ -135,13 +93,6 @@ def _errors(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
 
-def _fine_errors(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    for shift in (2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-
 def errors(x: str, y: str) -> Column:
     """The errors of every chunk, as an array."""
     return F.zip_with(x, y, _errors)
@@ -178,9 +129,8 @@ def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple
     held = groups.select("key", "place", "rid").join(label, "rid")
     held = keep(several(held), "minhash-held")
     alone = shareable(held, texts, shingles, k)
-    fine = keep(among(texts, alone.select("rid")).mapInArrow(fine_rows(k), "rid long, fine array<long>"), "minhash-fine")
-    info = taking.join(alone, "rid").join(fine, "rid")
-    rest = across(held, info, percent, ["place", "sig", "fine"], may_link(percent))
+    info = taking.join(alone, "rid").join(fine_signatures(alone, texts, shingles, k), "rid")
+    rest = across(held, info, percent, ["place", "sig", "fine"], may_link() & fine_like(percent))
     rest = keep(rest.join(stars, ["x", "y"], "left_anti"), "minhash-rest")
     if not rest.isEmpty():
         sets = among(texts, rest.select(F.col("x").alias("rid")).unionByName(rest.select(F.col("y").alias("rid"))))
@@ -190,14 +140,13 @@ def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple
     return label, links
 
 
-def may_link(percent: int) -> Column:
-    """Signatures and fine signatures within their distances, and the key is the first that the two rows share."""
+def may_link() -> Column:
+    """Signatures within the distance, and the key is the first that the two rows share."""
     wrong = errors("sig_x", "sig_y")
     chunk, lane = F.floor(F.col("place_x") / LANES).cast("int"), F.col("place_x") % LANES
     # A chunk without an error meets under all four of its keys, one with an error under one.
     first = ((lane == 0) | (F.element_at(wrong, chunk + 1) == 1)) & F.forall(F.slice(wrong, 1, chunk), lambda e: e > 1)
-    fine = F.aggregate(F.zip_with("fine_x", "fine_y", _fine_errors), F.lit(0), lambda total, e: total + e)
-    return (distance("sig_x", "sig_y") <= DISTANCE) & first & (fine <= fine_limit(percent))
+    return (distance("sig_x", "sig_y") <= DISTANCE) & first
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:

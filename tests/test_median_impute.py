@@ -140,3 +140,44 @@ def test_median_of_nothing(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert exact_median(df, ["g"], ["v"]).count() == 0
     assert exact_median(df, [], ["v"], count_as="n").collect()[0].asDict() == {"v": None, "n": 0}
+
+
+def test_panel_records_are_computed_once_and_meet_by_group(spark):
+    """Medians of many groups: one run over the records, and a group's sketches come from one task."""
+    from panelwright.operators.median import gathered
+
+    n, groups = 2400, 60
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(11)
+    values = rng.normal(size=n).round(2).tolist()
+    keys = [i * 7 % groups or None for i in range(n)]
+    df = spark.createDataFrame(list(zip(keys, values)), "k long, v double").repartition(40)
+    dear = df.withColumn("v", F.udf(note, "double")("v"))
+    got = {r.k: (r.v, r.n_firms) for r in aggregate_panel(dear, ["k"], ["v"]).collect()}
+    assert seen.value == n
+    want = pd.DataFrame({"k": [-1 if k is None else k for k in keys], "v": values}).groupby("k").v.agg(["median", "size"])
+    assert {-1 if k is None else k: v for k, v in got.items()} == {k: (pytest.approx(r["median"], rel=1e-12), r["size"]) for k, r in want.iterrows()}
+    files = gathered(df, ["k"]).select("k", F.input_file_name().alias("file")).groupBy("k").agg(F.count_distinct("file").alias("f"))
+    assert files.agg(F.max("f"), F.count(F.lit(1))).first()[:] == (1, groups)
+
+
+def test_a_large_group_is_cut_over_several_tasks(spark):
+    from panelwright.operators.median import gathered
+
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rng = np.random.default_rng(12)
+    values = rng.normal(size=20_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": ["hot"] * 19_000 + ["cold"] * 1_000, "v": values})).repartition(16)
+    try:
+        spark.conf.set(name, "32k")
+        rows = gathered(df, ["k"])
+        assert rows.filter("k = 'hot'").select(F.input_file_name()).distinct().count() > 2
+        got = {r.k: r.v for r in aggregate_panel(df, ["k"], ["v"]).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {"hot": pytest.approx(np.median(values[:19_000]), rel=1e-12), "cold": pytest.approx(np.median(values[19_000:]), rel=1e-12)}

@@ -75,11 +75,13 @@ def _acf_band(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def partial_from_acf(r: np.ndarray) -> np.ndarray:
-    """Yule-Walker partial autocorrelations (m, K + 1) from autocorrelations, one step per lag for all series.
+    """Yule-Walker partial autocorrelations (m, K + 1, or K + 1 of one series) from autocorrelations, one step per lag for all series.
 
     NaN beyond the lags of a series (where its autocorrelations are NaN) and
     where the earlier lags leave nothing to explain.
     """
+    if r.ndim == 1:
+        return partial_from_acf(r[None])[0]
     m, size = r.shape
     out = np.ones((m, size))
     phi = np.zeros((m, size))

@@ -181,3 +181,50 @@ def test_a_large_group_is_cut_over_several_tasks(spark):
     finally:
         spark.conf.set(name, before)
     assert got == {"hot": pytest.approx(np.median(values[:19_000]), rel=1e-12), "cold": pytest.approx(np.median(values[19_000:]), rel=1e-12)}
+
+
+def test_rows_meet_few_brackets_without_a_shuffle(spark, monkeypatch):
+    """Also where the planner would not broadcast by itself; with many brackets they are joined. Same medians."""
+    from panelwright.operators import median
+
+    plans, settle = [], median.settle
+
+    def seen(df, label="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, label)
+
+    monkeypatch.setattr(median, "settle", seen)
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"k": rng.integers(0, 30, 3000), "v": rng.normal(size=3000), "w": rng.integers(0, 9, 3000).astype(float)})
+    df, want = spark.createDataFrame(pdf), pdf.groupby("k")[["v", "w"]].median()
+    try:
+        spark.conf.set(name, "-1")
+        for held, joins in ((median.HELD, "BroadcastHashJoin"), (59, "SortMergeJoin")):
+            monkeypatch.setattr(median, "HELD", held)
+            plans.clear()
+            got = {r.k: (r.v, r.w) for r in median.exact_median(df, ["k"], ["v", "w"]).collect()}
+            assert got == {k: (pytest.approx(r.v, rel=1e-12), r.w) for k, r in want.iterrows()}
+            # The rows are joined below the counts.
+            assert joins in plans[-1].rpartition("HashAggregate")[2]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_items_are_dealt_by_order_before_they_are_summed(spark, tmp_path):
+    """No partial sums per task: items of an order stand apart, so they would be as many as the items."""
+    from panelwright.sources.star import statements
+
+    tables = {
+        "customer": ([(1, 7, 5.0, "A"), (2, None, 1.0, None)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(10, 1, 100.0, "2020-01-05"), (11, 2, 50.0, None), (None, 1, 3.0, "2020-01-05"), (12, None, 3.0, None)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string"),
+        "lineitem": ([(10, 4.0, 0.5, 0.25), (11, 8.0, None, 0.0), (10, 2.0, 0.0, 0.5), (None, 1.0, 0.0, 0.0), (10, None, 0.1, 0.1), (10, 4.0, 0.5, 0.25)], "l_orderkey long, l_extendedprice double, l_discount double, l_tax double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = statements(spark, str(tmp_path))
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(l_orderkey" in line]
+    assert len(at) == 1 and "Aggregate" not in "".join(lines[at[0] :])
+    got = {r.statement_id: (r.okved_section, r.line_1200, r.line_1210, r.line_1250, r.line_4100) for r in out.collect()}
+    assert got == {10: ("A", 10.0, 4.0, 3.0, 6.0), 11: (None, 8.0, None, 0.0, None)}

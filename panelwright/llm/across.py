@@ -20,7 +20,7 @@ from panelwright.llm.grams import U, batches, mix
 #: Growth of the size cells.
 CELL = 1.02
 #: Minima of four bits by which pairs are sieved before their sets are fetched.
-FINE = 512
+FINE = 1024
 _FINE_SEEDS = mix(np.arange(1, FINE + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 

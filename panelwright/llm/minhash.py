@@ -27,6 +27,7 @@ rows; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +94,13 @@ def _errors(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
 
-def errors(x: str, y: str) -> Column:
-    """The errors of every chunk, as an array."""
-    return F.zip_with(x, y, _errors)
+def errors(x: str, y: str) -> list[Column]:
+    """The errors of every chunk."""
+    return [_errors(F.element_at(x, i), F.element_at(y, i)) for i in range(1, CHUNKS + 1)]
 
 
 def distance(x: str, y: str) -> Column:
-    return F.aggregate(errors(x, y), F.lit(0), lambda total, e: total + e)
+    return reduce(lambda a, b: a + b, errors(x, y))
 
 
 def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -141,12 +142,16 @@ def near_links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple
 
 
 def may_link() -> Column:
-    """Signatures within the distance, and the key is the first that the two rows share."""
-    wrong = errors("sig_x", "sig_y")
-    chunk, lane = F.floor(F.col("place_x") / LANES).cast("int"), F.col("place_x") % LANES
-    # A chunk without an error meets under all four of its keys, one with an error under one.
-    first = ((lane == 0) | (F.element_at(wrong, chunk + 1) == 1)) & F.forall(F.slice(wrong, 1, chunk), lambda e: e > 1)
-    return (distance("sig_x", "sig_y") <= DISTANCE) & first
+    """Signatures within the distance, and the key is the first that the two rows share.
+
+    Chunk by chunk, with no function of arrays: large groups try many pairs, and
+    most are ruled out by the first chunk (they meet under an earlier key).
+    """
+    # A chunk without an error meets under all four of its keys, one with an error under one;
+    # chunks before the key's have two errors at least.
+    least = [(F.col("place_x") >= LANES * (i + 1)).cast("int") + (F.col("place_x") > LANES * i).cast("int") for i in range(CHUNKS)]
+    first = reduce(lambda a, b: a & b, [e >= n for e, n in zip(errors("sig_x", "sig_y"), least)])
+    return first & (distance("sig_x", "sig_y") <= DISTANCE)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:

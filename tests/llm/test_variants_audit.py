@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import filter_audit, grams, jaccard, minhash, spelling
+from panelwright.llm import across, filter_audit, grams, jaccard, minhash, spelling
 from tests.llm.conftest import SCHEMA, WORD, prose
 from tests.llm.test_text_joins import shingle_set
 
@@ -289,3 +289,38 @@ def test_galloping_merges_are_set_operations(seed):
             assert filter_audit.less(a, b).tolist() == sorted(set(a.tolist()) - set(b.tolist()))
     for x in lists[3][::97]:
         assert filter_audit.gallop(lists[4], 0, int(x)) == int(np.searchsorted(lists[4], x))
+
+
+def test_pairs_meet_once_and_are_judged_without_functions_of_arrays(spark):
+    """Under the first key that two signatures share, if they are near; no lambda, which would be interpreted for each pair."""
+    rng = np.random.default_rng(21)
+    a = rng.integers(0, 2**16, (60, minhash.CHUNKS, 4), dtype=np.uint64)
+    wrong = rng.random(a.shape) < rng.choice([0.05, 0.3, 0.45, 0.6], (60, 1, 1))
+    b = np.where(wrong, (a + rng.integers(1, 2**16, a.shape, dtype=np.uint64)) % np.uint64(2**16), a)
+    longs = [(v << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(-1, dtype=np.uint64).view(np.int64).tolist() for v in (a, b)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(*longs))], "i long, sig_x array<long>, sig_y array<long>")
+    keys = [minhash.keyed(df.select(F.col("i").alias("rid"), F.col(f"sig_{v}").alias("sig"))).withColumnRenamed("place", f"place_{v}") for v in "xy"]
+    met = keys[0].join(keys[1], ["rid", "key"]).join(df.withColumnRenamed("i", "rid"), "rid").filter(minhash.may_link())
+    got = sorted((r.rid, r.place_x) for r in met.select("rid", "place_x").collect())
+    want = []
+    for i, e in enumerate(wrong.sum(-1)):
+        chunk = next((c for c, n in enumerate(e) if n <= 1), None)
+        if e.sum() <= minhash.DISTANCE and chunk is not None:
+            want.append((i, 4 * chunk + (int(wrong[i, chunk].argmax()) if e[chunk] else 0)))
+    assert got == want and 10 < len(want) < 60
+    assert "lambda" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_longer_signatures_rule_out_most_pairs_below_the_threshold(spark):
+    """Sets of 3,000 n-grams with a similarity of 0.7 are no candidates at 80, those with 0.8 are."""
+    rng = np.random.default_rng(22)
+    sets, rows = {0.7: 0, 0.8: 0}, 40
+    for s in sets:
+        same = round(3000 * 2 * s / (1 + s))
+        for _ in range(rows):
+            both = rng.integers(0, 2**63, 6000 - same, dtype=np.uint64)
+            gram = np.concatenate([both[:3000], both[3000 - same :]])
+            x, y = across.minima(gram, np.array([0, 3000]), across._FINE_SEEDS, 4)
+            wrong = sum(int((int(u) ^ int(v)) >> 4 * i & 15 > 0) for u, v in zip(x, y) for i in range(16))
+            sets[s] += wrong <= across.fine_limit(80)
+    assert sets[0.8] == rows and sets[0.7] <= rows // 4

@@ -210,11 +210,12 @@ def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     whole = sets.filter("cuts = 1")
     few = pairs.join(whole.select(F.col("rid").alias("x"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), "x")
     few = few.join(whole.select(F.col("rid").alias("y"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b")), "y")
-    # Larger sets meet fragment by fragment, at the coarser of their two cuts.
-    sizes = sets.filter("cuts > 1").select("rid", "cuts").distinct().unionByName(whole.select("rid", "cuts"))
-    big = pairs.join(sizes.select(F.col("rid").alias("x"), F.col("cuts").alias("cuts_x")), "x")
-    big = big.join(sizes.select(F.col("rid").alias("y"), F.col("cuts").alias("cuts_y")), "y").filter("cuts_x > 1 OR cuts_y > 1")
-    big = keep(big.withColumn("cut", F.least("cuts_x", "cuts_y")), "big")
+    # Larger sets meet fragment by fragment, at the coarser of their two cuts; only pairs with one of them are looked at again.
+    long = keep(sets.filter("cuts > 1").select("rid", "cuts").distinct(), "long")
+    long_x, long_y = [long.select(F.col("rid").alias(v), F.col("cuts").alias(f"cuts_{v}")) for v in ("x", "y")]
+    big = pairs.join(long_x, "x").join(long_y, "y", "left").unionByName(pairs.join(long_y, "y").join(long_x, "x", "left_anti").withColumn("cuts_x", F.lit(1)))
+    cut = F.least("cuts_x", F.coalesce("cuts_y", F.lit(1)))
+    big = keep(big.select("x", "y", cut.alias("cut")), "big")
     sets = among(sets, big.select(F.col("x").alias("rid")).unionByName(big.select(F.col("y").alias("rid"))))
     a = big.join(sets.select(F.col("rid").alias("x"), F.col("n").alias("n_a"), "cuts", "piece", F.col("grams").alias("grams_a")), "x")
     a = a.select("x", "y", "cut", "n_a", "grams_a", F.floor(F.col("piece") * F.col("cut") / F.col("cuts")).cast("int").alias("at"))

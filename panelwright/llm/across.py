@@ -19,6 +19,9 @@ from panelwright.llm.grams import U, batches, mix
 
 #: Growth of the size cells.
 CELL = 1.02
+#: Least keys of a row by which a pair is known under several groups.
+LEAST = 8
+LEAST_KEYS = [f"key_{i}" for i in range(LEAST)]
 #: Minima of four bits by which pairs are sieved before their sets are fetched.
 FINE = 1024
 _FINE_SEEDS = mix(np.arange(1, FINE + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
@@ -109,8 +112,25 @@ def like(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def least_keys(held: DataFrame, key: str) -> DataFrame:
+    """(rid, key_0, key_1, ...): of LEAST classes of keys, the least one that a row has."""
+    place = F.pmod(F.xxhash64(key), F.lit(LEAST))
+    return held.groupBy("rid").agg(*[F.min(F.when(place == i, F.col(key))).alias(v) for i, v in enumerate(LEAST_KEYS)])
+
+
+def meets_here(key: str) -> Column:
+    """Whether a pair that meets under ``key`` counts there.
+
+    A pair with many keys in common has some least key (see ``least_keys``) in
+    common too, and counts under the first of those alone; one without counts
+    under every key that it shares.
+    """
+    first = F.coalesce(*[F.when(F.col(f"{v}_x") == F.col(f"{v}_y"), F.col(f"{v}_x")) for v in LEAST_KEYS])
+    return F.coalesce(first == F.col(key), F.lit(True))
+
+
 def across(held: DataFrame, info: DataFrame, percent: int, more: Sequence[str] = (), also: Column | None = None) -> DataFrame:
-    """(x, y): pairs of a group but not of a component that may be similar; a pair may come from several groups.
+    """(x, y): pairs of a group but not of a component that may be similar; a pair may come from a few groups.
 
     ``held`` has key, rid, comp and the columns ``more``; ``info`` has rid, n,
     alone and columns ``more`` too. ``also`` is a further condition on columns

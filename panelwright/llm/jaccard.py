@@ -32,13 +32,14 @@ null doc_id counts after all others; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.across import across, fine_like, fine_signatures, several, shareable
+from panelwright.llm.across import LEAST_KEYS, across, fine_like, fine_signatures, least_keys, meets_here, several, shareable
 from panelwright.llm.common import among, keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
 
@@ -47,6 +48,8 @@ LAST = 2**63 - 1
 STEP = 1.25
 #: Hashes in one fragment of a set as it is counted.
 PIECE = 4096
+#: Turns in which the sets of many pairs are dealt.
+TURNS = 2
 LEVELS = 8
 
 
@@ -228,6 +231,12 @@ def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.groupBy("x", "y").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
 
 
+def counted_in_turns(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``counted`` for a stored table of many pairs, a part of them at a time: the sets of one part go before the next are dealt."""
+    turn = F.pmod(F.xxhash64("x"), F.lit(TURNS))
+    return reduce(DataFrame.unionByName, [keep(counted(pairs.filter(turn == i), sets), "sums") for i in range(TURNS)])
+
+
 def enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return shared * 100 >= percent * (n_a + n_b - shared)
 
@@ -345,8 +354,9 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     copies = keep(rows.join(reps.filter("rows > 1"), ["a", "b", "n"]).filter("rid <> rep").select("rid", "rep"), "copies")
 
     sigs = base.select("rid", "text").mapInArrow(signature_rows(k, percent), "sig long, rid long")
-    common = sigs.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
-    groups = keep(sigs.join(common.select("sig"), "sig").join(copies, "rid", "left_anti").select("sig", "rid"), "groups")
+    # Most signatures stand alone. Counts are narrower than keys, and are stored so that their shuffle goes before the next comes.
+    common = keep(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig"), "common")
+    groups = keep(sigs.join(common, "sig").join(copies, "rid", "left_anti").select("sig", "rid"), "groups")
     many = groups.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     groups = keep(groups.join(many.select("sig"), "sig"), "groups")
     taking = keep(groups.select("rid").distinct(), "taking")
@@ -363,7 +373,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     stars = keep(stars.filter(F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent).select("c", "rid", "n"), "stars")
     pair = [F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")]
     tried = keep(stars.select(*pair).distinct(), "tried")
-    sums = keep(counted(tried, sets), "sums")
+    sums = counted_in_turns(tried, sets)
     if not every:
         links = keep(similar(sums, percent), "links")
         label = components(label, links)
@@ -371,8 +381,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
         if not held.isEmpty():
             texts = base.select("rid", "text")
             alone = shareable(held, texts, shingles, k)
-            info = n.join(alone, "rid").join(fine_signatures(alone, texts, shingles, k), "rid")
-            pairs = across(held, info, percent, ["fine"], fine_like(percent))
+            info = n.join(alone, "rid").join(fine_signatures(alone, texts, shingles, k), "rid").join(least_keys(held, "key"), "rid")
+            pairs = across(held, info, percent, ["fine", *LEAST_KEYS], meets_here("key_x") & fine_like(percent))
             pairs = keep(pairs.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
             more = keep(similar(counted(pairs, sets), percent), "links")
             links, label = links.unionByName(more), components(label, more)

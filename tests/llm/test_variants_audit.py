@@ -324,3 +324,36 @@ def test_the_longer_signatures_rule_out_most_pairs_below_the_threshold(spark):
             wrong = sum(int((int(u) ^ int(v)) >> 4 * i & 15 > 0) for u, v in zip(x, y) for i in range(16))
             sets[s] += wrong <= across.fine_limit(80)
     assert sets[0.8] == rows and sets[0.7] <= rows // 4
+
+
+def test_pairs_of_many_groups_count_once(spark):
+    """Members of many groups in common: every pair across components stays, and comes from one group, not from all."""
+    rng = np.random.default_rng(5)
+    keys = [int(k) for k in rng.integers(-(2**63), 2**63 - 1, 40)]
+    held = {r: keys if r < 10 else sorted(rng.choice(keys, int(rng.integers(1, 12)), replace=False).tolist()) for r in range(40)}
+    held_df = spark.createDataFrame([(k, r, r % 3) for r, ks in held.items() for k in ks], "key long, rid long, comp long")
+    info = spark.createDataFrame([(r, 100, 0) for r in held], "rid long, n long, alone long")
+    want = {(a, b) for a in held for b in held if a < b and a % 3 != b % 3 and set(held[a]) & set(held[b])}
+    least = across.least_keys(held_df, "key")
+    got = [tuple(p) for p in across.across(held_df, info.join(least, "rid"), 80, across.LEAST_KEYS, across.meets_here("key_x")).collect()]
+    assert set(got) == want
+    alike = [p for p in got if p[1] < 10]
+    assert len(alike) == len(set(alike)) and len(got) < sum(len(set(held[a]) & set(held[b])) for a, b in want) / 2
+
+
+def test_pairs_of_short_sets_are_not_joined_twice(spark, monkeypatch):
+    """Pairs of sets that are whole are counted as they are; the look at larger sets starts from those."""
+    monkeypatch.setattr(jaccard, "PIECE", 8)
+    texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 9), (0, 11), (0, 40), (2, 44), (0, 90), (30, 36))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").selectExpr("rid", "text")
+    sets = jaccard.set_rows(4)
+    sets = rows.mapInArrow(sets, "rid long, n long, cuts int, piece int, grams binary").cache()
+    pairs = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    brute = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    kept, real = {}, jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df, label: kept.setdefault(label, []).append(df) or real(df, label))
+    turns = jaccard.counted_in_turns(spark.createDataFrame(pairs, "x long, y long"), sets).collect()
+    assert {(r.x, r.y): (r.n_a, r.n_b, r.shared) for r in turns if r.shared} == {(a, b): (len(brute[a]), len(brute[b]), c) for a, b in pairs if (c := len(brute[a] & brute[b]))}
+    assert sum(d.count() for d in kept["big"]) == sum(max(len(brute[a]), len(brute[b])) > 8 for a, b in pairs)
+    # No pair of whole sets among what is joined there: only larger sets are.
+    assert len(kept["long"]) == jaccard.TURNS and all(r.cuts > 1 for d in kept["long"] for r in d.collect())

@@ -280,14 +280,16 @@ def within(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     n_x, n_y, low = F.col("n_x"), F.col("n_y"), F.least("o_x", "o_y")
     like = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
     fit = like & (F.col("rid_x") < F.col("rid_y"))
-    left = keep(held.select("sig", F.col("rid").alias("rid_x")).join(a, "rid_x"), "members")
-    right = left.select("sig", *[F.col(f"{v}_x").alias(f"{v}_y") for v in info.columns])
+    least = least_keys(held, "sig")
+    least = least.select(F.col("rid").alias("rid_x"), *[F.col(v).alias(f"{v}_x") for v in LEAST_KEYS])
+    left = keep(held.select("sig", F.col("rid").alias("rid_x")).join(a.join(least, "rid_x"), "rid_x"), "members")
+    right = left.select("sig", *[F.col(f"{v}_x").alias(f"{v}_y") for v in (*info.columns, *LEAST_KEYS)])
     family = left.select("sig", "fam_x").distinct()
     couples = family.join(family.withColumnRenamed("fam_x", "fam_y"), "sig").filter("fam_x < fam_y")
-    apart = couples.join(left, ["sig", "fam_x"]).join(right, ["sig", "fam_y"]).filter(like)
+    apart = couples.join(left, ["sig", "fam_x"]).join(right, ["sig", "fam_y"]).filter(like & meets_here("sig"))
     # Sharing less than the threshold with the hub, a member can't be similar to another by the hub's n-grams.
     near = [side.filter(F.col(f"o_{v}") * 100 >= F.col(f"n_{v}") * percent) for side, v in ((left, "x"), (right, "y"))]
-    inner = near[0].join(near[1].withColumnRenamed("sig", "sig_y"), (F.col("sig") == F.col("sig_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(low, n_x, n_y, percent))
+    inner = near[0].join(near[1].withColumnRenamed("sig", "sig_y"), (F.col("sig") == F.col("sig_y")) & (F.col("c_x") == F.col("c_y")) & fit & enough(low, n_x, n_y, percent) & meets_here("sig"))
 
     whole = sets.filter("cuts = 1").select("rid", "grams")
     own = keep(info.filter("c IS NOT NULL").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "c", "n", "comp", "o"), "own")
@@ -413,7 +415,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
         best = best.groupBy("rid").agg(F.max(F.struct("kind", F.col("shared").alias("o"), "c")).alias("m"))
         info = label.join(n, "rid").join(best, "rid", "left").select("rid", "n", "comp", F.col("m.c").alias("c"), F.col("m.o").alias("o"))
         pairs = keep(within(held, keep(info, "info"), sets, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
-        more = keep(similar(counted(pairs, sets), percent), "links")
+        more = keep(similar(counted_in_turns(pairs, sets), percent), "links")
         links = links.select("x", "y", "shared", "n_a", "n_b").unionByName(more)
         label = components(label, more)
     return classes(rows, label, copies), links, copies

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.across import LEAST_KEYS, across, fine_like, fine_signatures, least_keys, meets_here, several, shareable
 from panelwright.llm.common import among, keep, sized, with_rid
 from panelwright.llm.grams import U, batches, grams, inside, mix, row_of, words
+from panelwright.session import let_go
 
 LAST = 2**63 - 1
 #: Growth of the size classes.
@@ -50,6 +51,8 @@ STEP = 1.25
 PIECE = 4096
 #: Turns in which the sets of many pairs are dealt.
 TURNS = 2
+#: Turns of the signatures, and of the pairs with their sets, where components alone are wanted.
+SIGNATURE_TURNS, PAIR_TURNS = 2, 4
 LEVELS = 8
 
 
@@ -140,13 +143,18 @@ def signatures(row: np.ndarray, gram: np.ndarray, n_rows: int, percent: int) ->
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
-def signature_rows(k: int, percent: int):
+def signature_rows(k: int, percent: int, turn: int = 0, turns: int = 1):
+    """(sig, rid) of one turn: signatures are dealt to the turns by themselves, so equal ones share a turn."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rids = part.column("rid").to_numpy()
             for start, texts in batches(part.column("text")):
                 row, gram = shingles(texts, k)
                 row, sig = signatures(row, gram, len(texts), percent)
+                if turns > 1:
+                    now = sig % U(turns) == U(turn)
+                    row, sig = row[now], sig[now]
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(rids[row + start])], ["sig", "rid"])
 
     return run
@@ -174,6 +182,9 @@ def size_rows(k: int):
     return run
 
 
+SET_KINDS = "rid long, n long, cuts int, piece int, grams binary"
+
+
 def set_rows(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -237,6 +248,18 @@ def counted_in_turns(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [keep(counted(pairs.filter(turn == i), sets), "sums") for i in range(TURNS)])
 
 
+def counted_with_sets(pairs: DataFrame, texts: DataFrame, k: int, turns: int = 1) -> DataFrame:
+    """``counted`` for a stored table of pairs in turns, each with the sets of its own pairs, which go with the turn."""
+    turn, sums = F.pmod(F.xxhash64("x"), F.lit(turns)), []
+    for i in range(turns):
+        part = pairs.filter(turn == i)
+        ends = part.select(F.col("x").alias("rid")).unionByName(part.select(F.col("y").alias("rid")))
+        sets = keep(among(texts, ends).mapInArrow(set_rows(k), SET_KINDS), "sets")
+        sums.append(keep(counted(part, sets), "sums"))
+        let_go(sets)
+    return reduce(DataFrame.unionByName, sums)
+
+
 def enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return shared * 100 >= percent * (n_a + n_b - shared)
 
@@ -355,14 +378,18 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     reps = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("rows"))
     copies = keep(rows.join(reps.filter("rows > 1"), ["a", "b", "n"]).filter("rid <> rep").select("rid", "rep"), "copies")
 
-    sigs = base.select("rid", "text").mapInArrow(signature_rows(k, percent), "sig long, rid long")
-    # Most signatures stand alone. Counts are narrower than keys, and are stored so that their shuffle goes before the next comes.
-    common = keep(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig"), "common")
-    groups = keep(sigs.join(common, "sig").join(copies, "rid", "left_anti").select("sig", "rid"), "groups")
-    many = groups.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
-    groups = keep(groups.join(many.select("sig"), "sig"), "groups")
+    texts = base.select("rid", "text")
+    turns, met = 1 if every else SIGNATURE_TURNS, []
+    for i in range(turns):
+        sigs = texts.mapInArrow(signature_rows(k, percent, i, turns), "sig long, rid long")
+        # Most signatures stand alone. Counts are narrower than keys, and are stored so that their shuffle goes before the next comes.
+        common = keep(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig"), "common")
+        found = keep(sigs.join(common, "sig").join(copies, "rid", "left_anti").select("sig", "rid"), "groups")
+        many = found.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
+        met.append(keep(found.join(many.select("sig"), "sig"), "groups"))
+        let_go(common, found)
+    groups = reduce(DataFrame.unionByName, met)
     taking = keep(groups.select("rid").distinct(), "taking")
-    sets = keep(among(base.select("rid", "text"), taking).mapInArrow(set_rows(k), "rid long, n long, cuts int, piece int, grams binary"), "sets")
     label = keep(taking.withColumn("comp", F.col("rid")), "labels")
     n = keep(rows.join(taking, "rid", "left_semi").select("rid", "n"), "sizes")
 
@@ -375,20 +402,22 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
     stars = keep(stars.filter(F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent).select("c", "rid", "n"), "stars")
     pair = [F.least("c", "rid").alias("x"), F.greatest("c", "rid").alias("y")]
     tried = keep(stars.select(*pair).distinct(), "tried")
-    sums = counted_in_turns(tried, sets)
     if not every:
-        links = keep(similar(sums, percent), "links")
+        links = keep(similar(counted_with_sets(tried, texts, k, PAIR_TURNS), percent), "links")
         label = components(label, links)
         held = keep(several(groups.withColumnRenamed("sig", "key").join(label, "rid")), "held")
+        let_go(*met, stars)
         if not held.isEmpty():
-            texts = base.select("rid", "text")
             alone = shareable(held, texts, shingles, k)
             info = n.join(alone, "rid").join(fine_signatures(alone, texts, shingles, k), "rid").join(least_keys(held, "key"), "rid")
             pairs = across(held, info, percent, ["fine", *LEAST_KEYS], meets_here("key_x") & fine_like(percent))
             pairs = keep(pairs.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-            more = keep(similar(counted(pairs, sets), percent), "links")
+            more = keep(similar(counted_with_sets(pairs, texts, k), percent), "links")
             links, label = links.unionByName(more), components(label, more)
+        let_go(held)
         return classes(rows, label, copies), links, copies
+    sets = keep(among(texts, taking).mapInArrow(set_rows(k), SET_KINDS), "sets")
+    sums = counted_in_turns(tried, sets)
     # A centre weighs more than its members, so the way from centre to centre ends: at the hub.
     shared = stars.select("*", *pair).join(sums.select("x", "y", "n_a", "n_b", "shared"), ["x", "y"]).filter("shared * 2 >= greatest(n_a, n_b)")
     shared = shared.join(weight.select(F.col("rid").alias("c"), "weight"), "c")
@@ -418,6 +447,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, every: bool = T
         more = keep(similar(counted_in_turns(pairs, sets), percent), "links")
         links = links.select("x", "y", "shared", "n_a", "n_b").unionByName(more)
         label = components(label, more)
+    let_go(sets, *met)
     return classes(rows, label, copies), links, copies
 
 

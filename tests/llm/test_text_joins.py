@@ -1,10 +1,12 @@
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
 from panelwright.llm import decontamination, grams, jaccard, substring
+from panelwright.session import shared_folder
 from tests.llm.conftest import UPPER, WORD
 
 
@@ -175,3 +177,24 @@ def test_decontamination_is_what_brute_force_finds(docs, rows, bench, nothing, m
     assert all(left[w[0]] == w[1] - w[2] for w in want)
     assert decontamination.contamination(nothing, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
+
+
+def test_the_join_lets_go_of_its_sets(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 500, 160)]
+    texts = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(0, 160, 8)] + [" ".join(f"v{i}" for i in rng.integers(0, 900, 60)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    assert jaccard.one_of_each(docs, 5, 80).count() == 21
+    jaccard.near_duplicates(docs).collect()
+    left = {p.name.rsplit("-", 5)[0] for p in set(folder.iterdir()) - before}
+    assert left and not left & {"llm-sets", "llm-groups", "llm-common"}
+
+
+def test_turns_deal_every_signature_once():
+    rows = pa.RecordBatch.from_arrays([pa.array([3, 9]), pa.array([" ".join(f"w{i}" for i in range(n)) for n in (70, 300)])], ["rid", "text"])
+    pairs = lambda *turn: [(s, r) for b in jaccard.signature_rows(4, 85, *turn)(iter([rows])) for s, r in zip(b["sig"].to_pylist(), b["rid"].to_pylist())]
+    whole, parts = pairs(), [pairs(i, 3) for i in range(3)]
+    assert sorted(whole) == sorted(sum(parts, [])) and all(parts)

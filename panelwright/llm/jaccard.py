@@ -463,9 +463,10 @@ def degrees(links: DataFrame, copies: DataFrame) -> DataFrame:
     # Rows of a set beside its representative; most sets have none.
     others = keep(copies.groupBy("rep").agg(F.count(F.lit(1)).alias("others")), "others")
     ends = links.select(F.col("x").alias("rep"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("rep"), F.col("x").alias("to")))
-    ends = ends.join(others.withColumnRenamed("rep", "to"), "to", "left")
+    # Only links to sets with other rows meet them: one row for each link, and what stands beside its end.
+    beside = ends.join(others.withColumnRenamed("rep", "to"), "to").select("rep", F.col("others").alias("rows"))
     own = others.select("rep", F.col("others").alias("rows"))
-    of = ends.select("rep", (1 + F.coalesce("others", F.lit(0))).alias("rows")).unionByName(own)
+    of = ends.select("rep", F.lit(1).cast("long").alias("rows")).unionByName(beside).unionByName(own)
     of = keep(of.groupBy("rep").agg(F.sum("rows").alias("n_links")), "degrees")
     more = copies.join(of, "rep").select("rid", "n_links")
     return of.select(F.col("rep").alias("rid"), "n_links").unionByName(more)

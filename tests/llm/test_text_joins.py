@@ -179,6 +179,22 @@ def test_decontamination_is_what_brute_force_finds(docs, rows, bench, nothing, m
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
 
 
+def test_links_to_sets_without_copies_meet_nothing(spark, monkeypatch):
+    links = spark.createDataFrame([(x, y) for x in range(8) for y in range(x + 1, 8)], "x long, y long")
+    copies = spark.createDataFrame([(100, 0), (101, 0), (102, 50)], "rid long, rep long")
+    plans, real = {}, jaccard.keep
+
+    def keep(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(jaccard, "keep", keep)
+    got = {r.rid: r.n_links for r in jaccard.degrees(links, copies).collect()}
+    assert got == {0: 9, 100: 9, 101: 9, 50: 1, 102: 1, **{i: 9 for i in range(1, 8)}}
+    # A link whose end stands alone is not a row of a join.
+    assert "LeftOuter" not in plans["degrees"]
+
+
 def test_the_join_lets_go_of_its_sets(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 500, 160)]

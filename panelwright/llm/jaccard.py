@@ -327,10 +327,11 @@ def within(held: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> D
     return apart.select(*pick).unionByName(inner.select(*pick)).unionByName(other.select(*pick)).distinct()
 
 
-def followed(low: DataFrame) -> DataFrame:
-    """(comp, low) with every ``low`` followed to the end of its chain."""
+def followed(low: DataFrame, *hint: str) -> DataFrame:
+    """(comp, low) with every ``low`` followed to the end of its chain; ``hint`` is for the join."""
     while True:
         up = low.select(F.col("comp").alias("low"), F.col("low").alias("lower"))
+        up = up.hint(*hint) if hint else up
         step = keep(low.join(up, "low", "left").select("comp", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "hooks")
         low = step.select("comp", "low")
         if step.filter("moved").isEmpty():

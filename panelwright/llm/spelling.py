@@ -11,6 +11,10 @@ so what it leaves of the two words, again one edit apart, meets in the same way:
 a key is a chunk and a chunk of the rest. What meets is verified by edit
 distance.
 
+Joins are sort-merge joins by hint: Spark sizes a table by its compressed files,
+and what an explode makes of it hardly higher, so at some sizes it would send
+the exploded words through the driver.
+
 Words are counted per task first, in dictionaries of bounded size; the count of
 a word is a partial aggregation. A word's form is its near word of largest
 count if that has twice the word's count; counts at least double along a chain
@@ -118,7 +122,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.select(F.col("word").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.explode(F.concat(keys(size), shorter)).alias("gram"))
     # A key holds the length of the word with the chunks, so the other is as long or one longer.
     apart = (size < F.col("size_b")) | (F.col("word") < F.col("other"))
-    met = chunks.join(grams, (F.col("key") == F.col("gram")) & apart & F.col("size_b").between(size, size + 1))
+    met = chunks.hint("merge").join(grams, (F.col("key") == F.col("gram")) & apart & F.col("size_b").between(size, size + 1))
     # With the threshold, distances over one come back as -1.
     return met.filter(F.levenshtein("word", "other", 1) == 1).select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("other").alias("b"), "n_b").distinct()
 
@@ -129,10 +133,10 @@ def variants(docs: DataFrame) -> DataFrame:
     pairs = keep(near_pairs(words), "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("best"))
-    near = words.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
+    near = words.join(best.hint("merge"), "word", "left").withColumn("form_n", -F.col("best.less"))
     enough = F.col("form_n") >= 2 * F.col("n")
     near = near.select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("form_n")).alias("form_n"))
     near = keep(near, "spelling-forms")
-    roots = followed(near.filter("form IS NOT NULL").select(F.col("word").alias("comp"), F.col("form").alias("low")))
-    near = near.join(roots.select(F.col("comp").alias("word"), F.col("low").alias("root")), "word", "left")
+    roots = followed(near.filter("form IS NOT NULL").select(F.col("word").alias("comp"), F.col("form").alias("low")), "merge")
+    near = near.join(roots.select(F.col("comp").alias("word"), F.col("low").alias("root")).hint("merge"), "word", "left")
     return near.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -112,6 +112,17 @@ def test_every_edit_keeps_a_chunk(spark):
     assert got == {frozenset((a, b)) for a in pool for b in pool if a != b and abs(len(a) - len(b)) < 2 and one_apart(a, b)}
 
 
+def test_spelling_sends_no_table_to_every_task(spark, tmp_path, monkeypatch):
+    """Stored words look small to Spark, what is exploded from them too: no join may rest on that."""
+    docs = stored(spark, misspelt(np.random.default_rng(3), 60), tmp_path / "d")
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (spelling, jaccard):
+        monkeypatch.setattr(module, "keep", lambda df, label, f=module.keep: (planned(df), f(df, label))[1])
+    planned(spelling.variants(docs))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not [p for p in plans if "Broadcast" in p]
+
+
 # --- MinHash --------------------------------------------------------------------
 
 

@@ -241,6 +241,26 @@ def test_kneser_ney_joins_words_that_no_task_holds(spark, monkeypatch, tmp_path)
         assert got[2].n == 0
 
 
+def test_kneser_ney_stores_no_n_grams(spark, monkeypatch, tmp_path):
+    """Steps that are kept have a row per text or word, or counts of counts, but none per n-gram; turns and parts change nothing."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 80)) for _ in range(50)] + [None, "", "w1"] * 2
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, t, i % 3 > 0) for i, t in enumerate(texts)], "rid long, text string, known boolean").repartition(3).write.parquet(path)
+    base = spark.read.parquet(path)
+    kept = []
+    monkeypatch.setattr(kneser_ney, "keep", lambda df, label, *a, f=kneser_ney.keep: (kept.append(f(df, label, *a)), kept[-1])[1])
+    want = None
+    for columns in (["rid", "text", "known"], ["rid", "text"]):  # read once, and apart from the model's texts
+        got = kneser_ney.perplexity(base.select(columns), kneser_ney.train(base.filter("known").select("text"), "word"), "word")
+        got = sorted(map(tuple, got.collect()))
+        assert want is None or got == want
+        want = got
+        for name, value in (("TURNS", 1), ("COUNTED", 1), ("GATHERED", 20), ("MERGED", 10), ("SHARD_ROWS", 7)):
+            monkeypatch.setattr(kneser_ney, name, value)
+    assert max(df.count() for df in kept) <= 60 + 5 * 4 + 60 * 8 < 50 * 80 * 2 / 3
+
+
 def test_quality_classes(docs, rows, labels, nothing):
     got = kneser_ney.classify(docs, labels)
     out = got.collect()
